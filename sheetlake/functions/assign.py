@@ -1,7 +1,7 @@
 """Assignment of cell text to a typed table column.
 
 The checks and messages are those a PostgreSQL insert gives, so a rejected
-load reads the same. Every function returns ``Parsed(value, error)``.
+load reads the same.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cells import Parsed, blank_to_null, date_or_null, number_or_null
-from .keys import number_text
+from .cells import KINDS, NUMBER_SHAPE, Kind, date_or_null
 
 # Column types a new table may have and the Spark type of each.
 SPARK_TYPES = {
@@ -28,20 +27,30 @@ FALSE_INPUT = ("f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0")
 INTEGER_SHAPE = r"^[+-]?[0-9]+$"
 
 
-def cell_text(c: Column, is_cell: bool) -> Column:
-    """Text of a cell; numeric cells take their shortest form (``100.0`` is ``100``)."""
-    if not is_cell:
-        return blank_to_null(c)
-    number = number_text(c["text"].try_cast("double"))
-    return F.when(c["kind"] == "n", F.coalesce(number, c["text"])).otherwise(blank_to_null(c["text"]))
+def _syntax(type_name: str):
+    return lambda text: F.concat(F.lit(f'invalid input syntax for type {type_name}: "'), text, F.lit('"'))
 
 
-def _syntax(type_name: str, text: Column) -> Column:
-    return F.concat(F.lit(f'invalid input syntax for type {type_name}: "'), text, F.lit('"'))
+def _whole(spark_type: str):
+    return lambda text: F.when(text.rlike(INTEGER_SHAPE), text.try_cast(spark_type))
 
 
-def _checked(text: Column, value: Column, error: Column) -> Parsed:
-    return Parsed(value, F.when(text.isNotNull() & value.isNull(), error))
+def _whole_message(text: Column) -> Column:
+    too_big = F.concat(F.lit('value "'), text, F.lit('" is out of range for type integer'))
+    return F.when(text.rlike(INTEGER_SHAPE), too_big).otherwise(_syntax("integer")(text))
+
+
+def _numeric(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("decimal(38,9)"))
+
+
+def _numeric_message(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_SHAPE), F.lit("numeric field overflow")).otherwise(_syntax("numeric")(text))
+
+
+def _boolean(text: Column) -> Column:
+    word = F.lower(text)
+    return F.when(word.isin(*TRUE_INPUT), True).when(word.isin(*FALSE_INPUT), False)
 
 
 def json_or_null(text: Column) -> Column:
@@ -56,25 +65,13 @@ def json_or_null(text: Column) -> Column:
     return F.when(element.isNotNull() & member.isNotNull(), F.variant_get(element, "$[0]", "variant"))
 
 
-def assign(text: Column, type_name: str) -> Parsed:
-    """Typed value of trimmed, non-blank ``text`` for a column of ``type_name``."""
-    if type_name == "INTEGER":
-        whole = text.rlike(INTEGER_SHAPE)
-        error = F.when(whole, F.concat(F.lit('value "'), text, F.lit('" is out of range for type integer')))
-        return _checked(text, F.when(whole, text.try_cast("int")),
-                        error.otherwise(_syntax("integer", text)))
-    if type_name == "NUMERIC":
-        number = number_or_null(text)
-        error = F.when(number.isNull(), _syntax("numeric", text)).otherwise(F.lit("numeric field overflow"))
-        return _checked(text, F.when(number.isNotNull(), text.try_cast("decimal(38,9)")), error)
-    if type_name == "BOOLEAN":
-        word = F.lower(text)
-        value = F.when(word.isin(*TRUE_INPUT), True).when(word.isin(*FALSE_INPUT), False)
-        return _checked(text, value, _syntax("boolean", text))
-    if type_name == "DATE":
-        return _checked(text, date_or_null(text).cast("date"), _syntax("date", text))
-    if type_name == "TIMESTAMP":
-        return _checked(text, date_or_null(text), _syntax("timestamp", text))
-    if type_name == "JSONB":
-        return _checked(text, json_or_null(text), F.lit("invalid input syntax for type json"))
-    return Parsed(text, F.lit(None).cast("string"))
+ASSIGN = {
+    "TEXT": KINDS["text"],
+    "SERIAL": Kind(_whole("bigint"), _whole_message),
+    "INTEGER": Kind(_whole("int"), _whole_message),
+    "NUMERIC": Kind(_numeric, _numeric_message),
+    "BOOLEAN": Kind(_boolean, _syntax("boolean")),
+    "DATE": Kind(lambda text: date_or_null(text).cast("date"), _syntax("date")),
+    "TIMESTAMP": Kind(date_or_null, _syntax("timestamp")),
+    "JSONB": Kind(json_or_null, lambda _: F.lit("invalid input syntax for type json")),
+}

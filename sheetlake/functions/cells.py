@@ -60,12 +60,21 @@ def blank_to_null(c) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def _outcome(text: Column, value: Column, message: str) -> Parsed:
-    return Parsed(value, F.when(text.isNotNull() & value.isNull(), F.lit(message)))
+def outcome(text: Column, value: Column, message: Column) -> Column:
+    """Error text: there was something to read, and it gave no value."""
+    return F.when(text.isNotNull() & value.isNull(), message)
 
 
-def parse_text(c) -> Parsed:
-    return Parsed(blank_to_null(c), F.lit(None).cast("string"))
+class Kind(NamedTuple):
+    """How trimmed text becomes a value, and what is said when it does not."""
+
+    convert: object
+    message: object
+
+    def parse(self, c) -> Parsed:
+        text = blank_to_null(c)
+        value = self.convert(text)
+        return Parsed(value, outcome(text, value, self.message(text)))
 
 
 def number_or_null(text: Column) -> Column:
@@ -73,16 +82,13 @@ def number_or_null(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
-def parse_number(c) -> Parsed:
-    text = blank_to_null(c)
-    return _outcome(text, number_or_null(strip(F.translate(text, "$,", ""))), BAD_NUMBER)
+def money_or_null(text: Column) -> Column:
+    return number_or_null(strip(F.translate(text, "$,", "")))
 
 
-def parse_boolean(c) -> Parsed:
-    text = blank_to_null(c)
+def boolean_or_null(text: Column) -> Column:
     word = F.lower(text)
-    value = F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-    return _outcome(text, value, BAD_BOOLEAN)
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
 def serial_to_timestamp(number: Column) -> Column:
@@ -114,11 +120,6 @@ def date_or_null(text: Column) -> Column:
     return F.coalesce(serial_to_timestamp(number_or_null(text)), text_to_timestamp(text))
 
 
-def parse_date(c) -> Parsed:
-    text = blank_to_null(c)
-    return _outcome(text, date_or_null(text), BAD_DATE)
-
-
 def iso_text(ts: Column) -> Column:
     """``YYYY-MM-DDTHH:mm:ss.sssZ``; years outside 0-9999 take a sign and six digits."""
     ts = ts.cast("timestamp_ntz")
@@ -129,9 +130,16 @@ def iso_text(ts: Column) -> Column:
     return F.concat(shown, F.date_format(ts, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
-PARSERS = {"text": parse_text, "number": parse_number, "boolean": parse_boolean, "date": parse_date}
+KINDS = {
+    "text": Kind(lambda text: text, lambda _: F.lit(None).cast("string")),
+    "number": Kind(money_or_null, lambda _: F.lit(BAD_NUMBER)),
+    "boolean": Kind(boolean_or_null, lambda _: F.lit(BAD_BOOLEAN)),
+    "date": Kind(date_or_null, lambda _: F.lit(BAD_DATE)),
+}
+parse_text, parse_number, parse_boolean, parse_date = (
+    KINDS[k].parse for k in ("text", "number", "boolean", "date"))
 
 
-def parser_for(kind: str | None):
+def kind_of(name: str | None) -> Kind:
     """Any kind other than date, number or boolean is text."""
-    return PARSERS.get(kind or "text", parse_text)
+    return KINDS.get(name or "text", KINDS["text"])

@@ -8,51 +8,79 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.assign import assign, cell_text
+from ..functions.assign import ASSIGN, SPARK_TYPES
+from ..functions.cells import outcome
+from ..functions.keys import number_text
 from ..session import checkpointed
 from ..sources.tables import qualified, quote_name
 from .catalog import RUN_COLUMN, TargetTable, reserve_ids, target_table
-from .mapping import error_map
+from .mapping import computed_once, convert, error_map, texts
 
 BATCH_ROWS = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
 def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells: str | None = None) -> DataFrame:
-    """Typed target columns and an ``errors`` map for every raw row, in one select.
+    """Typed target columns and an ``errors`` map for every raw row, without a shuffle.
 
     A raw column is text, or a cell ``(kind, text)``. Columns may sit inside the
     struct column ``cells``. A column the source does not name takes its default;
     a named but blank cell stays null, and is an error where a value is required.
     """
     fields = raw.schema[cells].dataType if cells else raw.schema
-    typed: dict[str, Column] = {}
+    columns = [c for c in target.columns if c.data_type != "SERIAL" or c.name in fields.fieldNames()]
+    named = [c.name for c in columns if c.name in fields.fieldNames()]
+    place = {n: raw[cells][n] if cells else raw[n] for n in named}
+    is_cell = {n: isinstance(fields[n].dataType, T.StructType) for n in named}
+
+    absent = {n: f"absent_{n}" for n in named if is_cell[n]}
+    placed = raw.select(*keep, *[place[n].isNull().alias(a) for n, a in absent.items()],
+                        *[place[n].alias(n) for n in named])
+    keep_flags = [*keep, *absent.values()]
+    plain = texts(_cell_texts(placed, list(absent)), {n: F.col(n) for n in named}, keep_flags)
+    kinds = {c.name: ASSIGN[c.data_type] for c in columns if c.name in place}
+    typed = convert(plain, kinds, keep_flags)
+
+    values: dict[str, Column] = {}
     errors: dict[str, Column] = {}
-    for column in target.columns:
-        if column.data_type == "SERIAL":
-            continue
-        default = F.expr(column.default) if column.default is not None else F.lit(None)
-        if column.name not in fields.fieldNames():
-            value, error = default.cast(_type_of(column)), F.lit(None).cast("string")
-            absent = F.lit(True)
-        else:
-            cell = raw[cells][column.name] if cells else raw[column.name]
-            is_cell = isinstance(fields[column.name].dataType, T.StructType)
-            value, error = assign(cell_text(cell, is_cell), column.data_type)
-            absent = cell.isNull() if is_cell else F.lit(False)
-            value = F.when(absent, default.cast(_type_of(column))).otherwise(value) if is_cell else value
-        if column.required:
-            message = (f'null value in column "{column.name}" of relation "{target.name}" '
+    for c in columns:
+        serial = c.data_type == "SERIAL"
+        default = (F.lit(None) if serial or c.default is None else F.expr(c.default)).cast(_type_of(c))
+        missing = F.col(absent[c.name]) if c.name in absent else F.lit(c.name not in place)
+        value, error = default, F.lit(None).cast("string")
+        if c.name in place:
+            found = F.col(f"value_{c.name}")
+            value = F.when(missing, default).otherwise(found) if c.name in absent else found
+            error = outcome(F.col(c.name), found, kinds[c.name].message(F.col(c.name)))
+        if c.required:
+            message = (f'null value in column "{c.name}" of relation "{target.name}" '
                        "violates not-null constraint")
-            error = F.coalesce(error, F.when(value.isNull(), F.lit(message)))
-        typed[column.name] = value
-        errors[column.name] = error
-    return raw.select(*keep, *[c.alias(n) for n, c in typed.items()], error_map(errors).alias("errors"))
+            unset = value.isNull() & ~missing if serial else value.isNull()
+            error = F.coalesce(error, F.when(unset, F.lit(message)))
+        values[c.name], errors[c.name] = value, error
+    return computed_once(typed, keep, {**values, "errors": error_map(errors)})
+
+
+def _cell_texts(df: DataFrame, cells: list[str]) -> DataFrame:
+    """Cells as text; numeric cells take their shortest form (``100.0`` is ``100``)."""
+    if not cells:
+        return df
+    others = [c for c in df.columns if c not in cells]
+    numbers = df.select(*others, *cells, *[
+        F.when(F.col(n)["kind"] == "n", F.col(n)["text"].try_cast("double")).alias(f"number_{n}") for n in cells])
+    return numbers.select(*others, *[
+        F.coalesce(number_text(F.col(f"number_{n}")), F.col(n)["text"]).alias(n) for n in cells])
 
 
 def _type_of(column) -> str:
-    from ..functions.assign import SPARK_TYPES
-    return SPARK_TYPES[column.data_type]
+    return SPARK_TYPES.get(column.data_type, "bigint")
+
+
+def number_rows(checked: DataFrame, base: int) -> DataFrame:
+    """``id`` for every row: the one the sheet gives, else the next of the sequence."""
+    numbered = dense_ids(checked, base, column="next_id")
+    given = F.col("id") if "id" in checked.columns else F.lit(None).cast("bigint")
+    return numbered.withColumn("id", F.coalesce(given, F.col("next_id"))).drop("next_id")
 
 
 def import_summary(checked: DataFrame, by=()) -> DataFrame:
@@ -153,5 +181,5 @@ def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
         base = reserve_ids(spark, table, total)
-        publish_rows(spark, table, dense_ids(checked, base), run_id)
+        publish_rows(spark, table, number_rows(checked, base), run_id)
     return LoadResult(bad == 0, total, bad)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import parser_for
+from ..functions.cells import Kind, kind_of, outcome, strip
 
 
 def error_map(errors: dict[str, Column]) -> Column:
@@ -17,20 +17,48 @@ def error_map(errors: dict[str, Column]) -> Column:
                         lambda _, message: message.isNotNull())
 
 
+def texts(df: DataFrame, sources: dict[str, Column], keep) -> DataFrame:
+    """Trimmed, blank-free text of each source column.
+
+    Typing is done in steps, one select each: text, value, error. A value used
+    by a later step is then computed once per row and stays in generated code;
+    nested in one expression it would be repeated at every use.
+    """
+    trimmed = df.select(*keep, *[strip(c).alias(n) for n, c in sources.items()])
+    return trimmed.select(*keep, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in sources])
+
+
+def convert(df: DataFrame, kinds: dict[str, Kind], keep) -> DataFrame:
+    """``value_<name>`` next to the text of every column."""
+    return df.select(*keep, *kinds, *[k.convert(F.col(n)).alias(f"value_{n}") for n, k in kinds.items()])
+
+
+def computed_once(df: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:
+    """``keep`` plus ``columns``, with filters on ``columns`` held above their computation.
+
+    The optimizer moves a filter below a select by copying the whole computation
+    into the filter, so bad-row filters would type every row twice. It does not
+    move one below a generator; the one-row ``inline`` stays in generated code.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def normalize_rows(raw: DataFrame, mapping: dict, keep=("row_number",)) -> DataFrame:
     """Typed fields of ``mapping`` plus an ``errors`` map; unmapped columns are dropped.
 
     ``mapping`` is ``{source: "field"}`` or ``{source: {"field": ..., "type": ...}}``.
     """
-    fields: dict[str, Column] = {}
-    errors: dict[str, Column] = {}
+    sources: dict[str, Column] = {}
+    kinds: dict[str, Kind] = {}
     for source, target in mapping.items():
         spec = {"field": target} if isinstance(target, str) else (target or {})
         field = spec.get("field") or source
-        cell = raw[source] if source in raw.columns else F.lit(None).cast("string")
-        fields[field], errors[field] = parser_for(spec.get("type"))(cell)
-    return raw.select(*keep, *[c.alias(n) for n, c in fields.items()],
-                      error_map(errors).alias("errors"))
+        sources[field] = raw[source] if source in raw.columns else F.lit(None).cast("string")
+        kinds[field] = kind_of(spec.get("type"))
+    typed = convert(texts(raw, sources, keep), kinds, keep)
+    errors = {n: outcome(F.col(n), F.col(f"value_{n}"), k.message(F.col(n))) for n, k in kinds.items()}
+    return computed_once(typed, keep, {
+        **{n: F.col(f"value_{n}") for n in kinds}, "errors": error_map(errors)})
 
 
 def valid_rows(normalized: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ingest", "headers", "curated", "service", "sql_suite")
+MODULES = ("ingest", "headers", "curated", "service", "sql_suite", "workbooks")
 
 
 def _merged(attribute: str) -> dict:

@@ -195,7 +195,7 @@ LOAD_COLUMNS = (
     TargetColumn("placed", "TIMESTAMP", indexed=True), TargetColumn("channel", "TEXT", True, "'sheet'"))
 
 
-def _new_table(spark, label: str) -> str:
+def new_load_table(spark, label: str) -> str:
     path = scratch_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     create_table(spark, name, LOAD_COLUMNS, location=path)
@@ -227,7 +227,7 @@ SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECI
 @register("load_append", f"{_LOADED} WHERE o_orderstatus IN ('F', 'O')")
 def load_append(spark, folder):
     """Two clean sheets appended to one table, each its own run."""
-    table = _new_table(spark, "append")
+    table = new_load_table(spark, "append")
     for run, status in (("run-1", "F"), ("run-2", "O")):
         load.load_rows(spark, table, _stage(spark, run, _sheet_of_orders(spark, folder, status, False)), run)
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
@@ -236,7 +236,7 @@ def load_append(spark, folder):
 @register("load_all_or_nothing", f"{_LOADED} WHERE o_orderstatus = 'F'")
 def load_all_or_nothing(spark, folder):
     """A clean sheet is published; one with a few bad rows leaves no row behind."""
-    table = _new_table(spark, "atomic")
+    table = new_load_table(spark, "atomic")
     for run, status, bad in (("run-1", "F", False), ("run-2", "O", True)):
         load.load_rows(spark, table, _stage(spark, run, _sheet_of_orders(spark, folder, status, bad)), run)
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
@@ -252,7 +252,7 @@ SELECT CAST(position AS INTEGER) AS position, name, data_type, required, default
 FROM spec""")
 def target_columns(spark, folder):
     """The column specification next to how many loaded rows fill each column."""
-    table = _new_table(spark, "spec")
+    table = new_load_table(spark, "spec")
     load.load_rows(spark, table, _stage(spark, "spec-run", _sheet_of_orders(spark, folder, "F", False)), "run-1")
     from ..operators.catalog import target_table
     spec = target_table(spark, table).columns

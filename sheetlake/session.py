@@ -50,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system named, so tasks open the same files Spark would."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return default.rstrip("/") + ("//" if default.endswith(":///") else "") + path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/sheetlake/{label}-{uuid.uuid4().hex}"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..session import qualified_path
 from .files import file_system
 
 # Limits of the format and the exported sheet's name.
@@ -286,6 +287,7 @@ def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1)
     Parts follow partition order, so a sorted query reads in order part by part.
     """
     spark = df.sparkSession
+    folder = qualified_path(spark, folder)
     spark.dataSource.register(WorkbookSink)
     (exportable(df).write.format("workbook").mode("overwrite")
      .option("maxRows", str(max_rows)).save(folder))
