@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cells import KINDS, NUMBER_SHAPE, Kind, date_or_null
+from .cells import KINDS, NUMBER_SHAPE, Kind, date_or_null, number_or_null
 
 # Column types a new table may have and the Spark type of each.
 SPARK_TYPES = {
@@ -32,7 +32,7 @@ def _syntax(type_name: str):
 
 
 def _whole(spark_type: str):
-    return lambda text: F.when(text.rlike(INTEGER_SHAPE), text.try_cast(spark_type))
+    return lambda text, _: F.when(text.rlike(INTEGER_SHAPE), text.try_cast(spark_type))
 
 
 def _whole_message(text: Column) -> Column:
@@ -40,7 +40,7 @@ def _whole_message(text: Column) -> Column:
     return F.when(text.rlike(INTEGER_SHAPE), too_big).otherwise(_syntax("integer")(text))
 
 
-def _numeric(text: Column) -> Column:
+def _numeric(text: Column, _) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("decimal(38,9)"))
 
 
@@ -48,19 +48,21 @@ def _numeric_message(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), F.lit("numeric field overflow")).otherwise(_syntax("numeric")(text))
 
 
-def _boolean(text: Column) -> Column:
-    word = F.lower(text)
+def _boolean(_, word: Column) -> Column:
     return F.when(word.isin(*TRUE_INPUT), True).when(word.isin(*FALSE_INPUT), False)
 
 
-def json_or_null(text: Column) -> Column:
+def _as_element(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def json_or_null(text: Column, element: Column) -> Column:
     """Variant for text that is exactly one JSON value.
 
     The parser stops after the first value and ignores what follows. Text that
     is valid both inside ``[...]`` and as a member of ``{...}`` cannot hold a
     second value nor close the bracket early.
     """
-    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     return F.when(element.isNotNull() & member.isNotNull(), F.variant_get(element, "$[0]", "variant"))
 
@@ -70,8 +72,8 @@ ASSIGN = {
     "SERIAL": Kind(_whole("bigint"), _whole_message),
     "INTEGER": Kind(_whole("int"), _whole_message),
     "NUMERIC": Kind(_numeric, _numeric_message),
-    "BOOLEAN": Kind(_boolean, _syntax("boolean")),
-    "DATE": Kind(lambda text: date_or_null(text).cast("date"), _syntax("date")),
-    "TIMESTAMP": Kind(date_or_null, _syntax("timestamp")),
-    "JSONB": Kind(json_or_null, lambda _: F.lit("invalid input syntax for type json")),
+    "BOOLEAN": Kind(_boolean, _syntax("boolean"), F.lower),
+    "DATE": Kind(lambda text, number: date_or_null(text, number).cast("date"), _syntax("date"), number_or_null),
+    "TIMESTAMP": Kind(date_or_null, _syntax("timestamp"), number_or_null),
+    "JSONB": Kind(json_or_null, lambda _: F.lit("invalid input syntax for type json"), _as_element),
 }

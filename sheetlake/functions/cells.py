@@ -1,11 +1,11 @@
 """Cleaning and typing of cell text, as column expressions.
 
-Each ``parse_*`` function takes a text column and returns ``Parsed(value, error)``.
-Blank input gives neither a value nor an error.
+Blank text gives neither a value nor an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -38,11 +38,6 @@ US_DATE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
 NAMED_DATE = r"^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* ([0-9]{1,2}), ([0-9]{4})$"
 
 
-class Parsed(NamedTuple):
-    value: Column
-    error: Column
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -66,15 +61,15 @@ def outcome(text: Column, value: Column, message: Column) -> Column:
 
 
 class Kind(NamedTuple):
-    """How trimmed text becomes a value, and what is said when it does not."""
+    """How trimmed text becomes a value, and what is said when it does not.
 
-    convert: object
-    message: object
+    ``convert`` takes the text and what ``prepare`` made of it; preparing apart
+    lets the caller compute it once, where ``convert`` uses it several times.
+    """
 
-    def parse(self, c) -> Parsed:
-        text = blank_to_null(c)
-        value = self.convert(text)
-        return Parsed(value, outcome(text, value, self.message(text)))
+    convert: Callable[[Column, Column], Column]
+    message: Callable[[Column], Column]
+    prepare: Callable[[Column], Column] = lambda text: text
 
 
 def number_or_null(text: Column) -> Column:
@@ -82,12 +77,12 @@ def number_or_null(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
-def money_or_null(text: Column) -> Column:
-    return number_or_null(strip(F.translate(text, "$,", "")))
+def without_money_signs(text: Column) -> Column:
+    bare = F.replace(F.replace(text, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
+    return strip(bare)
 
 
-def boolean_or_null(text: Column) -> Column:
-    word = F.lower(text)
+def boolean_or_null(word: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
@@ -115,9 +110,9 @@ def text_to_timestamp(text: Column) -> Column:
     )
 
 
-def date_or_null(text: Column) -> Column:
+def date_or_null(text: Column, number: Column) -> Column:
     """Numeric text is a serial; other text goes through the fixed list of date forms."""
-    return F.coalesce(serial_to_timestamp(number_or_null(text)), text_to_timestamp(text))
+    return F.coalesce(serial_to_timestamp(number), text_to_timestamp(text))
 
 
 def iso_text(ts: Column) -> Column:
@@ -131,13 +126,11 @@ def iso_text(ts: Column) -> Column:
 
 
 KINDS = {
-    "text": Kind(lambda text: text, lambda _: F.lit(None).cast("string")),
-    "number": Kind(money_or_null, lambda _: F.lit(BAD_NUMBER)),
-    "boolean": Kind(boolean_or_null, lambda _: F.lit(BAD_BOOLEAN)),
-    "date": Kind(date_or_null, lambda _: F.lit(BAD_DATE)),
+    "text": Kind(lambda text, _: text, lambda _: F.lit(None).cast("string")),
+    "number": Kind(lambda _, bare: number_or_null(bare), lambda _: F.lit(BAD_NUMBER), without_money_signs),
+    "boolean": Kind(lambda _, word: boolean_or_null(word), lambda _: F.lit(BAD_BOOLEAN), F.lower),
+    "date": Kind(date_or_null, lambda _: F.lit(BAD_DATE), number_or_null),
 }
-parse_text, parse_number, parse_boolean, parse_date = (
-    KINDS[k].parse for k in ("text", "number", "boolean", "date"))
 
 
 def kind_of(name: str | None) -> Kind:

@@ -20,8 +20,8 @@ def error_map(errors: dict[str, Column]) -> Column:
 def texts(df: DataFrame, sources: dict[str, Column], keep) -> DataFrame:
     """Trimmed, blank-free text of each source column.
 
-    Typing is done in steps, one select each: text, value, error. A value used
-    by a later step is then computed once per row and stays in generated code;
+    Typing is done in steps, one select each: text, prepared text, value,
+    error. What a later step uses is then computed once per row and stays in generated code;
     nested in one expression it would be repeated at every use.
     """
     trimmed = df.select(*keep, *[strip(c).alias(n) for n, c in sources.items()])
@@ -30,7 +30,9 @@ def texts(df: DataFrame, sources: dict[str, Column], keep) -> DataFrame:
 
 def convert(df: DataFrame, kinds: dict[str, Kind], keep) -> DataFrame:
     """``value_<name>`` next to the text of every column."""
-    return df.select(*keep, *kinds, *[k.convert(F.col(n)).alias(f"value_{n}") for n, k in kinds.items()])
+    prepared = df.select(*keep, *kinds, *[k.prepare(F.col(n)).alias(f"prepared_{n}") for n, k in kinds.items()])
+    return prepared.select(*keep, *kinds, *[
+        k.convert(F.col(n), F.col(f"prepared_{n}")).alias(f"value_{n}") for n, k in kinds.items()])
 
 
 def computed_once(df: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:

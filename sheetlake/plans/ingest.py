@@ -63,20 +63,20 @@ SELECT row_number, {fx.duck_blank('total_raw')} AS total, {fx.duck_blank('date_r
         cells.blank_to_null("date_raw").alias("order_date"), cells.blank_to_null("flag_raw").alias("gift")))
 
 
-def _parsed(parse, source, field):
+def _parsed(source, field, kind):
     def run(spark, folder):
-        value, error = parse(source)
-        return fx.raw_orders(spark, folder).select("row_number", value.alias(field), error.alias("error"))
+        typed = mapping.normalize_rows(fx.raw_orders(spark, folder), {source: {"field": field, "type": kind}})
+        return typed.select("row_number", field, F.col("errors")[field].alias("error"))
     return run
 
 
-for _key, _parse, _source, _field in (
-    ("clean_number", cells.parse_number, "total_raw", "total"),
-    ("clean_date", cells.parse_date, "date_raw", "order_date"),
-    ("clean_boolean", cells.parse_boolean, "flag_raw", "gift"),
+for _key, _source, _field, _kind in (
+    ("clean_number", "total_raw", "total", "number"),
+    ("clean_date", "date_raw", "order_date", "date"),
+    ("clean_boolean", "flag_raw", "gift", "boolean"),
 ):
     register(_key, f"WITH {fx.CLEAN_ORDERS_DUCK} SELECT row_number, {_field}, {_field}_error AS error FROM clean")(
-        _parsed(_parse, _source, _field))
+        _parsed(_source, _field, _kind))
 
 register("serial_date", """
 SELECT o_orderkey, o_totalprice / 10 AS serial,
