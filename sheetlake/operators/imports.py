@@ -51,15 +51,18 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
 
     columns = [c.name for c in target.columns]
     rows = scan_rows(files, columns, sheet).withColumn("run_id", F.lit(run_id))
-    raw = _written(with_sequence(rows.where("error IS NULL").drop("error")), f"{store}/raw")
+    scanned_rows = _written(with_sequence(rows), f"{store}/raw")
+    raw = scanned_rows.where("error IS NULL").drop("error")
+    # A file may be damaged behind its header; what was read of it must not count.
+    damaged = scanned_rows.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("scan_error"))
 
     checked = coerce_rows(raw, target, keep=(*PLACE, "row_number", "ordinal", "seq"), cells="cells")
-    runs = _written(_outcomes(headers, import_summary(checked, PLACE), run_id), f"{store}/runs")
+    runs = _written(_outcomes(headers, damaged, import_summary(checked, PLACE), run_id), f"{store}/runs")
 
     good = runs.where("outcome = 'success'")
     total = good.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
     if total:
-        base = reserve_ids(spark, table, raw.count())
+        base = reserve_ids(spark, table, scanned_rows.count())
         numbered = number_rows(checked.drop("errors"), base)
         publish_rows(spark, table, numbered.join(good.select(*PLACE), list(PLACE), "left_semi"), run_id)
     matching = checked.join(runs.where("outcome = 'rejected'").select(*PLACE), list(PLACE), "left_semi")
@@ -75,12 +78,13 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _outcomes(headers: DataFrame, summary: DataFrame, run_id: str) -> DataFrame:
+def _outcomes(headers: DataFrame, damaged: DataFrame, summary: DataFrame, run_id: str) -> DataFrame:
     """A mismatched or unreadable sheet keeps its outcome whatever its rows hold."""
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total_rows", "ok_rows", "error_rows")]
-    outcome = (F.when(F.col("error").isNotNull(), "failure")
+    error = F.coalesce("error", "scan_error")
+    outcome = (F.when(error.isNotNull(), "failure")
                .when(~F.col("ok"), "header_mismatch")
                .otherwise(F.coalesce("outcome", F.lit("success"))))
-    return headers.join(summary, list(PLACE), "left").select(
+    return headers.join(damaged, "path", "left").join(summary, list(PLACE), "left").select(
         F.lit(run_id).alias("run_id"), *PLACE, "missing", "extra", "duplicates", "expected", "provided",
-        *counts, outcome.alias("outcome"), "error")
+        *counts, outcome.alias("outcome"), error.alias("error"))

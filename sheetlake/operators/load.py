@@ -114,16 +114,17 @@ def with_sequence(rows: DataFrame, column: str = "seq") -> DataFrame:
 def dense_ids(rows: DataFrame, base: int = 0, seq: str = "seq", column: str = "id") -> DataFrame:
     """Gap-free ids ``base + 1 ...`` in sequence order, without shuffling the rows.
 
-    ``rows`` must be written or checkpointed with its sequence column. The only
-    thing broadcast is one offset per partition, a number fixed by the job and not by the data.
+    ``rows`` must be written or checkpointed with its sequence column; rows left
+    out since then leave a gap. The only thing broadcast is one offset per
+    partition, and the partitions are the tasks of one job.
     """
     part = F.shiftright(F.col(seq), _LOCAL_BITS)
+    local = F.col(seq).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     ordered = Window.orderBy("part")
     offsets = (
-        rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy(part.alias("part")).agg((F.max(local) + 1).alias("n"))
         .select("part", (F.sum("n").over(ordered) - F.col("n")).alias("before"))
     )
-    local = F.col(seq).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return (
         rows.withColumn("part", part).join(F.broadcast(offsets), "part")
         .withColumn(column, F.lit(base) + F.col("before") + local + 1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
@@ -34,6 +35,11 @@ _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
+# What a damaged file raises: zip, deflate, XML, missing parts, bad references and numbers.
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, expat.ExpatError, ElementTree.ParseError,
+           KeyError, IndexError, ValueError)
+
+
 # ---- one workbook, inside a task ------------------------------------------------
 
 def _local(name: str) -> str:
@@ -214,13 +220,18 @@ def _header_cells(first, strings) -> list[tuple[int, str]]:
 
 
 def _each_file(batches, read, schema):
-    """Run ``read(path, workbook)`` over every path; an unreadable file gives an error row."""
+    """Run ``read(path, workbook)`` over every path; an unreadable file gives an error row.
+
+    A file can turn out damaged after some of its rows are out, so whoever takes
+    the rows has to look at the error rows too. Storage errors are raised, for
+    Spark to repeat the task.
+    """
     for batch in batches:
         for path in batch.column("path").to_pylist():
             try:
                 with open_input(path) as raw, zipfile.ZipFile(raw) as book:
                     yield from read(path, book)
-            except (zipfile.BadZipFile, KeyError, expat.ExpatError, ElementTree.ParseError) as error:
+            except DAMAGED as error:
                 yield _error_batch(schema, path, None, f"Cannot read workbook: {error}")
 
 
