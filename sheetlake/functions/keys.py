@@ -29,6 +29,7 @@ def number_text(c: Column) -> Column:
     return (
         F.when(F.isnan(c) | (size == float("inf")), F.lit(None).cast("string"))
         .when((c == F.floor(c).cast("double")) & (size < 1e15), c.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), c.cast("string"))
         .when((size >= 1e-6) & (size < 1e15), plain)
         .when((size >= 1e15) & (size < 1e21), c.cast("decimal(38,0)").cast("string"))
         .otherwise(scientific)

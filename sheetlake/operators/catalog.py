@@ -54,8 +54,8 @@ def create_table(spark: SparkSession, name: str, columns, location: str | None =
 
     Rows live in one partition per load run, registered in the catalog only
     after all its files are committed. A column flagged ``indexed`` gets parquet
-    bloom filters, and loads sort by the flagged columns, so lookups on them skip files
-    and row groups.
+    bloom filters, and loads sort each file by the flagged columns, so lookups on
+    them skip row groups and pages.
     """
     columns = [TargetColumn(*c) if not isinstance(c, TargetColumn) else c for c in columns]
     check_names(name, columns)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import row_json
+from ..session import checkpointed
+from ..sources.tables import qualified
+
+BUCKET = "key_bucket"
 
 
 def raw_rows(rows: DataFrame, run_id: str, row_number: str = "row_number") -> DataFrame:
@@ -51,6 +55,39 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Dat
     return kept.unionByName(fresh.select(*current.columns))
 
 
+def create_curated(spark: SparkSession, table: str, schema: str, key: str, buckets: int = 256) -> None:
+    """A curated table, partitioned by a hash of its business key.
+
+    Keys are unique in it, so the partitions are even whatever the imports hold.
+    """
+    spark.sql(f"CREATE TABLE {qualified(table)} ({schema}, {BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}) "
+              f"TBLPROPERTIES ('sheetlake.key' = '{key}', 'sheetlake.buckets' = '{buckets}')")
+
+
+def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: str) -> int:
+    """Bring an import into a curated table; returns how many partitions were rewritten.
+
+    Only the partitions that hold an incoming key are read and replaced. The
+    result depends on the newest rows alone, so a run that is cut short is put
+    right by running it again.
+    """
+    about = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {qualified(table)}").collect()}
+    key, buckets = about["sheetlake.key"], int(about["sheetlake.buckets"])
+    columns = [c for c in spark.table(qualified(table)).columns if c != BUCKET]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = checkpointed(newest_per_key(incoming.where(F.col(key).isNotNull()).select(*columns), key, order)
+                         .withColumn(BUCKET, bucket))
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if touched:
+        current = spark.table(qualified(table)).where(F.col(BUCKET).isin(touched))
+        kept = current.join(fresh.select(key), key, "left_anti")
+        merged = kept.select(*columns, BUCKET).unionByName(fresh.select(*columns, BUCKET))
+        # Complete in the shared folder before the first old partition is replaced.
+        (checkpointed(merged.repartition(BUCKET)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").insertInto(qualified(table)))
+    return len(touched)
+
+
 def missing_related(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Left rows with no match on the join key; a null key never matches.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +17,28 @@ from .mapping import row_errors
 PLACE = ("path", "sheet")
 
 
-class ImportReport(NamedTuple):
+@dataclass(frozen=True)
+class ImportReport:
     """``runs``: one row per workbook with its header check, counts and outcome.
 
-    ``errors``: every failed field. ``first_errors``: those of each sheet's first
-    failing batch of 1000 rows. ``raw``: the rows as read, tagged with the run.
+    ``raw``: the rows as read, tagged with the run. ``published_rows``: rows now
+    in the table. The error reports are computed when asked for.
     """
 
     run_id: str
     runs: DataFrame
-    errors: DataFrame
-    first_errors: DataFrame
     raw: DataFrame
     published_rows: int
+    rejected: DataFrame
+
+    def errors(self) -> DataFrame:
+        """Every failed field of the rejected sheets."""
+        return row_errors(self.rejected, (*PLACE, "row_number"))
+
+    def first_errors(self) -> DataFrame:
+        """Those of each sheet's first failing batch of 1000 rows."""
+        failing = first_bad_batch(self.rejected, F.col("ordinal"), PLACE, BATCH_ROWS)
+        return row_errors(failing, (*PLACE, "row_number", "batch"))
 
 
 def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | None = None) -> ImportReport:
@@ -63,14 +72,10 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     total = good.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
     if total:
         base = reserve_ids(spark, table, scanned_rows.count())
-        numbered = number_rows(checked.drop("errors"), base)
+        numbered = number_rows(checked.drop("errors"), scanned_rows, base)
         publish_rows(spark, table, numbered.join(good.select(*PLACE), list(PLACE), "left_semi"), run_id)
-    matching = checked.join(runs.where("outcome = 'rejected'").select(*PLACE), list(PLACE), "left_semi")
-    return ImportReport(
-        run_id, runs,
-        row_errors(matching, (*PLACE, "row_number")),
-        row_errors(first_bad_batch(matching, F.col("ordinal"), PLACE, BATCH_ROWS), (*PLACE, "row_number", "batch")),
-        raw, total)
+    rejected = runs.where("outcome = 'rejected'").select(*PLACE)
+    return ImportReport(run_id, runs, raw, total, checked.join(rejected, list(PLACE), "left_semi"))
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

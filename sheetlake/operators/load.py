@@ -76,9 +76,9 @@ def _type_of(column) -> str:
     return SPARK_TYPES.get(column.data_type, "bigint")
 
 
-def number_rows(checked: DataFrame, base: int) -> DataFrame:
+def number_rows(checked: DataFrame, raw: DataFrame, base: int) -> DataFrame:
     """``id`` for every row: the one the sheet gives, else the next of the sequence."""
-    numbered = dense_ids(checked, base, column="next_id")
+    numbered = dense_ids(checked, base, column="next_id", source=raw)
     given = F.col("id") if "id" in checked.columns else F.lit(None).cast("bigint")
     return numbered.withColumn("id", F.coalesce(given, F.col("next_id"))).drop("next_id")
 
@@ -97,11 +97,12 @@ def import_summary(checked: DataFrame, by=()) -> DataFrame:
 def first_bad_batch(checked: DataFrame, ordinal: Column, by=(), batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Rows with errors in the first batch (per ``by``) that has any.
 
-    Only failing rows carry on past the filter, and the minimum is one row per
-    group, combined before the shuffle.
+    The failing rows are written once, so that finding the batch and fetching its
+    rows do not type the whole source twice. The minimum is one row per group,
+    combined before the shuffle.
     """
-    failing = checked.where(F.size("errors") > 0).withColumn(
-        "batch", F.floor((ordinal - 1) / batch_rows).cast("bigint"))
+    failing = checkpointed(checked.where(F.size("errors") > 0).withColumn(
+        "batch", F.floor((ordinal - 1) / batch_rows).cast("bigint")))
     first = failing.groupBy(*by).agg(F.min("batch").alias("batch"))
     return failing.join(first, [*by, "batch"], "left_semi")
 
@@ -111,18 +112,21 @@ def with_sequence(rows: DataFrame, column: str = "seq") -> DataFrame:
     return rows.withColumn(column, F.monotonically_increasing_id())
 
 
-def dense_ids(rows: DataFrame, base: int = 0, seq: str = "seq", column: str = "id") -> DataFrame:
+def dense_ids(rows: DataFrame, base: int = 0, seq: str = "seq", column: str = "id",
+              source: DataFrame | None = None) -> DataFrame:
     """Gap-free ids ``base + 1 ...`` in sequence order, without shuffling the rows.
 
     ``rows`` must be written or checkpointed with its sequence column; rows left
-    out since then leave a gap. The only thing broadcast is one offset per
-    partition, and the partitions are the tasks of one job.
+    out since then leave a gap. ``source`` is the written table when ``rows`` was
+    computed from it, so that counting reads its sequence column and nothing else.
+    The only thing broadcast is one offset per partition, and the partitions are
+    the tasks of one job.
     """
     part = F.shiftright(F.col(seq), _LOCAL_BITS)
     local = F.col(seq).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     ordered = Window.orderBy("part")
     offsets = (
-        rows.groupBy(part.alias("part")).agg((F.max(local) + 1).alias("n"))
+        (source or rows).groupBy(part.alias("part")).agg((F.max(local) + 1).alias("n"))
         .select("part", (F.sum("n").over(ordered) - F.col("n")).alias("before"))
     )
     return (
@@ -158,8 +162,9 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
     names = [c.name for c in target.columns]
     rows = rows.select(*names)
     if target.indexed:
-        order = [*target.indexed, "id"]  # the unique id splits a hot value over many files
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        # Sorted within each file, without a shuffle: page statistics and the bloom
+        # filters then skip most of a file, and a hot value stays spread over files.
+        rows = rows.sortWithinPartitions(*target.indexed)
     view = f"publish_{run_id.replace('-', '_')}"
     rows.createOrReplaceTempView(quote_name(view))
     try:
@@ -182,5 +187,5 @@ def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
         base = reserve_ids(spark, table, total)
-        publish_rows(spark, table, number_rows(checked, base), run_id)
+        publish_rows(spark, table, number_rows(checked, raw, base), run_id)
     return LoadResult(bad == 0, total, bad)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import row_hash
 from ..sources.tables import qualified, split_table_name
 from .catalog import copy_properties
 
@@ -21,12 +20,19 @@ MANIFEST = "manifest"
 _MANIFEST_SCHEMA = "table_name STRING, definition STRING, row_count BIGINT, content_hash DECIMAL(38,0)"
 
 
-def content_hash(df: DataFrame, columns=None) -> DataFrame:
-    """Row count and an order-free sum of row hashes: one pass, one tiny shuffle."""
-    high = F.conv(F.substring(row_hash(df, columns), 1, 15), 16, 10).cast("decimal(20,0)")
+def content_hash(df: DataFrame) -> DataFrame:
+    """Row count and an order-free sum of row hashes: one pass, one row per task shuffled.
+
+    Nulls leave a hash unchanged, so each column is hashed with its null flag.
+    """
+    unhashable = (T.MapType, T.VariantType)
+    parts = []
+    for f in df.schema.fields:
+        c = F.to_json(f.name) if isinstance(f.dataType, unhashable) else F.col(f.name)
+        parts += [c, c.isNull()]
     return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.coalesce(F.sum(high).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-                  .alias("content_hash"))
+                  F.coalesce(F.sum(F.xxhash64(*parts).cast("decimal(20,0)")).cast("decimal(38,0)"),
+                             F.lit(0).cast("decimal(38,0)")).alias("content_hash"))
 
 
 def snapshot_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -84,6 +84,23 @@ SELECT * FROM current WHERE business_key NOT IN (SELECT business_key FROM incomi
         current, rows.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")),
         "business_key", "o_orderkey"))(*_curated_state(spark, folder)))
 
+@register("upsert_table", f"""
+WITH {_CURATED},
+newest AS (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY o_orderkey DESC) = 1)
+SELECT * FROM newest""")
+def upsert_table(spark, folder):
+    """The same import in two halves, each rewriting only the partitions it touches."""
+    _, rows = _curated_state(spark, folder)
+    table = scratch_path(spark, "curated").rsplit("/", 1)[1].replace("-", "_")
+    curated.create_curated(spark, table, "o_orderkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, "
+                           "business_key STRING, row_hash STRING", "business_key", buckets=16)
+    middle = F.lit("1998-06-01").cast("timestamp_ntz")
+    newer = F.col("o_orderdate") >= middle
+    for part in (rows.where(newer), rows):
+        curated.upsert_table(spark, table, part, "o_orderkey")
+    return spark.table(table).drop(curated.BUCKET)
+
+
 register("report_missing_related", """
 SELECT p.p_partkey, p.p_name FROM part p
 LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R') l

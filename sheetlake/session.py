@@ -64,6 +64,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def checkpointed(df):
-    """Materialise ``df`` in the shared folder so a lost executor cannot change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back from there.
+
+    Later steps, and tasks repeated on another executor, all see the same rows.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -43,7 +43,7 @@ def test_bad_row_rejects_its_sheet_only(spark, tmp_path, name):
     assert report.published_rows == 3
     rows = spark.table(name).orderBy("id").select("name", "value").collect()
     assert [tuple(r) for r in rows] == [("ok", 5), (None, None), (None, 7)]
-    errors = report.errors.orderBy("row_number").select("row_number", "field", "error").collect()
+    errors = report.errors().orderBy("row_number").select("row_number", "field", "error").collect()
     assert [tuple(e) for e in errors] == [
         (3, "value", 'invalid input syntax for type integer: "many"'),
         (4, "value", 'invalid input syntax for type integer: "3.5"')]
@@ -56,8 +56,8 @@ def test_first_bad_batch_is_reported_apart(spark, tmp_path, name):
     rows = [["name", "value"]] + [["n", "bad" if i in (1500, 1999, 2500) else i] for i in range(3000)]
     simple_book(tmp_path / "in.xlsx", rows)
     report = import_workbooks(workbook_files(spark, str(tmp_path)), name, "run_1")
-    assert report.errors.count() == 3
-    first = report.first_errors.orderBy("row_number").collect()
+    assert report.errors().count() == 3
+    first = report.first_errors().orderBy("row_number").collect()
     assert [(r["row_number"], r["batch"]) for r in first] == [(1502, 1), (2001, 1)]
 
 
@@ -84,7 +84,7 @@ def test_defaults_required_and_given_ids(spark, tmp_path, name):
     assert outcomes(report) == {"a.xlsx": "success", "b.xlsx": "rejected", "c.xlsx": "header_mismatch"}
     rows = spark.table(name).orderBy("id").select("id", "name", "kind", F.col("at").cast("string"), F.to_json("doc")).collect()
     assert [tuple(r) for r in rows] == [(500, "x", "plain", "2024-01-01 12:00:00", "{}"), (501, "y", "plain", None, None)]
-    assert report.errors.first()["error"] == f'null value in column "kind" of relation "{name}" violates not-null constraint'
+    assert report.errors().first()["error"] == f'null value in column "kind" of relation "{name}" violates not-null constraint'
 
 
 def test_repeated_run_replaces_itself(spark, tmp_path, name):
@@ -143,13 +143,9 @@ def test_indexed_column_gets_bloom_filter_and_order(spark, name):
     load_rows(spark, name, checkpointed(with_sequence(rows)), "run_1")
     files = glob.glob(location.replace("file:", "") + "/load_run=run_1/*.parquet")
     assert files
-    ranges = []
     for f in files:
         names = pq.read_table(f, columns=["name"]).column("name").to_pylist()
         assert names == sorted(names)
-        ranges.append((names[0], names[-1]))
-    ranges.sort()
-    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
     assert spark.table(name).where("name = '77'").count() == 1
 
 
