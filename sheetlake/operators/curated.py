@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import row_json
 from ..session import checkpointed
 from ..sources.tables import qualified
+from .skew import split_join
 
 BUCKET = "key_bucket"
 
@@ -34,10 +35,10 @@ def newest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 def classify_changes(incoming: DataFrame, current: DataFrame, key: str, row_hash: str) -> DataFrame:
     """``incoming`` with ``change``: new, changed or unchanged against ``current``.
 
-    ``current`` is a curated table: one row per key.
+    ``current`` is a curated table: one row per key. The import may repeat keys.
     """
     known = current.select(F.col(key), F.col(row_hash).alias("current_hash"))
-    return incoming.join(known, key, "left").withColumn(
+    return split_join(incoming, known, [(key, key)], "left").withColumn(
         "change",
         F.when(F.col("current_hash").isNull(), "new")
         .when(F.col("current_hash") == F.col(row_hash), "unchanged")
@@ -55,12 +56,14 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Dat
     return kept.unionByName(fresh.select(*current.columns))
 
 
-def create_curated(spark: SparkSession, table: str, schema: str, key: str, buckets: int = 256) -> None:
+def create_curated(spark: SparkSession, table: str, schema: str, key: str, buckets: int = 256,
+                   location: str | None = None) -> None:
     """A curated table, partitioned by a hash of its business key.
 
     Keys are unique in it, so the partitions are even whatever the imports hold.
     """
     spark.sql(f"CREATE TABLE {qualified(table)} ({schema}, {BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}) "
+              + (f"LOCATION '{location}' " if location else "") +
               f"TBLPROPERTIES ('sheetlake.key' = '{key}', 'sheetlake.buckets' = '{buckets}')")
 
 
@@ -91,11 +94,11 @@ def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: st
 def missing_related(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Left rows with no match on the join key; a null key never matches.
 
-    The right side is reduced to its distinct keys first (combined in each task
-    before the shuffle); adaptive execution splits a heavy left key.
+    The right side is reduced to its distinct keys first, combined in each task
+    before the shuffle; rows of a heavy left key are spread.
     """
-    keys = right.select(F.col(right_key or left_key).alias(left_key)).distinct()
-    return left.join(keys, left_key, "left_anti")
+    right_key = right_key or left_key
+    return split_join(left, right.select(right_key).distinct(), [(left_key, right_key)], "left_anti")
 
 
 def duplicate_keys(rows: DataFrame, key: str = "business_key") -> DataFrame:
@@ -108,15 +111,10 @@ def join_related(left: DataFrame, right: DataFrame, mapping: list[tuple[str, str
     The right side's key columns are dropped; other clashing names get ``right_``.
     """
     taken = set(left.columns)
-    keys = {r: f"__key_{i}" for i, (_, r) in enumerate(mapping)}
-    renamed = right.select(
-        *[F.col(r).alias(k) for r, k in keys.items()],
-        *[F.col(c).alias(f"right_{c}" if c in taken else c) for c in right.columns if c not in keys])
-    condition: Column | None = None
-    for left_name, right_name in mapping:
-        equal = left[left_name] == renamed[keys[right_name]]
-        condition = equal if condition is None else condition & equal
-    return left.join(renamed, condition, how).drop(*keys.values())
+    keys = [r for _, r in mapping]
+    right = right.select(*[F.col(c) if c in keys or c not in taken else F.col(c).alias(f"right_{c}")
+                           for c in right.columns])
+    return split_join(left, right, mapping, how)
 
 
 def report_summary(report: DataFrame, measures=()) -> DataFrame:

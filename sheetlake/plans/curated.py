@@ -91,9 +91,10 @@ SELECT * FROM newest""")
 def upsert_table(spark, folder):
     """The same import in two halves, each rewriting only the partitions it touches."""
     _, rows = _curated_state(spark, folder)
-    table = scratch_path(spark, "curated").rsplit("/", 1)[1].replace("-", "_")
+    path = scratch_path(spark, "curated")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
     curated.create_curated(spark, table, "o_orderkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, "
-                           "business_key STRING, row_hash STRING", "business_key", buckets=16)
+                           "business_key STRING, row_hash STRING", "business_key", 16, path)
     middle = F.lit("1998-06-01").cast("timestamp_ntz")
     newer = F.col("o_orderdate") >= middle
     for part in (rows.where(newer), rows):

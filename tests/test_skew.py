@@ -58,6 +58,48 @@ def test_duplicates_and_missing(spark):
     assert sorted(r["seq"] for r in missing.collect()) == sorted(r[0] for r in rows if r[1] not in have)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("rows_per_part", [100, 10**9])
+def test_split_join(spark, how, rows_per_part):
+    """Heavy keys are spread, nulls match nothing, and the result is that of a plain join."""
+    from sheetlake.operators.skew import heavy_keys, split_join
+
+    rows, df = skewed(spark)
+    df = df.withColumn("key", F.when(F.col("seq") % 10 != 1, F.col("key")))
+    pick = random.Random(5)
+    names = [("hot", "Hot"), ("hot", "Hot again"), (None, "nobody")] + [
+        (f"k{i}", f"K{i}") for i in range(400) if pick.random() < 0.5]
+    right = spark.createDataFrame(names, "code string, label string")
+    found = heavy_keys(df, [F.col("key")], rows_per_part)
+    assert len(found) == (1 if rows_per_part == 100 else 0)
+    if found:
+        assert found[0][1] == 18  # 1800 rows
+    got = split_join(df, right, [("key", "code")], how, rows_per_part)
+    plain = df.join(right.withColumnRenamed("code", "key"), "key", how).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    if found and how == "inner":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            sizes = split_join(df, right, [("key", "code")], how, rows_per_part).where("key = 'hot'").groupBy(
+                F.spark_partition_id()).count().collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(sizes) >= 5  # of 8 partitions
+
+
+def test_split_join_on_two_columns_and_mixed_types(spark):
+    from sheetlake.operators.skew import split_join
+
+    left = spark.range(1000).selectExpr("CAST(id % 7 AS INT) AS a", "id % 3 AS b", "id")
+    right = spark.range(7).selectExpr("id AS x", "id % 3 AS y", "id * 10 AS z")
+    expected = sum(1 for i in range(1000) if (i % 7) % 3 == i % 3)
+    assert split_join(left, right, [("a", "x"), ("b", "y")], rows_per_part=10).count() == expected
+    right = right.withColumn("x", F.col("x").cast("int"))
+    assert split_join(left, right, [("a", "x"), ("b", "y")], rows_per_part=10).count() == expected
+
+
 def test_relationship_join_renames_clashes(spark):
     rows, df = skewed(spark)
     names = spark.createDataFrame([("hot", "Hot", "x")] + [(f"k{i}", f"K{i}", "y") for i in range(0, 400, 2)],
