@@ -117,12 +117,14 @@ def date_or_null(text: Column, number: Column) -> Column:
 
 def iso_text(ts: Column) -> Column:
     """``YYYY-MM-DDTHH:mm:ss.sssZ``; years outside 0-9999 take a sign and six digits."""
-    ts = ts.cast("timestamp_ntz")
-    year = F.year(ts)
+    text = ts.cast("timestamp_ntz").cast("string")  # free of the session's zone
+    day, time = F.substring_index(text, " ", 1), F.substring_index(text, " ", -1)
+    year = F.year(ts.cast("timestamp_ntz"))
     shown = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(
         F.concat(F.when(year < 0, F.lit("-")).otherwise(F.lit("+")),
                  F.lpad(F.abs(year).cast("string"), 6, "0")))
-    return F.concat(shown, F.date_format(ts, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return F.concat(shown, F.right(day, F.lit(6)), F.lit("T"), F.substring(time, 1, 8), F.lit("."),
+                    F.rpad(F.substring(time, 10, 3), 3, "0"), F.lit("Z"))
 
 
 KINDS = {

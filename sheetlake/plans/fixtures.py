@@ -47,7 +47,8 @@ RAW_ORDERS_DUCK = _RAW_ORDERS.format(
 _RAW_ORDERS_SPARK = _RAW_ORDERS.format(
     tab="'\\t'", nbsp="'\\u00a0'", wide="'\\u3000'", g="$",
     serial="datediff(DAY, DATE'1899-12-30', CAST(o_orderdate AS DATE))",
-    us="date_format(o_orderdate, 'M/d/yyyy')", named="date_format(o_orderdate, 'MMM d, yyyy')")
+    us="date_format(CAST(o_orderdate AS DATE), 'M/d/yyyy')",
+    named="date_format(CAST(o_orderdate AS DATE), 'MMM d, yyyy')")
 
 ORDER_MAPPING = {
     "customer_raw": {"field": "customer_id", "type": "number"},

@@ -140,7 +140,7 @@ SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN (
 statement("sql_asof", """
 WITH marked AS (
     SELECT event_id, user_id, ts, event_type, value,
-           timestampdiff(MINUTE, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS minute,
+           datediff(CAST(ts AS DATE), DATE '1970-01-01') * 1440 + hour(ts) * 60 + minute(ts) AS minute,
            CASE WHEN event_type = 'view' THEN struct(ts, event_id, value) END AS seen
     FROM events WHERE event_type IN ('view', 'purchase')),
 near AS (

@@ -67,13 +67,14 @@ def compare(spark, con, run, sql: str, folder: str) -> str | None:
 
 
 def main(argv) -> int:
-    """python tests/oracle.py FOLDER [KEY ...]"""
+    """python tests/oracle.py FOLDER [KEY ...]; ORACLE_CONF adds settings, as ``key=value key=value``."""
     from sheetlake.plans import all_oracles, all_queries
     from sheetlake.session import build_session
 
     folder, wanted = argv[0], argv[1:]
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **dict(p.split("=", 1) for p in os.environ.get("ORACLE_CONF", "").split() if p)})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = all_queries(), all_oracles()
