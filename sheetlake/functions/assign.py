@@ -31,8 +31,8 @@ def _syntax(type_name: str):
     return lambda text: F.concat(F.lit(f'invalid input syntax for type {type_name}: "'), text, F.lit('"'))
 
 
-def _whole(spark_type: str):
-    return lambda text, _: F.when(text.rlike(INTEGER_SHAPE), text.try_cast(spark_type))
+def _whole(integer_type: str):
+    return lambda text, _: F.when(text.rlike(INTEGER_SHAPE), text.try_cast(integer_type))
 
 
 def _whole_message(text: Column) -> Column:
@@ -77,3 +77,25 @@ ASSIGN = {
     "TIMESTAMP": Kind(date_or_null, _syntax("timestamp"), number_or_null),
     "JSONB": Kind(json_or_null, lambda _: F.lit("invalid input syntax for type json"), _as_element),
 }
+
+
+def kind_for(type_name: str) -> Kind:
+    """How a column type takes text: a type a new table may have, or any Spark scalar type."""
+    if type_name in ASSIGN:
+        return ASSIGN[type_name]
+    base = type_name.split("(")[0]
+    if base in ("tinyint", "smallint", "int", "bigint"):
+        return Kind(_whole(type_name), _whole_message)
+    if base in ("float", "double", "decimal"):
+        return Kind(lambda text, _: F.when(text.rlike(NUMBER_SHAPE), text.try_cast(type_name)), _numeric_message)
+    if base in ("timestamp", "timestamp_ntz", "date"):
+        return Kind(lambda text, number: date_or_null(text, number).cast(type_name), _syntax(base), number_or_null)
+    if base in ("boolean", "variant"):
+        return ASSIGN["BOOLEAN" if base == "boolean" else "JSONB"]
+    if base in ("string", "char", "varchar"):
+        return ASSIGN["TEXT"]
+    raise ValueError(f"Cannot load text into a column of type {type_name}")
+
+
+def spark_type(type_name: str) -> str:
+    return "bigint" if type_name == "SERIAL" else SPARK_TYPES.get(type_name, type_name)

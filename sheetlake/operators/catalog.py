@@ -31,6 +31,7 @@ class TargetTable(NamedTuple):
     columns: tuple[TargetColumn, ...]
     indexed: tuple[str, ...] = ()
     next_id: int = 1
+    by_run: bool = False  # rows live in one partition per load run
 
 
 ID_COLUMN = TargetColumn("id", "SERIAL", True, "serial")
@@ -92,23 +93,29 @@ def _properties(spark: SparkSession, name: str) -> dict:
 
 def target_table(spark: SparkSession, name: str) -> TargetTable:
     """Column specification of an existing table, in column order. Metadata only."""
-    about = spark.sql(f"DESCRIBE TABLE EXTENDED {qualified(name)} AS JSON").first()[0]
+    about = describe(spark, name)
     kept = _properties(spark, name)
-    types, required = kept.get("types", {}), kept.get("required", [])
-    indexed = kept.get("indexed", [])
-    by_spark_type = {v: k for k, v in SPARK_TYPES.items()}
+    types, required, indexed = kept.get("types", {}), kept.get("required", []), kept.get("indexed", [])
+    by_run = RUN_COLUMN in about.get("partition_columns", [])
+    known = {v: k for k, v in SPARK_TYPES.items()}
+    schema = spark.table(qualified(name)).schema
     columns = []
-    for c in json.loads(about)["columns"]:
-        if c["name"] == RUN_COLUMN:
+    for c in about["columns"]:
+        field = c["name"]
+        if by_run and field == RUN_COLUMN:
             continue
-        if c["name"] == "id" and kept:
+        if field == "id" and "next_id" in kept:
             columns.append(ID_COLUMN)
             continue
-        spark_type = spark.table(qualified(name)).schema[c["name"]].dataType.simpleString()
+        found = schema[field].dataType.simpleString()
         columns.append(TargetColumn(
-            c["name"], types.get(c["name"]) or by_spark_type.get(spark_type, "TEXT"),
-            c["name"] in required, c.get("default"), c["name"] in indexed))
-    return TargetTable(name, tuple(columns), tuple(indexed), kept.get("next_id", 1))
+            field, types.get(field) or known.get(found, found),
+            field in required or not c["nullable"], c.get("default"), field in indexed))
+    return TargetTable(name, tuple(columns), tuple(indexed), kept.get("next_id", 1), by_run)
+
+
+def describe(spark: SparkSession, name: str) -> dict:
+    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {qualified(name)} AS JSON").first()[0])
 
 
 def reserve_ids(spark: SparkSession, name: str, count: int) -> int:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources.workbook_reader import scan_headers, scan_rows
-from .catalog import reserve_ids, target_table
+from .catalog import target_table
 from .headers import header_report
-from .load import BATCH_ROWS, coerce_rows, first_bad_batch, import_summary, number_rows, publish_rows, with_sequence
+from .load import BATCH_ROWS, coerce_rows, first_bad_batch, import_summary, publish_rows, with_ids, with_sequence
 from .mapping import row_errors
 
 PLACE = ("path", "sheet")
@@ -71,8 +71,7 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     good = runs.where("outcome = 'success'")
     total = good.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
     if total:
-        base = reserve_ids(spark, table, scanned_rows.count())
-        numbered = number_rows(checked.drop("errors"), scanned_rows, base)
+        numbered = with_ids(spark, target, checked.drop("errors"), scanned_rows)
         publish_rows(spark, table, numbered.join(good.select(*PLACE), list(PLACE), "left_semi"), run_id)
     rejected = runs.where("outcome = 'rejected'").select(*PLACE)
     return ImportReport(run_id, runs, raw, total, checked.join(rejected, list(PLACE), "left_semi"))

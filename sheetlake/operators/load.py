@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.assign import ASSIGN, SPARK_TYPES
+from ..functions.assign import kind_for, spark_type
 from ..functions.cells import outcome
 from ..functions.keys import number_text
 from ..session import checkpointed
@@ -38,14 +38,14 @@ def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells
                         *[place[n].alias(n) for n in named])
     keep_flags = [*keep, *absent.values()]
     plain = texts(_cell_texts(placed, list(absent)), {n: F.col(n) for n in named}, keep_flags)
-    kinds = {c.name: ASSIGN[c.data_type] for c in columns if c.name in place}
+    kinds = {c.name: kind_for(c.data_type) for c in columns if c.name in place}
     typed = convert(plain, kinds, keep_flags)
 
     values: dict[str, Column] = {}
     errors: dict[str, Column] = {}
     for c in columns:
         serial = c.data_type == "SERIAL"
-        default = (F.lit(None) if serial or c.default is None else F.expr(c.default)).cast(_type_of(c))
+        default = (F.lit(None) if serial or c.default is None else F.expr(c.default)).cast(spark_type(c.data_type))
         missing = F.col(absent[c.name]) if c.name in absent else F.lit(c.name not in place)
         value, error = default, F.lit(None).cast("string")
         if c.name in place:
@@ -72,8 +72,11 @@ def _cell_texts(df: DataFrame, cells: list[str]) -> DataFrame:
         F.coalesce(number_text(F.col(f"number_{n}")), F.col(n)["text"]).alias(n) for n in cells])
 
 
-def _type_of(column) -> str:
-    return SPARK_TYPES.get(column.data_type, "bigint")
+def with_ids(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame) -> DataFrame:
+    """``checked`` with ids, where the table has a serial column; ``raw`` is its written source."""
+    if not any(c.data_type == "SERIAL" for c in target.columns):
+        return checked
+    return number_rows(checked, raw, reserve_ids(spark, target.name, raw.count()))
 
 
 def number_rows(checked: DataFrame, raw: DataFrame, base: int) -> DataFrame:
@@ -157,6 +160,7 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
 
     The catalog learns of the partition after the last file is committed, so
     readers see all of the run or none of it; a repeated run replaces itself.
+    A table made elsewhere, without load runs, takes the rows by plain append.
     """
     target = target_table(spark, table)
     names = [c.name for c in target.columns]
@@ -169,8 +173,9 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
     rows.createOrReplaceTempView(quote_name(view))
     try:
         listed = ", ".join(quote_name(n) for n in names)
-        spark.sql(f"INSERT OVERWRITE TABLE {qualified(table)} PARTITION ({RUN_COLUMN} = '{run_id}') "
-                  f"SELECT {listed} FROM {quote_name(view)}")
+        into = (f"OVERWRITE TABLE {qualified(table)} PARTITION ({RUN_COLUMN} = '{run_id}')" if target.by_run
+                else f"INTO {qualified(table)} ({listed})")
+        spark.sql(f"INSERT {into} SELECT {listed} FROM {quote_name(view)}")
     finally:
         spark.catalog.dropTempView(view)
 
@@ -186,6 +191,5 @@ def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
     summary = import_summary(checked).first()
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
-        base = reserve_ids(spark, table, total)
-        publish_rows(spark, table, number_rows(checked, raw, base), run_id)
+        publish_rows(spark, table, with_ids(spark, target, checked, raw), run_id)
     return LoadResult(bad == 0, total, bad)

@@ -20,9 +20,14 @@ def run_sql(spark: SparkSession, text: str, database: str | None = None, args=No
     """The result of one statement; the field names are in ``schema``, rows or not."""
     if not text or not text.strip():
         raise ValueError("Query is required")
+    before = spark.catalog.currentDatabase()
     if database:
         spark.catalog.setCurrentDatabase(database)
-    return spark.sql(text.strip().rstrip(";"), args=args)
+    try:
+        return spark.sql(text.strip().rstrip(";"), args=args)  # names are resolved here
+    finally:
+        if database:
+            spark.catalog.setCurrentDatabase(before)
 
 
 def preview(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import qualified, split_table_name
-from .catalog import copy_properties
+from .catalog import copy_properties, describe
 
 # Snapshot names and the word that confirms a restore.
 SNAPSHOT_NAME = r"backup_[0-9]{8}_[0-9]{6}"
@@ -101,7 +102,10 @@ def _write_version(spark: SparkSession, entry, snapshot: str) -> str:
     rows = stored.select(*[F.parse_json(f.name).alias(f.name) if isinstance(f.dataType, T.VariantType)
                            else F.col(f.name) for f in wanted.fields])
     if spark.catalog.tableExists(qualified(table)):
-        spark.sql(f"CREATE TABLE {qualified(version)} LIKE {qualified(table)}")
+        about = describe(spark, table)
+        # A table with a folder of its own gets its next version beside it.
+        beside = (f" LOCATION '{about['location']}-{uuid.uuid4().hex[:8]}'" if about["type"] == "EXTERNAL" else "")
+        spark.sql(f"CREATE TABLE {qualified(version)} LIKE {qualified(table)}{beside}")
         copy_properties(spark, table, version)
         rows.select(*spark.table(qualified(version)).columns).write.insertInto(qualified(version))
     else:

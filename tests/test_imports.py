@@ -160,3 +160,18 @@ def test_create_table_rules(spark, name):
             (name + "x", [TargetColumn("a", "FLOAT")], "Unknown column type")):
         with pytest.raises(ValueError, match=message):
             create_table(spark, table, columns)
+
+
+def test_table_made_elsewhere(spark, tmp_path, name):
+    spark.sql(f"CREATE TABLE {name} (n BIGINT, price DECIMAL(10,2), ratio DOUBLE, at TIMESTAMP_NTZ, "
+              "note STRING DEFAULT 'none', small SMALLINT) USING parquet")
+    simple_book(tmp_path / "a.xlsx", [["n", "price", "ratio", "at"], [2**40, 1.25, 0.5, 45292], [1, None, "1e3", "1/5/2024"]])
+    simple_book(tmp_path / "b.xlsx", [["small"], [40000], ["5d"]])
+    report = import_workbooks(workbook_files(spark, str(tmp_path)), name, "run_1")
+    assert outcomes(report) == {"a.xlsx": "success", "b.xlsx": "rejected"}
+    rows = spark.table(name).orderBy("n").select(*[F.col(c).cast("string") for c in ("n", "price", "ratio", "at", "note")])
+    assert [tuple(r) for r in rows.collect()] == [
+        ("1", None, "1000.0", "2024-01-05 00:00:00", "none"),
+        (str(2**40), "1.25", "0.5", "2024-01-01 00:00:00", "none")]
+    assert [r["error"] for r in report.errors().orderBy("row_number").collect()] == [
+        'value "40000" is out of range for type integer', 'invalid input syntax for type integer: "5d"']

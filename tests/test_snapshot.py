@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sheetlake.operators.catalog import TargetColumn, create_table, target_table
 from sheetlake.operators.load import load_rows, with_sequence
 from sheetlake.operators.snapshot import restore_snapshot, snapshot_diff, take_snapshot
-from sheetlake.session import checkpointed
+from sheetlake.session import checkpointed, scratch_path
 from sheetlake.sources.tables import open_parquet
 
 NOON = datetime(2024, 1, 5, 12, 0, 0)
@@ -20,9 +20,10 @@ def loaded(spark, name, run, rows):
     return load_rows(spark, name, checkpointed(with_sequence(df)), run)
 
 
-@pytest.fixture
-def table(spark, name):
-    create_table(spark, name, [TargetColumn("name", "TEXT", True), TargetColumn("doc", "JSONB")])
+@pytest.fixture(params=["managed", "external"])
+def table(spark, name, request):
+    location = scratch_path(spark, "restored") if request.param == "external" else None
+    create_table(spark, name, [TargetColumn("name", "TEXT", True), TargetColumn("doc", "JSONB")], location)
     loaded(spark, name, "run_1", [("a", '{"k": 1}'), ("b", None)])
     return name
 
