@@ -61,15 +61,21 @@ def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells
     return computed_once(typed, keep, {**values, "errors": error_map(errors)})
 
 
+# Number text that is its own shortest form: up to 15 digits, no exponent, no closing zero.
+_SHORTEST = r"^(0|-?[1-9][0-9]{0,14}|-?(?!0\.000000)(?=.{3,16}$)(0|[1-9][0-9]*)\.[0-9]*[1-9])$"
+
+
 def _cell_texts(df: DataFrame, cells: list[str]) -> DataFrame:
     """Cells as text; numeric cells take their shortest form (``100.0`` is ``100``)."""
     if not cells:
         return df
     others = [c for c in df.columns if c not in cells]
     numbers = df.select(*others, *cells, *[
-        F.when(F.col(n)["kind"] == "n", F.col(n)["text"].try_cast("double")).alias(f"number_{n}") for n in cells])
+        F.when((F.col(n)["kind"] == "n") & ~F.col(n)["text"].rlike(_SHORTEST), F.col(n)["text"].try_cast("double"))
+        .alias(f"number_{n}") for n in cells])
     return numbers.select(*others, *[
-        F.coalesce(number_text(F.col(f"number_{n}")), F.col(n)["text"]).alias(n) for n in cells])
+        F.when(F.col(f"number_{n}").isNotNull(), number_text(F.col(f"number_{n}"))).otherwise(F.col(n)["text"])
+        .alias(n) for n in cells])
 
 
 def with_ids(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame) -> DataFrame:

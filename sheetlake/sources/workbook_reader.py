@@ -14,7 +14,6 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
-from xml.parsers import expat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ from .files import open_input
 from .tables import quote_name
 
 BATCH_ROWS = 4096
-CHUNK = 1 << 20
 ALL_SHEETS = "*"
 NOT_FOUND = "Worksheet not found."
 NO_HEADER = "Header row is empty or invalid."
@@ -36,16 +34,11 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 
 
 # What a damaged file raises: zip, deflate, XML, missing parts, bad references and numbers.
-DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, expat.ExpatError, ElementTree.ParseError,
-           KeyError, IndexError, ValueError)
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, ElementTree.ParseError, KeyError, IndexError, ValueError)
 
 
 # ---- one workbook, inside a task ------------------------------------------------
 
-def _local(name: str) -> str:
-    return name.rsplit(":", 1)[-1]
-
-
 def _decoded(text: str) -> str:
     return _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text) if "_x" in text else text
 
@@ -57,54 +50,33 @@ def _column_index(letters: str) -> int:
     return index
 
 
-def _feed(parser, stream, drain) -> Iterator:
-    """Push a stream through the parser chunk by chunk, yielding what ``drain`` has collected."""
-    while chunk := stream.read(CHUNK):
-        parser.Parse(chunk, False)
-        yield from drain()
-    parser.Parse(b"", True)
-    yield from drain()
+def _finished(book: zipfile.ZipFile, part: str, name: str) -> Iterator:
+    """Elements called ``name`` as they end, whatever their namespace; each is emptied afterwards."""
+    local: dict[str, str] = {}
+    with book.open(part) as stream:
+        for _, element in ElementTree.iterparse(stream, events=("end",)):
+            tag = element.tag
+            if (local.get(tag) or local.setdefault(tag, tag.rsplit("}", 1)[-1])) == name:
+                yield element
+                element.clear()
+
+
+def _text_runs(element) -> str:
+    """The text of a string item: its runs joined, phonetic runs left out."""
+    runs = []
+    for child in element:
+        tag = child.tag.rsplit("}", 1)[-1]
+        if tag == "t":
+            runs.append(child.text or "")
+        elif tag != "rPh":
+            runs.append(_text_runs(child))
+    return "".join(runs)
 
 
 def _shared_strings(book: zipfile.ZipFile) -> Iterator[str]:
-    """Shared strings in order; the runs of a rich text are joined, phonetic runs left out."""
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return
-    done: list[str] = []
-    parts: list[str] = []
-    state = {"text": False, "phonetic": False}
-
-    def start(name, _):
-        name = _local(name)
-        if name == "si":
-            parts.clear()
-        elif name == "t":
-            state["text"] = not state["phonetic"]
-        elif name == "rPh":
-            state["phonetic"] = True
-
-    def end(name):
-        name = _local(name)
-        if name == "si":
-            done.append(_decoded("".join(parts)))
-        elif name == "t":
-            state["text"] = False
-        elif name == "rPh":
-            state["phonetic"] = False
-
-    def data(text):
-        if state["text"]:
-            parts.append(text)
-
-    def drain():
-        yield from done
-        done.clear()
-
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
-    with book.open("xl/sharedStrings.xml") as stream:
-        yield from _feed(parser, stream, drain)
+    if "xl/sharedStrings.xml" in book.namelist():
+        for item in _finished(book, "xl/sharedStrings.xml", "si"):
+            yield _decoded(_text_runs(item))
 
 
 def _sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, list]]:
@@ -113,58 +85,27 @@ def _sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, list]]:
     A formula cell gives its stored result; cell references are honoured, so
     omitted cells leave their column empty.
     """
-    rows: list = []
-    cells: list = []
-    text: list[str] = []
     columns: dict[str, int] = {}
-    at = {"row": 0, "column": 0, "type": "n", "keep": False, "phonetic": False, "filled": False}
-
-    def start(name, attrs):
-        name = _local(name)
-        if name == "c":
-            ref = attrs.get("r")
+    number = 0
+    for row in _finished(book, part, "row"):
+        number = int(row.get("r") or number + 1)
+        digits = len(str(number))
+        cells, column = [], 0
+        for cell in row:
+            ref = cell.get("r")
             if ref:
-                letters = ref.rstrip("0123456789")
-                at["column"] = columns.get(letters) or columns.setdefault(letters, _column_index(letters))
+                letters = ref[:-digits]
+                column = columns.get(letters) or columns.setdefault(letters, _column_index(letters))
             else:
-                at["column"] += 1
-            at["type"] = attrs.get("t", "n")
-            at["filled"] = False
-            text.clear()
-        elif name == "v" or (name == "t" and not at["phonetic"]):
-            at["keep"] = at["filled"] = True
-        elif name == "row":
-            at["row"] = int(attrs.get("r") or at["row"] + 1)
-            at["column"] = 0
-        elif name == "rPh":
-            at["phonetic"] = True
-
-    def end(name):
-        name = _local(name)
-        if name in ("v", "t"):
-            at["keep"] = False
-        elif name == "c":
-            if at["filled"]:
-                cells.append((at["column"], at["type"], "".join(text)))
-        elif name == "row":
-            rows.append((at["row"], list(cells)))
-            cells.clear()
-        elif name == "rPh":
-            at["phonetic"] = False
-
-    def data(chars):
-        if at["keep"]:
-            text.append(chars)
-
-    def drain():
-        yield from rows
-        rows.clear()
-
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
-    with book.open(part) as stream:
-        yield from _feed(parser, stream, drain)
+                column += 1
+            kind = cell.get("t", "n")
+            for child in cell:
+                tag = child.tag
+                if tag.endswith("}v"):
+                    cells.append((column, kind, child.text or ""))
+                elif tag.endswith("}is"):
+                    cells.append((column, kind, _text_runs(child)))
+        yield number, cells
 
 
 def _sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -348,17 +289,22 @@ def scan_rows(files: DataFrame, columns, sheet: str | None = None) -> DataFrame:
             place: dict[str, int] = {}
             for position, title in header:
                 place.setdefault(title, position)
+            positions = [place.get(title) for title in columns]
+            wanted = {p for p in positions if p is not None}
+            nothing = [None] * BATCH_ROWS
             for group in _grouped(rows):
                 size = len(group)
-                by_column = [{c: _cell(k, t, strings) for c, k, t in cells} for _, _, cells in group]
-                blank = (None, None)
-                structs = []
-                for title in columns:
-                    position = place.get(title)
-                    found = [row.get(position, blank) for row in by_column]
-                    structs.append(pa.StructArray.from_arrays(
-                        [pa.array([k for k, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())],
-                        names=["kind", "text"], mask=pa.array([position is None] * size)))
+                kinds = {p: [None] * size for p in wanted}
+                texts = {p: [None] * size for p in wanted}
+                for i, (_, _, cells) in enumerate(group):
+                    for column, kind, text in cells:
+                        if column in wanted:
+                            kinds[column][i], texts[column][i] = (
+                                (kind, text) if kind == "n" else _cell(kind, text, strings))
+                structs = [pa.StructArray.from_arrays(
+                    [pa.array(kinds.get(p, nothing[:size]), pa.string()),
+                     pa.array(texts.get(p, nothing[:size]), pa.string())],
+                    names=["kind", "text"], mask=pa.array([p is None] * size)) for p in positions]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * size), pa.array([name] * size),
                      pa.array([n for n, _, _ in group], pa.int32()), pa.array([i for _, i, _ in group], pa.int64()),

@@ -175,3 +175,15 @@ def test_table_made_elsewhere(spark, tmp_path, name):
         (str(2**40), "1.25", "0.5", "2024-01-01 00:00:00", "none")]
     assert [r["error"] for r in report.errors().orderBy("row_number").collect()] == [
         'value "40000" is out of range for type integer', 'invalid input syntax for type integer: "5d"']
+
+
+def test_numeric_cells_take_their_shortest_form(spark):
+    from sheetlake.operators.catalog import TargetTable
+    from sheetlake.operators.load import coerce_rows
+
+    shown = {"100": "100", "100.0": "100", "1E2": "100", "1.1000000000000001": "1.1", "-0": "0", "0.5": "0.5", "1.50": "1.5",
+             "0.0000001": "1e-7", "0.000001": "0.000001", "-12.25": "-12.25", "12345678901234568000": "12345678901234568000",
+             "999999999999999": "999999999999999", "0.1234567890123456": "0.1234567890123456", "1e21": "1e+21"}
+    df = spark.createDataFrame([(i, ("n", t)) for i, t in enumerate(shown)], "row_number int, c struct<kind:string,text:string>")
+    got = coerce_rows(df, TargetTable("t", (TargetColumn("c"),))).orderBy("row_number").collect()
+    assert [r["c"] for r in got] == list(shown.values())
