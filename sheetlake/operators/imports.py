@@ -11,7 +11,7 @@ from ..session import shared_dir
 from ..sources.workbook_reader import scan_headers, scan_rows
 from .catalog import target_table
 from .headers import header_report
-from .load import BATCH_ROWS, coerce_rows, first_bad_batch, import_summary, publish_rows, with_ids, with_sequence
+from .load import BATCH_ROWS, coerce_rows, first_bad_batch, import_summary, publish_rows, table_rows, with_sequence
 from .mapping import row_errors
 
 PLACE = ("path", "sheet")
@@ -65,14 +65,14 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     # A file may be damaged behind its header; what was read of it must not count.
     damaged = scanned_rows.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("scan_error"))
 
-    checked = coerce_rows(raw, target, keep=(*PLACE, "row_number", "ordinal", "seq"), cells="cells")
+    checked = coerce_rows(raw, target, keep=(*PLACE, "row_number", "ordinal", "seq"), cells="cells", into="row")
     runs = _written(_outcomes(headers, damaged, import_summary(checked, PLACE), run_id), f"{store}/runs")
 
     good = runs.where("outcome = 'success'")
     total = good.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
     if total:
-        numbered = with_ids(spark, target, checked.drop("errors"), scanned_rows)
-        publish_rows(spark, table, numbered.join(good.select(*PLACE), list(PLACE), "left_semi"), run_id)
+        accepted = checked.join(good.select(*PLACE), list(PLACE), "left_semi")
+        publish_rows(spark, table, table_rows(spark, target, accepted, scanned_rows), run_id)
     rejected = runs.where("outcome = 'rejected'").select(*PLACE)
     return ImportReport(run_id, runs, raw, total, checked.join(rejected, list(PLACE), "left_semi"))
 

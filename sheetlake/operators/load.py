@@ -14,50 +14,54 @@ from ..functions.keys import number_text
 from ..session import checkpointed
 from ..sources.tables import qualified, quote_name
 from .catalog import RUN_COLUMN, TargetTable, reserve_ids, target_table
-from .mapping import computed_once, convert, error_map, texts
+from .mapping import computed_once, convert, error_map, text_of, texts, value_of
 
 BATCH_ROWS = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
-def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells: str | None = None) -> DataFrame:
+def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells: str | None = None,
+                into: str | None = None) -> DataFrame:
     """Typed target columns and an ``errors`` map for every raw row, without a shuffle.
 
     A raw column is text, or a cell ``(kind, text)``. Columns may sit inside the
     struct column ``cells``. A column the source does not name takes its default;
     a named but blank cell stays null, and is an error where a value is required.
+    ``into`` names a struct column for the typed values, where names of the
+    table could clash with the kept ones.
     """
     fields = raw.schema[cells].dataType if cells else raw.schema
     columns = [c for c in target.columns if c.data_type != "SERIAL" or c.name in fields.fieldNames()]
     named = [c.name for c in columns if c.name in fields.fieldNames()]
-    place = {n: raw[cells][n] if cells else raw[n] for n in named}
-    is_cell = {n: isinstance(fields[n].dataType, T.StructType) for n in named}
-
-    absent = {n: f"absent_{n}" for n in named if is_cell[n]}
-    placed = raw.select(*keep, *[place[n].isNull().alias(a) for n, a in absent.items()],
-                        *[place[n].alias(n) for n in named])
-    keep_flags = [*keep, *absent.values()]
-    plain = texts(_cell_texts(placed, list(absent)), {n: F.col(n) for n in named}, keep_flags)
+    place = {n: raw[cells][n] if cells else F.col(quote_name(n)) for n in named}
+    in_cells = [n for n in named if isinstance(fields[n].dataType, T.StructType)]
+
+    flags = [f"absent:{n}" for n in in_cells]
+    keep_flags = [*keep, *[quote_name(f) for f in flags]]
+    placed = raw.select(*keep, *[place[n].isNull().alias(f) for n, f in zip(in_cells, flags)],
+                        *[place[n].alias(f"cell:{n}") for n in named])
+    sources = {n: F.col(f"`cell:{n}`") for n in named}
     kinds = {c.name: kind_for(c.data_type) for c in columns if c.name in place}
-    typed = convert(plain, kinds, keep_flags)
+    typed = convert(texts(_cell_texts(placed, in_cells), sources, keep_flags), kinds, keep_flags)
 
     values: dict[str, Column] = {}
     errors: dict[str, Column] = {}
     for c in columns:
         serial = c.data_type == "SERIAL"
         default = (F.lit(None) if serial or c.default is None else F.expr(c.default)).cast(spark_type(c.data_type))
-        missing = F.col(absent[c.name]) if c.name in absent else F.lit(c.name not in place)
+        missing = F.col(f"`absent:{c.name}`") if c.name in in_cells else F.lit(c.name not in place)
         value, error = default, F.lit(None).cast("string")
         if c.name in place:
-            found = F.col(f"value_{c.name}")
-            value = F.when(missing, default).otherwise(found) if c.name in absent else found
-            error = outcome(F.col(c.name), found, kinds[c.name].message(F.col(c.name)))
+            value = F.when(missing, default).otherwise(value_of(c.name)) if c.name in in_cells else value_of(c.name)
+            error = outcome(text_of(c.name), value_of(c.name), kinds[c.name].message(text_of(c.name)))
         if c.required:
             message = (f'null value in column "{c.name}" of relation "{target.name}" '
                        "violates not-null constraint")
             unset = value.isNull() & ~missing if serial else value.isNull()
             error = F.coalesce(error, F.when(unset, F.lit(message)))
         values[c.name], errors[c.name] = value, error
+    if into:
+        values = {into: F.struct(*[v.alias(n) for n, v in values.items()])}
     return computed_once(typed, keep, {**values, "errors": error_map(errors)})
 
 
@@ -65,31 +69,37 @@ def coerce_rows(raw: DataFrame, target: TargetTable, keep=("row_number",), cells
 _SHORTEST = r"^(0|-?[1-9][0-9]{0,14}|-?(?!0\.000000)(?=.{3,16}$)(0|[1-9][0-9]*)\.[0-9]*[1-9])$"
 
 
-def _cell_texts(df: DataFrame, cells: list[str]) -> DataFrame:
+def _cell_texts(df: DataFrame, names: list[str]) -> DataFrame:
     """Cells as text; numeric cells take their shortest form (``100.0`` is ``100``)."""
-    if not cells:
+    if not names:
         return df
-    others = [c for c in df.columns if c not in cells]
-    numbers = df.select(*others, *cells, *[
-        F.when((F.col(n)["kind"] == "n") & ~F.col(n)["text"].rlike(_SHORTEST), F.col(n)["text"].try_cast("double"))
-        .alias(f"number_{n}") for n in cells])
+    cells = {n: F.col(f"`cell:{n}`") for n in names}
+    others = [quote_name(c) for c in df.columns if c not in {f"cell:{n}" for n in names}]
+    numbers = df.select(*others, *cells.values(), *[
+        F.when((c["kind"] == "n") & ~c["text"].rlike(_SHORTEST), c["text"].try_cast("double")).alias(f"number:{n}")
+        for n, c in cells.items()])
+    number = {n: F.col(f"`number:{n}`") for n in names}
     return numbers.select(*others, *[
-        F.when(F.col(f"number_{n}").isNotNull(), number_text(F.col(f"number_{n}"))).otherwise(F.col(n)["text"])
-        .alias(n) for n in cells])
+        F.when(number[n].isNotNull(), number_text(number[n])).otherwise(c["text"]).alias(f"cell:{n}")
+        for n, c in cells.items()])
 
 
-def with_ids(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame) -> DataFrame:
-    """``checked`` with ids, where the table has a serial column; ``raw`` is its written source."""
-    if not any(c.data_type == "SERIAL" for c in target.columns):
-        return checked
-    return number_rows(checked, raw, reserve_ids(spark, target.name, raw.count()))
+def table_rows(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame, into: str = "row") -> DataFrame:
+    """The columns of the table out of ``checked``, ids included.
 
+    A row keeps the id its sheet gives, else it takes the next of the sequence.
+    ``raw`` is the written source that ``checked`` was computed from.
+    """
+    given = checked.schema[into].dataType.fieldNames()
+    if any(c.data_type == "SERIAL" for c in target.columns):
+        base = reserve_ids(spark, target.name, raw.count())
+        checked = dense_ids(checked, base, column="next_id", source=raw)
+
+    def column(c):
+        found = F.col(into)[c.name] if c.name in given else F.lit(None).cast("bigint")
+        return (F.coalesce(found, "next_id") if c.data_type == "SERIAL" else found).alias(c.name)
 
-def number_rows(checked: DataFrame, raw: DataFrame, base: int) -> DataFrame:
-    """``id`` for every row: the one the sheet gives, else the next of the sequence."""
-    numbered = dense_ids(checked, base, column="next_id", source=raw)
-    given = F.col("id") if "id" in checked.columns else F.lit(None).cast("bigint")
-    return numbered.withColumn("id", F.coalesce(given, F.col("next_id"))).drop("next_id")
+    return checked.select(*[column(c) for c in target.columns])
 
 
 def import_summary(checked: DataFrame, by=()) -> DataFrame:
@@ -170,11 +180,11 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
     """
     target = target_table(spark, table)
     names = [c.name for c in target.columns]
-    rows = rows.select(*names)
+    rows = rows.select(*[quote_name(n) for n in names])
     if target.indexed:
         # Sorted within each file, without a shuffle: page statistics and the bloom
         # filters then skip most of a file, and a hot value stays spread over files.
-        rows = rows.sortWithinPartitions(*target.indexed)
+        rows = rows.sortWithinPartitions(*[quote_name(n) for n in target.indexed])
     view = f"publish_{run_id.replace('-', '_')}"
     rows.createOrReplaceTempView(quote_name(view))
     try:
@@ -193,9 +203,9 @@ def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
     ``raw`` must be repeatable (a table, or written rows) and carry ``seq``.
     """
     target = target_table(spark, table)
-    checked = coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells)
+    checked = coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells, into="row")
     summary = import_summary(checked).first()
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
-        publish_rows(spark, table, with_ids(spark, target, checked, raw), run_id)
+        publish_rows(spark, table, table_rows(spark, target, checked, raw), run_id)
     return LoadResult(bad == 0, total, bad)

@@ -17,22 +17,31 @@ def error_map(errors: dict[str, Column]) -> Column:
                         lambda _, message: message.isNotNull())
 
 
+def text_of(name: str) -> Column:
+    return F.col(f"`text:{name}`")
+
+
+def value_of(name: str) -> Column:
+    return F.col(f"`value:{name}`")
+
+
 def texts(df: DataFrame, sources: dict[str, Column], keep) -> DataFrame:
-    """Trimmed, blank-free text of each source column.
+    """Trimmed, blank-free text of each source column, as ``text:<name>``.
 
     Typing is done in steps, one select each: text, prepared text, value,
-    error. What a later step uses is then computed once per row and stays in generated code;
-    nested in one expression it would be repeated at every use.
+    error. What a later step uses is then computed once per row and stays in
+    generated code; nested in one expression it would be repeated at every use.
     """
-    trimmed = df.select(*keep, *[strip(c).alias(n) for n, c in sources.items()])
-    return trimmed.select(*keep, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in sources])
+    trimmed = df.select(*keep, *[strip(c).alias(f"text:{n}") for n, c in sources.items()])
+    return trimmed.select(*keep, *[F.nullif(text_of(n), F.lit("")).alias(f"text:{n}") for n in sources])
 
 
 def convert(df: DataFrame, kinds: dict[str, Kind], keep) -> DataFrame:
-    """``value_<name>`` next to the text of every column."""
-    prepared = df.select(*keep, *kinds, *[k.prepare(F.col(n)).alias(f"prepared_{n}") for n, k in kinds.items()])
-    return prepared.select(*keep, *kinds, *[
-        k.convert(F.col(n), F.col(f"prepared_{n}")).alias(f"value_{n}") for n, k in kinds.items()])
+    """``value:<name>`` next to the text of every column."""
+    found = [text_of(n) for n in kinds]
+    prepared = df.select(*keep, *found, *[k.prepare(text_of(n)).alias(f"prepared:{n}") for n, k in kinds.items()])
+    return prepared.select(*keep, *found, *[
+        k.convert(text_of(n), F.col(f"`prepared:{n}`")).alias(f"value:{n}") for n, k in kinds.items()])
 
 
 def computed_once(df: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:
@@ -58,9 +67,8 @@ def normalize_rows(raw: DataFrame, mapping: dict, keep=("row_number",)) -> DataF
         sources[field] = raw[source] if source in raw.columns else F.lit(None).cast("string")
         kinds[field] = kind_of(spec.get("type"))
     typed = convert(texts(raw, sources, keep), kinds, keep)
-    errors = {n: outcome(F.col(n), F.col(f"value_{n}"), k.message(F.col(n))) for n, k in kinds.items()}
-    return computed_once(typed, keep, {
-        **{n: F.col(f"value_{n}") for n in kinds}, "errors": error_map(errors)})
+    errors = {n: outcome(text_of(n), value_of(n), k.message(text_of(n))) for n, k in kinds.items()}
+    return computed_once(typed, keep, {**{n: value_of(n) for n in kinds}, "errors": error_map(errors)})
 
 
 def valid_rows(normalized: DataFrame) -> DataFrame:

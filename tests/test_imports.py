@@ -182,8 +182,20 @@ def test_numeric_cells_take_their_shortest_form(spark):
     from sheetlake.operators.load import coerce_rows
 
     shown = {"100": "100", "100.0": "100", "1E2": "100", "1.1000000000000001": "1.1", "-0": "0", "0.5": "0.5", "1.50": "1.5",
-             "0.0000001": "1e-7", "0.000001": "0.000001", "-12.25": "-12.25", "12345678901234568000": "12345678901234568000",
+             "0.0000001": "1e-7", "0.000001": "0.000001", "-12.25": "-12.25", "1000000000000000000.0": "1000000000000000000",
              "999999999999999": "999999999999999", "0.1234567890123456": "0.1234567890123456", "1e21": "1e+21"}
     df = spark.createDataFrame([(i, ("n", t)) for i, t in enumerate(shown)], "row_number int, c struct<kind:string,text:string>")
     got = coerce_rows(df, TargetTable("t", (TargetColumn("c"),))).orderBy("row_number").collect()
     assert [r["c"] for r in got] == list(shown.values())
+
+
+def test_column_names_that_look_like_ours(spark, tmp_path, name):
+    names = ["path", "sheet", "row_number", "seq", "errors", "row", "value", "value_value", "absent_value", "next_id"]
+    create_table(spark, name, [TargetColumn(n, "INTEGER" if n.startswith("value") else "TEXT", indexed=n == "path")
+                               for n in names])
+    simple_book(tmp_path / "a.xlsx", [names, ["p", "s", "r", "q", "e", "w", 1, 2, "a", "n"]])
+    simple_book(tmp_path / "b.xlsx", [names, ["p", "s", "r", "q", "e", "w", "x", 2, "a", "n"]])
+    report = import_workbooks(workbook_files(spark, str(tmp_path)), name, "run_1")
+    assert outcomes(report) == {"a.xlsx": "success", "b.xlsx": "rejected"}
+    assert tuple(spark.table(name).first())[1:-1] == ("p", "s", "r", "q", "e", "w", 1, 2, "a", "n")
+    assert [(e["field"], e["row_number"]) for e in report.first_errors().collect()] == [("value", 2)]
