@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from ..sources.tables import qualified, quote_name
 from .catalog import RUN_COLUMN, TargetTable, reserve_ids, target_table
 from .mapping import computed_once, convert, error_map, text_of, texts, value_of
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 1000  # fixed value: rows per import batch
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
@@ -178,6 +180,8 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
     readers see all of the run or none of it; a repeated run replaces itself.
     A table made elsewhere, without load runs, takes the rows by plain append.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"Invalid run id: {run_id}")
     target = target_table(spark, table)
     names = [c.name for c in target.columns]
     rows = rows.select(*[quote_name(n) for n in names])
@@ -185,13 +189,13 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
         # Sorted within each file, without a shuffle: page statistics and the bloom
         # filters then skip most of a file, and a hot value stays spread over files.
         rows = rows.sortWithinPartitions(*[quote_name(n) for n in target.indexed])
-    view = f"publish_{run_id.replace('-', '_')}"
-    rows.createOrReplaceTempView(quote_name(view))
+    view = f"publish_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
     try:
         listed = ", ".join(quote_name(n) for n in names)
         into = (f"OVERWRITE TABLE {qualified(table)} PARTITION ({RUN_COLUMN} = '{run_id}')" if target.by_run
                 else f"INTO {qualified(table)} ({listed})")
-        spark.sql(f"INSERT {into} SELECT {listed} FROM {quote_name(view)}")
+        spark.sql(f"INSERT {into} SELECT {listed} FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
 

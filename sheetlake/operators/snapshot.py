@@ -14,9 +14,12 @@ from pyspark.sql import types as T
 from ..sources.tables import qualified, split_table_name
 from .catalog import copy_properties, describe
 
-# Snapshot names and the word that confirms a restore.
+# Snapshot names, the word that confirms a restore, and the refusals.
 SNAPSHOT_NAME = r"backup_[0-9]{8}_[0-9]{6}"
 CONFIRM = "RESTORE"
+NO_SNAPSHOT = "Backup file not found or invalid."
+NO_TOKEN = "Confirmation token required to restore backups."
+BAD_TOKEN = "Invalid confirmation token."
 MANIFEST = "manifest"
 _MANIFEST_SCHEMA = "table_name STRING, definition STRING, row_count BIGINT, content_hash DECIMAL(38,0)"
 
@@ -76,11 +79,11 @@ def restore_snapshot(spark: SparkSession, name: str, token: str, folder: str, ta
     """
     name, token = name.strip(), token.strip()
     if not re.fullmatch(SNAPSHOT_NAME, name):
-        raise ValueError("Backup file not found or invalid.")
+        raise ValueError(NO_SNAPSHOT)
     if not token:
-        raise ValueError("Confirmation token required to restore backups.")
+        raise ValueError(NO_TOKEN)
     if token not in (CONFIRM, name):
-        raise ValueError("Invalid confirmation token.")
+        raise ValueError(BAD_TOKEN)
     manifest = spark.read.schema(_MANIFEST_SCHEMA).parquet(f"{folder}/{name}/{MANIFEST}").collect()
     chosen = [m for m in manifest if tables is None or m["table_name"] in tables]
     ready = [(m["table_name"], _write_version(spark, m, f"{folder}/{name}")) for m in chosen]

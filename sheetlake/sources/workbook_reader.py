@@ -25,10 +25,12 @@ from .tables import quote_name
 
 BATCH_ROWS = 4096
 ALL_SHEETS = "*"
+# What is said of a workbook that cannot be used.
 NOT_FOUND = "Worksheet not found."
 NO_HEADER = "Header row is empty or invalid."
 CELL = "STRUCT<kind: STRING, text: STRING>"
 _PLACE = "path STRING, sheet STRING, row_number INT, ordinal BIGINT"
+# The format's escape for characters, and the name of the relation attribute.
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 

@@ -130,6 +130,11 @@ def _rows_xml(batch, first_row: int) -> bytes:
     return "".join(rows.to_pylist()).encode("utf-8")
 
 
+def _part_name(partition: int, file: int) -> str:
+    """Names sort in row order."""
+    return f"part-{partition:07d}-{file:04d}.xlsx"
+
+
 class _Part:
     """One workbook file being written; its header row is already in."""
 
@@ -190,7 +195,7 @@ class WorkbookWriter(DataSourceArrowWriter):
             while start < batch.num_rows:
                 if part is None or part.rows >= self.limit:
                     finish()
-                    name = f"part-{context.partitionId():05d}-{len(written)}.xlsx"
+                    name = _part_name(context.partitionId(), len(written))
                     path = f"{staging}/{context.taskAttemptId()}-{name}"
                     part = _Part(system, path, self.names)
                 taken = batch.slice(start, self.limit - part.rows)
@@ -206,20 +211,23 @@ class WorkbookWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         accepted = sorted((p for m in messages if m is not None for p in m.parts), key=lambda p: p[1])
         if not accepted:
-            part = _Part(system, f"{folder}/part-00000-0.xlsx.empty", self.names)
-            accepted = [(f"{folder}/part-00000-0.xlsx.empty", "part-00000-0.xlsx", 0, part.close())]
+            path = f"{folder}/empty-{uuid.uuid4().hex}"
+            accepted = [(path, _part_name(0, 0), 0, _Part(system, path, self.names).close())]
+        present = [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".xlsx")]
+        earlier = b""
         if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(folder)):
-                if old.base_name.startswith("part-") and old.base_name.endswith(".xlsx"):
+            for old in present:
+                if old.base_name.startswith("part-"):
                     system.delete_file(old.path)
-        else:
-            run = uuid.uuid4().hex[:8]
-            taken = {f.base_name for f in system.get_file_info(fs.FileSelector(folder))}
-            accepted = [(p, n if n not in taken else n.replace("part-", f"part-{run}-", 1), r, b)
-                        for p, n, r, b in accepted]
+        elif system.get_file_info(f"{folder}/{MANIFEST}").is_file:
+            with system.open_input_stream(f"{folder}/{MANIFEST}") as kept:
+                earlier = kept.read()
+            added = f"part-{uuid.uuid4().hex[:8]}-"
+            accepted = [(p, n.replace("part-", added, 1), r, b) for p, n, r, b in accepted]
         with ThreadPoolExecutor(32) as pool:
             list(pool.map(lambda p: system.move(p[0], f"{folder}/{p[1]}"), accepted))
         with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+            out.write(earlier)
             for _, name, rows, size in accepted:
                 out.write((json.dumps({"part": name, "rows": rows, "bytes": size}) + "\n").encode())
         self._drop_staging()

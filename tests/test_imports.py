@@ -146,6 +146,13 @@ def test_indexed_column_gets_bloom_filter_and_order(spark, name):
     for f in files:
         names = pq.read_table(f, columns=["name"]).column("name").to_pylist()
         assert names == sorted(names)
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path("file:" + f)
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, jvm.org.apache.hadoop.conf.Configuration())
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        columns = {c.getPath().toDotString(): c for c in reader.getFooter().getBlocks().get(0).getColumns()}
+        assert columns["name"].getBloomFilterOffset() > 0 > columns["value"].getBloomFilterOffset()
+        reader.close()
     assert spark.table(name).where("name = '77'").count() == 1
 
 

@@ -81,7 +81,7 @@ def test_round_trip_keeps_every_value(spark, tmp_path):
                    "array(1, 2) AS i, CAST(NULL AS STRING) AS j, CAST('NaN' AS DOUBLE) AS k, 1 AS a")
     df = df.withColumn("t", F.lit(text))
     manifest = export_workbook(df, str(tmp_path / "out")).collect()
-    assert [(m["part"], m["rows"]) for m in manifest] == [("part-00000-0.xlsx", 1)]
+    assert [(m["part"], m["rows"]) for m in manifest] == [("part-0000000-0000.xlsx", 1)]
     names = list("abcdefghijk") + ["a_2", "t"]
     cells = scan_rows(workbook_files(spark, str(tmp_path / "out")), names).first()["cells"]
     assert cells["t"]["text"] == text
@@ -97,8 +97,7 @@ def test_parts_follow_query_order_and_sheet_limit(spark, tmp_path):
     rows = scan_rows(workbook_files(spark, str(tmp_path / "out")), ["n"]).select(
         F.element_at(F.split("path", "/"), -1).alias("part"), "row_number",
         F.col("cells.n.text").cast("int").alias("n"))
-    by_part = [r["n"] for r in sorted(rows.collect(), key=lambda r: (
-        int(r["part"].split("-")[1]), int(r["part"].split("-")[2].split(".")[0]), r["row_number"]))]
+    by_part = [r["n"] for r in sorted(rows.collect(), key=lambda r: (r["part"], r["row_number"]))]
     assert by_part == list(range(1, 5001))
 
 
@@ -106,10 +105,18 @@ def test_overwrite_replaces_old_parts(spark, tmp_path):
     out = tmp_path / "out"
     export_workbook(spark.range(0, 100, 1, 4), str(out))
     export_workbook(spark.range(0, 10, 1, 1), str(out))
-    assert sorted(p.name for p in out.iterdir()) == ["manifest.json", "part-00000-0.xlsx"]
+    assert sorted(p.name for p in out.iterdir()) == ["manifest.json", "part-0000000-0000.xlsx"]
     assert scan_rows(workbook_files(spark, str(out)), ["id"]).count() == 10
 
 
+def test_append_keeps_old_parts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    export_workbook(spark.range(0, 10, 1, 2), out)
+    spark.range(10, 30, 1, 2).write.format("workbook").mode("append").save(out)
+    assert scan_rows(workbook_files(spark, out), ["id"]).count() == 30
+    assert spark.read.json(out + "/manifest.json").agg(F.sum("rows")).first()[0] == 30
+
+
 def test_failed_export_leaves_nothing(spark, tmp_path):
     bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 99, F.col("id")).otherwise(
         F.raise_error(F.lit("stop")).cast("bigint")).alias("n"))
