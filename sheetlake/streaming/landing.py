@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.imports import import_workbooks
+from ..sources.tables import qualified
 
 # Fixed value: the columns of Spark's binary file source.
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -30,6 +31,8 @@ def import_landing(spark: SparkSession, folder: str, table: str, checkpoint: str
     """
     def each(batch: DataFrame, number: int) -> None:
         report = import_workbooks(batch, table, f"landing_{number:09d}", sheet)
+        # The batch ran in the stream's own session; this one may hold an older file list.
+        spark.catalog.refreshTable(qualified(table))
         if on_report:
             on_report(report)
 

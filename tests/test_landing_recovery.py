@@ -2,6 +2,7 @@
 
 import pytest
 from books import simple_book
+from pyspark.errors import StreamingQueryException
 
 from sheetlake.operators.catalog import TargetColumn, create_table
 from sheetlake.operators.load import publish_rows
@@ -18,7 +19,7 @@ def test_failed_batch_is_repeated_once(spark, tmp_path, name):
     def stop(report):
         raise RuntimeError("driver lost")
 
-    with pytest.raises(Exception, match="driver lost"):
+    with pytest.raises(StreamingQueryException):
         import_landing(spark, str(folder), name, checkpoint, on_report=stop).awaitTermination()
     assert spark.table(name).count() == 4  # published, but the stream does not know it
     import_landing(spark, str(folder), name, checkpoint).awaitTermination()
