@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .cells import blank_to_null, iso_text
 
+NEEDS_ESCAPE = r'[\x00-\x1f"\\]'
 _COMPLEX = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -49,9 +50,13 @@ def text_of(c: Column, dtype: T.DataType) -> Column:
 
 def json_value(c: Column, dtype: T.DataType) -> Column:
     """One value as JSON text, ``null`` included."""
-    if isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        wrapped = F.to_json(F.array(text_of(c, dtype)))
-        text = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    if isinstance(dtype, T.StringType):
+        # Building JSON costs far more than the check whether the text needs it.
+        wrapped = F.to_json(F.array(c))
+        escaped = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+        text = F.when(c.rlike(NEEDS_ESCAPE), escaped).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        text = F.concat(F.lit('"'), iso_text(c), F.lit('"'))
     else:
         text = text_of(c, dtype)
     return F.when(c.isNull(), F.lit("null")).otherwise(F.coalesce(text, F.lit("null")))
