@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sheetlake", master: str | None = None, **conf) -> SparkSession:
@@ -34,16 +35,17 @@ def build_session(app: str = "sheetlake", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting: it gets a temporary folder,
-    because driver and executors are then one process on one machine.
+    A folder given to the context counts as well. Only a local session may go
+    without either: it gets a temporary folder, because driver and executors are
+    then one process on one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     current = sc.getCheckpointDir()
+    if current is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if current is None:
         current = "file://" + tempfile.mkdtemp(prefix="sheetlake-")
         sc.setCheckpointDir(current)
@@ -63,7 +65,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sheetlake/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back from there.
 
     Later steps, and tasks repeated on another executor, all see the same rows.
@@ -71,4 +73,20 @@ def checkpointed(df):
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own, wherever it is stored."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Remove what :func:`checkpointed` stored; only for a table that nothing will read again."""
+    path = getattr(df, "scratch", None)
+    if path:
+        remove_path(df.sparkSession, path)
