@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sheetlake.llm.common import table
 from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.mixing import mix_sources, mixed_words
+from sheetlake.llm.simhash_dedup import near_duplicates
 from sheetlake.plans.registry import registry
 
 QUERIES, ORACLES, register = registry()
@@ -57,3 +58,8 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, CAST(count(*) OVER (PARTIT
 FROM d WINDOW g AS (PARTITION BY s ORDER BY chars DESC, doc_id NULLS LAST)""")
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@register("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
