@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sheetlake.llm.common import table
 from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.mixing import mix_sources, mixed_words
+from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.simhash_dedup import near_duplicates
 from sheetlake.plans.registry import registry
 
@@ -48,6 +49,18 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_words(mix_sources(table(spark, folder, "documents")))
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The tokenizer file and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@register("op7_pack_documents")
+def op7_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), *tokenizer_files())
+
+
 @register("op8_exact_dedup", r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars,
