@@ -43,6 +43,8 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
     ``bucket`` must rise with ``order`` and take few values (some thousands), so a
     group of any size is summed by bucket first, the bucket sums are run up in one
     small window per group, and only the rows of one bucket are sorted together.
+    The join is a merge: rows that were generated are not in Spark's size estimates,
+    so left alone it may broadcast a side that grows with the input.
     """
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum"))
     per_group = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,6 +56,6 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
     for more in same[1:]:
         condition = condition & more
     return (df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(ahead, condition, "inner")
+            .join(ahead.hint("merge"), condition, "inner")
             .withColumn(out, F.col("__ahead") + F.col("__inside"))
             .drop("__ahead", "__inside", *[f"__g{i}" for i in range(len(group) + 1)]))

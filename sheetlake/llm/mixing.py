@@ -140,7 +140,7 @@ def mix_sources(docs: DataFrame, row: str | None = None, block_words: int = BLOC
               .withColumn("block", F.explode(F.expr(
                   f"sequence(__begin div {block_words}, (__end - 1) div {block_words})"))))
     schedule = slot_schedule(sources)
-    pieces = (epochs.join(schedule, ["__rank", "block"], "inner")
+    pieces = (epochs.join(schedule.hint("merge"), ["__rank", "block"], "inner")
               .select("slot", "__row", "epoch", "block",
                       (F.greatest(F.col("__begin"), F.col("block") * block_words) - F.col("__begin")).alias("first_word"),
                       (F.least(F.col("__end"), (F.col("block") + 1) * block_words) - F.col("__begin")).alias("last_word")))
