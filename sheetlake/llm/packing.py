@@ -17,6 +17,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,69 +34,40 @@ from tokenizers import Tokenizer
 from sheetlake.session import checkpointed
 
 WINDOW = 1024
-SHARD_PIECES = 1024
+SHARD_PIECES = 512
 LEAST_CUT = 8  # a smaller gap is left as padding
 K1, B = 1.2, 0.75
-CACHED = 200_000
 END = np.array([0], dtype="<u4").tobytes()
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-class _Odd(Exception):
-    """A unit that cannot be encoded apart from its neighbours."""
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder(dict):
-    """Text to little-endian 32-bit ids, the same as the tokenizer file gives.
+class Encoder:
+    """Texts to little-endian 32-bit ids, the same as the tokenizer file gives.
 
-    The pre-tokenizer of a byte-level BPE always starts a token at a space that
-    stands between two characters that are not white space, so what lies between
-    such spaces is encoded once and remembered (at most ``CACHED`` units). Texts
-    with other white space around a space, and texts with a special token, go
-    through whole. ``vocabulary`` is the same vocabulary as ranks; without it, or
-    where its library fails on a text, the tokenizer file itself is used.
+    ``vocabulary`` is the same vocabulary as ranks, for the faster library; texts
+    with a special token, and texts on which that library fails, go through the
+    tokenizer file itself.
     """
 
     def __init__(self, tokenizer: str, pattern: str | None = None, vocabulary: dict[bytes, int] | None = None):
-        super().__init__()
-        self.file, self._whole = tokenizer, None
+        self.whole = Tokenizer.from_file(tokenizer)
         self.fast = vocabulary and tiktoken.Encoding(
             "given", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    @property
-    def whole(self) -> Tokenizer:
-        if self._whole is None:
-            self._whole = Tokenizer.from_file(self.file)
-        return self._whole
-
-    def _ids(self, text: str) -> bytes:
-        if self.fast:
+    def encode(self, text: str) -> bytes:
+        if self.fast and not any(s in text for s in self.special):
             try:
-                return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+                return _packed(self.fast.encode_ordinary(text))
             except BaseException as fault:  # a panic of the library is not an Exception
                 if isinstance(fault, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise _Odd
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self[unit] = self._ids(" " + unit)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *units = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._ids(text)
-        try:
-            return self._ids(first) + b"".join(map(self.__getitem__, units))
-        except _Odd:
-            return self._ids(text)
+        return _packed(self.whole.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=4)
@@ -135,10 +107,15 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, ranks: str | None, id_column
 
 def _terms(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(piece, term, count)`` of each different term of each piece, by piece and term."""
+    if len(rests) > 1 << 16:  # so that piece and term make one 32-bit number, which sorts fast
+        parts = [_terms(rests[a:a + (1 << 16)]) for a in range(0, len(rests), 1 << 16)]
+        return tuple(np.concatenate([part[i] + (n << 16) * (i == 0) for n, part in enumerate(parts)]) for i in range(3))
     lengths = [len(r) for r in rests]
-    flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-    keys, counts = np.unique(np.repeat(np.arange(len(rests)), lengths) << 16 | flat, return_counts=True)
-    return keys >> 16, keys & 0xFFFF, counts
+    flat = np.concatenate(rests).astype(np.uint32) if rests else np.zeros(0, np.uint32)
+    keys = np.sort(np.repeat(np.arange(len(rests), dtype=np.uint32), lengths) << 16 | flat)
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begins, len(keys)))
+    return (keys[begins] >> 16).astype(np.int64), (keys[begins] & 0xFFFF).astype(np.int64), counts
 
 
 def term_statistics(pieces: DataFrame) -> np.ndarray:
@@ -202,7 +179,7 @@ class Shard:
         piece, self.term, count = _terms(rests)
         lengths = np.array([len(r) for r in rests])
         weight = _weights(self.term, count, lengths[piece], statistics)
-        by_term = np.argsort(self.term, kind="stable")
+        by_term = np.argsort(self.term.astype(np.uint16), kind="stable")
         self.holders, self.weights = piece[by_term], weight[by_term]
         terms, begins = np.unique(self.term[by_term], return_index=True)
         ends = np.append(begins[1:], len(by_term))

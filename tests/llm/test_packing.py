@@ -69,8 +69,10 @@ def test_encoder_gives_the_tokenizer_ids(spark, reference):
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choices(" \n\tab'sé1. ", k=60)) for _ in range(3000)]
     texts += [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    alone = P.load_encoder(tokenizer_files()[0], None)
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain_ids(reference, text)[:-1], repr(text)
+    assert [alone.encode(t) for t in ODD] == [encoder.encode(t) for t in ODD]
 
 
 def test_odd_rows(spark, reference):
