@@ -9,6 +9,7 @@ from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.mixing import mix_sources, mixed_words
 from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.simhash_dedup import near_duplicates
+from sheetlake.llm.toxicity import toxicity_scores
 from sheetlake.llm.vector_search import nearest_neighbours
 from sheetlake.plans.registry import registry
 
@@ -82,3 +83,8 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_nearest_vectors")
 def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
