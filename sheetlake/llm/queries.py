@@ -8,6 +8,7 @@ from sheetlake.llm.common import table
 from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.mixing import mix_sources, mixed_words
 from sheetlake.llm.packing import pack_documents
+from sheetlake.llm.personal_data import personal_data
 from sheetlake.llm.simhash_dedup import near_duplicates
 from sheetlake.llm.toxicity import toxicity_scores
 from sheetlake.llm.vector_search import nearest_neighbours
@@ -88,3 +89,8 @@ def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op6_personal_data")
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
