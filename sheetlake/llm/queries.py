@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheetlake.llm.common import table
 from sheetlake.llm.exact_dedup import exact_duplicates
+from sheetlake.llm.license_scan import license_labels
 from sheetlake.llm.mixing import mix_sources, mixed_words
 from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.personal_data import personal_data
@@ -94,3 +95,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register("op6_personal_data")
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_labels(table(spark, folder, "documents"))
