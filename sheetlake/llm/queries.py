@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sheetlake.llm.common import table
 from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.license_scan import license_labels
+from sheetlake.llm.line_dedup import repeated_spans
 from sheetlake.llm.mixing import mix_sources, mixed_words
 from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.personal_data import personal_data
@@ -100,3 +101,25 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_license_scan")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_labels(table(spark, folder, "documents"))
+
+
+@register("op3_line_dedup", r"""
+WITH parts AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+units AS (
+    SELECT doc_id, chars, generate_subscripts(p, 1) AS unit, unnest(p) AS part FROM parts),
+placed AS (
+    SELECT *, trim(regexp_replace(lower(part), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+           coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+    FROM units),
+counted AS (
+    SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 8 AS fit FROM placed),
+ranked AS (
+    SELECT *, fit AND row_number() OVER (PARTITION BY fit, norm ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM counted)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+       CAST(any_value(chars) - coalesce(sum(length(part)) FILTER (WHERE gone), 0) AS BIGINT) AS kept_chars,
+       coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(part) AS BIGINT), ',' ORDER BY unit) FILTER (WHERE gone), '')
+           AS removed_spans
+FROM ranked GROUP BY doc_id""")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents"))
