@@ -12,6 +12,7 @@ from sheetlake.llm.mixing import mix_sources, mixed_words
 from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.personal_data import personal_data
 from sheetlake.llm.simhash_dedup import near_duplicates
+from sheetlake.llm.tool_calls import CHAT_SCHEMAS, chat_calls, linked_calls
 from sheetlake.llm.toxicity import toxicity_scores
 from sheetlake.llm.vector_search import nearest_neighbours
 from sheetlake.plans.registry import registry
@@ -123,3 +124,8 @@ SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
 FROM ranked GROUP BY doc_id""")
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents"))
+
+
+@register("op1_tool_calls")
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_calls(*chat_calls(table(spark, folder, "conversations")), CHAT_SCHEMAS)
