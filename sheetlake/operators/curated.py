@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import row_json
-from ..session import checkpointed
+from ..session import checkpointed, drop_scratch
 from ..sources.tables import qualified
 from .skew import split_join
 
 BUCKET = "key_bucket"
+_INCOMING = "__incoming"
 
 
 def raw_rows(rows: DataFrame, run_id: str, row_number: str = "row_number") -> DataFrame:
@@ -20,15 +22,18 @@ def raw_rows(rows: DataFrame, run_id: str, row_number: str = "row_number") -> Da
                        row_json(rows, fields).alias("raw"))
 
 
-def newest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+def newest_per_key(rows: DataFrame, key: str, order: str, prefer: Column | None = None) -> DataFrame:
     """The row with the highest ``order`` for each key.
 
-    An aggregate and not a ranking window: each task keeps one row per key
-    before the shuffle, so a key holding a third of all rows costs no more than
-    any other.
+    Null orders come before all others. Of equal orders the row with the higher
+    ``prefer`` stays, then the one with the higher hash, so repeats agree. An
+    aggregate and not a ranking window: each task keeps one row per key before the
+    shuffle, so a key holding a third of all rows costs no more than any other.
     """
     others = [c for c in rows.columns if c != key]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("row"))
+    hashed = [F.to_json(c) if rows.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in rows.columns]
+    rank = F.struct(F.col(order).isNotNull(), F.col(order), F.lit(0) if prefer is None else prefer, F.xxhash64(*hashed))
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("row"))
     return newest.select(key, *[F.col("row")[c].alias(c) for c in others])
 
 
@@ -47,13 +52,15 @@ def classify_changes(incoming: DataFrame, current: DataFrame, key: str, row_hash
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """Curated rows after an import: the newest incoming row per key, others kept.
+    """Curated rows after an import: the newest row per key, whichever side it comes from.
 
-    Rows without a key cannot be matched, so they stay out of the curated table.
+    Of equal orders the incoming row stays. Rows without a key cannot be matched, so
+    they stay out of the curated table. The import is read once.
     """
-    fresh = newest_per_key(incoming.where(F.col(key).isNotNull()), key, order)
-    kept = current.join(fresh.select(key), key, "left_anti")
-    return kept.unionByName(fresh.select(*current.columns))
+    columns = current.columns
+    both = current.withColumn(_INCOMING, F.lit(0)).unionByName(
+        incoming.where(F.col(key).isNotNull()).select(*columns).withColumn(_INCOMING, F.lit(1)))
+    return newest_per_key(both, key, order, F.col(_INCOMING)).select(*columns)
 
 
 def create_curated(spark: SparkSession, table: str, schema: str, key: str, buckets: int = 256,
@@ -70,9 +77,10 @@ def create_curated(spark: SparkSession, table: str, schema: str, key: str, bucke
 def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: str) -> int:
     """Bring an import into a curated table; returns how many partitions were rewritten.
 
-    Only the partitions that hold an incoming key are read and replaced. The
-    result depends on the newest rows alone, so a run that is cut short is put
-    right by running it again.
+    Only the partitions that hold an incoming key are read and replaced; a row of
+    the table that is newer than the import's stays. The result depends on the
+    newest rows alone, so a run that is cut short is put right by running it again.
+    Large partitions are written by several tasks.
     """
     about = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {qualified(table)}").collect()}
     key, buckets = about["sheetlake.key"], int(about["sheetlake.buckets"])
@@ -83,11 +91,12 @@ def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: st
     touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
     if touched:
         current = spark.table(qualified(table)).where(F.col(BUCKET).isin(touched))
-        kept = current.join(fresh.select(key), key, "left_anti")
-        merged = kept.select(*columns, BUCKET).unionByName(fresh.select(*columns, BUCKET))
+        merged = checkpointed(upsert(current.select(*columns, BUCKET), fresh.select(*columns, BUCKET), key, order))
         # Complete in the shared folder before the first old partition is replaced.
-        (checkpointed(merged.repartition(BUCKET)).write.mode("overwrite")
+        (merged.hint("rebalance", BUCKET).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").insertInto(qualified(table)))
+        drop_scratch(merged)
+    drop_scratch(fresh)
     return len(touched)
 
 
@@ -95,10 +104,10 @@ def missing_related(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """Left rows with no match on the join key; a null key never matches.
 
     The right side is reduced to its distinct keys first, combined in each task
-    before the shuffle; rows of a heavy left key are spread.
+    before the shuffle, and stored, so that a heavy left key can be split.
     """
     right_key = right_key or left_key
-    return split_join(left, right.select(right_key).distinct(), [(left_key, right_key)], "left_anti")
+    return split_join(left, checkpointed(right.select(right_key).distinct()), [(left_key, right_key)], "left_anti")
 
 
 def duplicate_keys(rows: DataFrame, key: str = "business_key") -> DataFrame:
@@ -118,14 +127,18 @@ def join_related(left: DataFrame, right: DataFrame, mapping: list[tuple[str, str
 
 
 def report_summary(report: DataFrame, measures=()) -> DataFrame:
-    """Row count and, for each measure, its filled rows, sum, minimum and maximum."""
+    """Row count and, for each measure, its filled rows, sum, minimum and maximum.
+
+    Decimals and whole numbers keep every digit: sums are taken in the column's own
+    scale. Floating measures are summed as floating numbers; cast them to a decimal
+    first where cents must add up whatever the order.
+    """
     totals = [F.count(F.lit(1)).alias("row_count")]
     for m in measures:
-        money = F.col(m).cast("decimal(18,2)")
-        totals += [
-            F.count(m).alias(f"{m}_filled"),
-            F.sum(money).cast("decimal(38,2)").alias(f"{m}_sum"),
-            F.min(money).alias(f"{m}_min"),
-            F.max(money).alias(f"{m}_max"),
-        ]
+        kind = report.schema[m].dataType
+        whole = isinstance(kind, (T.DecimalType, T.IntegralType))
+        scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+        value = F.col(m).cast(f"decimal(38,{scale})") if whole else F.col(m)
+        totals += [F.count(m).alias(f"{m}_filled"), F.sum(value).alias(f"{m}_sum"),
+                   F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
     return report.agg(*totals)

@@ -1,72 +1,31 @@
 """Equality joins whose left side may hold a large share of its rows under few keys.
 
-Adaptive execution splits a heavy join partition only where both inputs come
-straight from a shuffle, so not where one was aggregated first. Here the heavy
-keys are found with a frequent-items sketch (one pass over the key, a few
-kilobytes from each task) and only their rows are spread over numbered parts;
-the other side repeats its rows of just these keys once per part. The result is
-the same whatever the sketch finds, and no row is left out.
+Adaptive execution splits a heavy join partition by the tasks that wrote it, also one
+of null keys or of many heavy keys, and repeats the other side's rows for each split.
+It goes by the bytes written, so rows that are all equal count for little. It can do so where both inputs come straight from a shuffle, so a right
+side that was aggregated is stored first; then the join has a shuffle of its own.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_PART = 2_000_000
-MOST_KEYS = 1000  # heavy keys handled; a key past them holds under a thousandth of the rows
-TRACKED = 10_000
-NULL_PARTS = 1 << 20  # a null key matches nothing, so any part will do
-_KEY, _PART, _PARTS = "__key", "__part", "__parts"
+KINDS = ("inner", "left", "left_semi", "left_anti")
 
 
-def key_hash(keys: list[Column]) -> Column:
-    return F.xxhash64(*keys)
+def split_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """Join on pairs of a left and a right column; the right ones are dropped.
 
-
-def heavy_keys(left: DataFrame, keys: list[Column], rows_per_part: int = ROWS_PER_PART) -> list[tuple[int, int]]:
-    """``(key hash, parts)`` of keys with more than ``rows_per_part`` rows; at most ``MOST_KEYS``."""
-    known = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
-    found = left.where(known).select(key_hash(keys).alias(_KEY)).agg(
-        F.expr(f"approx_top_k({_KEY}, {MOST_KEYS}, {TRACKED})").alias("top")).first()["top"]
-    return [(item["item"], -(-item["count"] // rows_per_part)) for item in found or []
-            if item["count"] > rows_per_part]
-
-
-def split_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner",
-               rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Join with heavy left keys spread over several tasks.
-
-    ``on`` pairs a left with a right column; the right ones are dropped. ``how``
-    is inner, left, left_semi or left_anti; the column names must not clash.
+    ``how`` is inner, left, left_semi or left_anti; the other column names must not
+    clash. Key types may differ as far as Spark compares them. Neither side may be
+    the result of an aggregate or window that has not been stored.
     """
-    same_types = all(left.schema[a].dataType == right.schema[b].dataType for a, b in on)
-    right = right.withColumnsRenamed({b: f"__right_{i}" for i, (_, b) in enumerate(on)})
-    renamed = [f"__right_{i}" for i in range(len(on))]
-    equal = [F.col(a) == F.col(b) for (a, _), b in zip(on, renamed)]
-    left_keys = [F.col(a) for a, _ in on]
-    if how not in ("inner", "left", "left_semi", "left_anti"):
+    if how not in KINDS:
         raise ValueError(f"split_join cannot do {how}")
-    heavy = heavy_keys(left, left_keys, rows_per_part) if same_types else []
-    if heavy:
-        parts = F.broadcast(left.sparkSession.createDataFrame(heavy, f"{_KEY} BIGINT, {_PARTS} INT"))
-        null_key = reduce(lambda a, b: a | b, [k.isNull() for k in left_keys])
-        spread = F.pmod(F.xxhash64(*[_hashable(left, c) for c in left.columns]),
-                        F.coalesce(F.col(_PARTS), F.when(null_key, F.lit(NULL_PARTS)), F.lit(1)))
-        columns = left.columns
-        left = (left.withColumn(_KEY, key_hash(left_keys)).join(parts, _KEY, "left")
-                .select(*columns, spread.cast("int").alias(f"{_PART}_left")))
-        columns = right.columns
-        right = (right.withColumn(_KEY, key_hash([F.col(c) for c in renamed])).join(parts, _KEY, "left")
-                 .select(*columns, F.explode(F.sequence(
-                     F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)).alias(_PART)))
-        equal.append(F.col(f"{_PART}_left") == F.col(_PART))
-    joined = left.join(right, reduce(lambda a, b: a & b, equal), how)
-    return joined.drop(*renamed, _PART, f"{_PART}_left")
-
-
-def _hashable(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    return F.to_json(column) if kind in ("map", "variant") else F.col(column)
+    renamed = {b: f"__right_{i}" for i, (_, b) in enumerate(on)}
+    right = right.withColumnsRenamed(renamed)
+    equal = [F.col(a) == F.col(renamed[b]) for a, b in on]
+    return left.join(right, reduce(lambda x, y: x & y, equal), how).drop(*renamed.values())

@@ -76,13 +76,12 @@ FROM hashed h LEFT JOIN current c USING (business_key)""")(
 
 register("upsert_result", f"""
 WITH {_CURATED},
-incoming AS (SELECT * FROM hashed WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+incoming AS (SELECT * FROM hashed
              QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY o_orderkey DESC) = 1)
 SELECT * FROM incoming UNION ALL
 SELECT * FROM current WHERE business_key NOT IN (SELECT business_key FROM incoming)""")(
     lambda spark, folder: (lambda current, rows: curated.upsert(
-        current, rows.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")),
-        "business_key", "o_orderkey"))(*_curated_state(spark, folder)))
+        current, rows, "business_key", "o_orderkey"))(*_curated_state(spark, folder)))
 
 @register("upsert_table", f"""
 WITH {_CURATED},
@@ -102,14 +101,26 @@ def upsert_table(spark, folder):
     return spark.table(table).drop(curated.BUCKET)
 
 
+# The table holds the newest orders already; older ones that come late, with and without an order, change nothing.
+register("upsert_out_of_order", f"""
+WITH {_CURATED}
+SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY o_orderkey DESC) = 1""")(
+    lambda spark, folder: _out_of_order(spark, folder))
+
+
+def _out_of_order(spark, folder):
+    _, rows = _curated_state(spark, folder)
+    newest = curated.newest_per_key(rows, "business_key", "o_orderkey").select(*rows.columns)
+    late = rows.unionByName(rows.withColumn("o_orderkey", F.lit(None).cast("bigint")))
+    return curated.upsert(newest, late, "business_key", "o_orderkey")
+
+
 register("report_missing_related", """
-SELECT p.p_partkey, p.p_name FROM part p
-LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R') l
-  ON l.l_partkey = p.p_partkey WHERE l.l_partkey IS NULL""")(
+SELECT o.o_orderkey, o.o_custkey FROM orders o
+LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey IS NULL""")(
     lambda spark, folder: curated.missing_related(
-        open_parquet(spark, folder, "part").select("p_partkey", "p_name"),
-        open_parquet(spark, folder, "lineitem").where("l_quantity >= 45 AND l_returnflag = 'R'"),
-        "p_partkey", "l_partkey"))
+        open_parquet(spark, folder, "orders").select("o_orderkey", "o_custkey"),
+        open_parquet(spark, folder, "lineitem"), "o_orderkey", "l_orderkey"))
 
 register("report_duplicate_keys", """
 SELECT l_orderkey || '|' || l_linenumber AS business_key, count(*) AS row_count
@@ -129,8 +140,8 @@ SELECT o.o_orderkey, o.o_custkey, c.c_name, c.c_mktsegment FROM orders o LEFT JO
 
 def _big_orders(spark, folder):
     open_parquet(spark, folder, "orders").createOrReplaceTempView("orders")
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > :floor AND o_orderstatus = :status",
-                     args={"floor": 100000, "status": "O"})
+    return spark.sql("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders "
+                     "WHERE o_totalprice > :floor AND o_orderstatus = :status", args={"floor": 100000, "status": "O"})
 
 
 register("report_summary", """

@@ -15,7 +15,7 @@ SELECT l_returnflag, l_linestatus, count(*) AS line_count,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS base_price
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus"""
 _REVENUE_SPARK = _REVENUE.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
-_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem WHERE l_quantity > 30"
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem"
 _ORDERED = _LINES + " ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 _LIMIT = 1000
 

@@ -73,7 +73,7 @@ SELECT r_name, n_name, CAST(sum(order_count) AS BIGINT) AS order_count, {total('
 FROM spend JOIN buyers USING (o_custkey) JOIN nations USING (nationkey) NATURAL JOIN regions
 GROUP BY r_name, n_name""")
 
-_OPEN = "SELECT o_custkey, count(*) AS open_orders FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000 GROUP BY o_custkey"
+_OPEN = "SELECT o_custkey, count(*) AS open_orders FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey"
 statement("sql_join_left", f"""
 SELECT c_custkey, c_name, coalesce(open_orders, 0) AS open_orders, open_orders IS NULL AS none_open
 FROM customer LEFT JOIN ({_OPEN}) p ON o_custkey = c_custkey""")
@@ -84,10 +84,8 @@ FROM ({_OPEN}) p RIGHT OUTER JOIN customer ON o_custkey = c_custkey AND c_acctba
 
 statement("sql_join_full", """
 SELECT coalesce(ordered, shipped) AS day, order_count, line_count
-FROM (SELECT CAST(o_orderdate AS DATE) AS ordered, count(*) AS order_count FROM orders
-      WHERE o_orderstatus = 'F' GROUP BY 1) o
-FULL OUTER JOIN (SELECT CAST(l_shipdate AS DATE) AS shipped, count(*) AS line_count FROM lineitem
-      WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1) l ON ordered = shipped""")
+FROM (SELECT CAST(o_orderdate AS DATE) AS ordered, count(*) AS order_count FROM orders GROUP BY 1) o
+FULL OUTER JOIN (SELECT CAST(l_shipdate AS DATE) AS shipped, count(*) AS line_count FROM lineitem GROUP BY 1) l ON ordered = shipped""")
 
 statement("sql_join_semi", """
 SELECT c_custkey, c_name FROM customer
@@ -105,8 +103,7 @@ WHERE p.o_custkey IS NULL
 # The intervals are cut into bins of 100, so the join has an equality to shuffle on;
 # points are counted per whole price first, which bounds what one bin can hold.
 statement("sql_join_range", """
-WITH bands AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part
-               WHERE p_size < 10 GROUP BY p_brand),
+WITH bands AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand),
      bins AS (SELECT p_brand, low, high,
                      explode(sequence(CAST(floor(low / 100) AS INT), CAST(floor(high / 100) AS INT))) AS bin FROM bands),
      points AS (SELECT floor(l_extendedprice / l_quantity) AS price, count(*) AS line_count
@@ -114,8 +111,7 @@ WITH bands AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS
 SELECT p_brand, CAST(sum(line_count) AS BIGINT) AS line_count, count(*) AS price_count
 FROM points JOIN bins ON bin = CAST(floor(price / 100) AS INT) AND price >= low AND price <= high
 GROUP BY p_brand""", """
-WITH bands AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part
-               WHERE p_size < 10 GROUP BY p_brand),
+WITH bands AS (SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand),
      points AS (SELECT floor(l_extendedprice / l_quantity) AS price FROM lineitem)
 SELECT p_brand, count(*) AS line_count, count(DISTINCT price) AS price_count
 FROM points JOIN bands ON price >= low AND price <= high GROUP BY p_brand""")
@@ -134,18 +130,19 @@ SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN (
     SELECT o_custkey, o_orderkey, o_totalprice FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2) ON o_custkey = c_custkey""")
 
-# As-of: the latest view of the same user before each purchase. The window is cut
+# As-of: the latest view of the same user before each purchase, none of the same time. The window is cut
 # into minutes and the last view of earlier minutes is carried over, so a user
 # with very many events is spread over as many tasks as the user has minutes.
 statement("sql_asof", """
 WITH marked AS (
     SELECT event_id, user_id, ts, event_type, value,
            datediff(CAST(ts AS DATE), DATE '1970-01-01') * 1440 + hour(ts) * 60 + minute(ts) AS minute,
+           CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT) AS micros,
            CASE WHEN event_type = 'view' THEN struct(ts, event_id, value) END AS seen
     FROM events WHERE event_type IN ('view', 'purchase')),
 near AS (
-    SELECT *, max(seen) OVER (PARTITION BY user_id, minute ORDER BY ts, event_id
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS in_minute FROM marked),
+    SELECT *, max(seen) OVER (PARTITION BY user_id, minute ORDER BY micros
+                              RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS in_minute FROM marked),
 last_seen AS (SELECT user_id, minute, max(seen) AS seen FROM marked GROUP BY user_id, minute),
 carried AS (
     SELECT user_id, minute, max(seen) OVER (PARTITION BY user_id ORDER BY minute
@@ -225,11 +222,11 @@ FROM lineitem JOIN common USING (l_linestatus) GROUP BY l_linestatus""")
 statement("sql_listagg", """
 SELECT c_mktsegment, listagg(DISTINCT n_name, ',') WITHIN GROUP (ORDER BY n_name) AS nations,
        array_join(array_sort(collect_set(c_nationkey % 5)), '-') AS groups
-FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > 9000) c
+FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer) c
 JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment""", """
 SELECT c_mktsegment, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS nations,
        string_agg(DISTINCT c_nationkey % 5, '-' ORDER BY c_nationkey % 5) AS groups
-FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 9000 GROUP BY c_mktsegment""")
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment""")
 
 # ---- windows --------------------------------------------------------------------
 
@@ -302,27 +299,21 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DES
 statement("sql_union", """
 SELECT 'distinct' AS kind, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) u
 UNION ALL
-SELECT 'all', o_custkey FROM orders WHERE o_totalprice > 400000
+SELECT 'all', o_custkey FROM orders
 UNION ALL
-SELECT 'all', c_custkey FROM customer WHERE c_acctbal < 0""", """
+SELECT 'all', c_custkey FROM customer""", """
 SELECT 'distinct' AS kind, CAST(k AS BIGINT) AS k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) u
 UNION ALL
-SELECT 'all', o_custkey FROM orders WHERE o_totalprice > 400000
+SELECT 'all', o_custkey FROM orders
 UNION ALL
-SELECT 'all', c_custkey FROM customer WHERE c_acctbal < 0""")
+SELECT 'all', c_custkey FROM customer""")
 
-# Customer and month together: a busy customer's rows are counted per month.
+# With ALL, copies are counted per key and side in each task first.
 for _name, _word in (("sql_intersect", "INTERSECT"), ("sql_except", "EXCEPT")):
-    _text = f"""
-SELECT 'distinct' AS kind, k, month FROM (
-    SELECT o_custkey AS k, {{month}} AS month FROM orders WHERE o_orderstatus = 'F'
-    {_word} SELECT o_custkey, {{month}} FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') d
+    statement(_name, f"""
+SELECT 'distinct' AS kind, k FROM (SELECT l_suppkey AS k FROM lineitem {_word} SELECT o_custkey FROM orders) d
 UNION ALL
-SELECT 'all', k, month FROM (
-    SELECT o_custkey AS k, {{month}} AS month FROM orders WHERE o_orderstatus = 'F'
-    {_word} ALL SELECT o_custkey, {{month}} FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000) a"""
-    statement(_name, _text.format(month="trunc(CAST(o_orderdate AS DATE), 'MONTH')"),
-              _text.format(month="CAST(date_trunc('month', o_orderdate) AS DATE)"))
+SELECT 'all', k FROM (SELECT l_orderkey AS k FROM lineitem {_word} ALL SELECT o_orderkey FROM orders) a""")
 
 # ---- subqueries -----------------------------------------------------------------
 
@@ -333,22 +324,30 @@ WITH yearly AS (SELECT CAST(extract(YEAR FROM o_orderdate) AS INT) AS order_year
 SELECT y.order_year, y.o_orderpriority, y.ordered FROM yearly y
 JOIN best b ON b.order_year = y.order_year AND b.ordered = y.ordered""")
 
-# Every month between the first and the last order, with months that sold nothing.
+# Every month between the first and the last order, with months that sold nothing big. The span is halved at
+# every level, so the depth is the logarithm of its months and no level does one month alone.
 _MONTHS = """
 WITH RECURSIVE monthly AS (
-    SELECT {month} AS month, count(*) AS order_count FROM orders WHERE o_totalprice > 499000 GROUP BY 1),
-span AS (SELECT min(month) AS low, max(month) AS high FROM monthly),
-calendar(month, high) AS (
-    SELECT low, high FROM span
-    UNION ALL SELECT {next}, high FROM calendar WHERE month < high)
-SELECT calendar.month, coalesce(order_count, 0) AS order_count
-FROM calendar LEFT JOIN monthly ON monthly.month = calendar.month"""
-statement("sql_recursive", _MONTHS.format(month="trunc(CAST(o_orderdate AS DATE), 'MONTH')", next="add_months(month, 1)"),
-          _MONTHS.format(month="CAST(date_trunc('month', o_orderdate) AS DATE)",
-                         next="CAST(month + INTERVAL 1 MONTH AS DATE)"))
-
-# Correlated on priority and status: the averages are a handful of rows at any scale.
+    SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INT) AS month,
+           sum(CASE WHEN o_totalprice > 499000 THEN 1 ELSE 0 END) AS order_count FROM orders GROUP BY 1),
+calendar(low, high) AS (
+    SELECT min(month) AS low, max(month) AS high FROM monthly
+    UNION ALL
+    SELECT CASE WHEN side = 0 THEN low ELSE (low + high) {div} 2 + 1 END, CASE WHEN side = 0 THEN (low + high) {div} 2 ELSE high END
+    FROM (SELECT low, high, {sides} AS side FROM calendar WHERE low < high) AS halves)
+SELECT CAST(low {div} 12 AS INT) AS year, CAST(low % 12 + 1 AS INT) AS month,
+       CAST(coalesce(order_count, 0) AS BIGINT) AS order_count
+FROM calendar LEFT JOIN monthly ON monthly.month = low WHERE low = high"""
+statement("sql_recursive", _MONTHS.format(div="div", sides="explode(array(0, 1))").replace(
+    "(low + high) div 2", "CAST((low + high) div 2 AS INT)"), _MONTHS.format(div="//", sides="unnest([0, 1])"))
+
+# Correlated on priority and status: the averages are a handful of rows at any scale (5 priorities times 3 statuses),
+# so they are sent to the orders and not the orders to them.
+_AVERAGE = f"CAST(sum({_MONEY.format('o_totalprice')}) AS DOUBLE) / count(*)"
 statement("sql_subquery", f"""
+SELECT /*+ BROADCAST(usual) */ o_orderkey, o_custkey, o_totalprice, (SELECT max(c_acctbal) FROM customer) AS best_balance
+FROM orders JOIN (SELECT o_orderpriority AS priority, o_orderstatus AS status, {_AVERAGE} AS average FROM orders GROUP BY 1, 2) usual
+  ON o_orderpriority = priority AND o_orderstatus = status AND o_totalprice > 1.5 * average""", f"""
 SELECT o_orderkey, o_custkey, o_totalprice,
        (SELECT max(c_acctbal) FROM customer) AS best_balance
 FROM orders o

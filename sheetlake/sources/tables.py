@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OPENED: WeakKeyDictionary = WeakKeyDictionary()
-
 
 def quote_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -29,12 +25,8 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def open_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One table of a parquet folder. The footer is read once per session and path."""
-    opened = _OPENED.setdefault(spark, {})
-    path = f"{folder.rstrip('/')}/{table}.parquet"
-    if path not in opened:
-        opened[path] = spark.read.parquet(path)
-    return opened[path]
+    """One table of a parquet folder, its files listed anew."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
 def register_views(spark: SparkSession, folder: str, tables) -> None:
