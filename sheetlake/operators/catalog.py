@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
@@ -118,21 +119,18 @@ def describe(spark: SparkSession, name: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {qualified(name)} AS JSON").first()[0])
 
 
-def reserve_ids(spark: SparkSession, name: str, count: int) -> int:
-    """Advance the table's id sequence by ``count``; returns the last id used before.
+_SEQUENCES = threading.Lock()
+
+
+def reserve_ids(spark: SparkSession, name: str, count: int, past: int = 0) -> int:
+    """Advance the table's id sequence by ``count``, to begin after ``past`` at least; returns the last id before.
 
     The sequence is a table property, so no load scans the table for its highest
-    id. As with any sequence, a load that fails afterwards leaves a gap.
+    id. As with any sequence, a load that fails afterwards leaves a gap. Loads of one
+    driver take turns here; drivers that share a catalog must not load one table at
+    the same time.
     """
-    start = _properties(spark, name).get("next_id", 1)
-    spark.sql(f"ALTER TABLE {qualified(name)} SET TBLPROPERTIES "
-              f"('{_PREFIX}next_id' = '{start + count}')")
+    with _SEQUENCES:
+        start = max(_properties(spark, name).get("next_id", 1), past + 1)
+        spark.sql(f"ALTER TABLE {qualified(name)} SET TBLPROPERTIES ('{_PREFIX}next_id' = '{start + count}')")
     return start - 1
-
-
-def copy_properties(spark: SparkSession, source: str, target: str) -> None:
-    """Carry the column specification over to another table."""
-    kept = _properties(spark, source)
-    if kept:
-        listed = ", ".join(f"'{_PREFIX}{k}' = '{json.dumps(v)}'" for k, v in kept.items())
-        spark.sql(f"ALTER TABLE {qualified(target)} SET TBLPROPERTIES ({listed})")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import remove_path, shared_dir
 from ..sources.workbook_reader import scan_headers, scan_rows
-from .catalog import target_table
+from .catalog import describe, target_table
 from .headers import header_report
-from .load import BATCH_ROWS, coerce_rows, first_bad_batch, import_summary, publish_rows, table_rows, with_sequence
+from .load import (BATCH_ROWS, check_run_id, coerce_rows, drop_run, first_bad_batch, import_summary, publish_rows, table_rows,
+                   with_key_errors, with_sequence)
 from .mapping import row_errors
 
 PLACE = ("path", "sheet")
@@ -41,17 +42,26 @@ class ImportReport:
         return row_errors(failing, (*PLACE, "row_number", "batch"))
 
 
+def store_path(spark: SparkSession, table: str, run_id: str) -> str:
+    """Where the rows and the outcome of a run are kept: by catalog, database, table and run."""
+    check_run_id(run_id)
+    about = describe(spark, table)
+    place = "/".join([about["catalog_name"], *about["namespace"], about["table_name"]])
+    return f"{shared_dir(spark)}/sheetlake/imports/{place}/{run_id}"
+
+
 def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | None = None) -> ImportReport:
     """Import every workbook of ``files`` into ``table`` as one load run.
 
     A sheet with a wrong header, or with any bad row, leaves nothing behind; the
     others are published together. The sheets are parsed once, into the raw
-    store; checks, typing and error reports all read that. Repeating a run
-    replaces what the earlier attempt wrote.
+    store, and their rows typed once, into the store beside it; checks, publishing and
+    error reports read those. Repeating a run replaces what the earlier attempt
+    wrote; if nothing is good any more, its rows leave the table.
     """
     spark = files.sparkSession
     target = target_table(spark, table)
-    store = f"{shared_dir(spark)}/sheetlake/imports/{table}/{run_id}"
+    store = store_path(spark, table, run_id)
 
     scanned = scan_headers(files, sheet)
     report = (header_report(scanned.where("error IS NULL"), target.columns)
@@ -65,7 +75,9 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     # A file may be damaged behind its header; what was read of it must not count.
     damaged = scanned_rows.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("scan_error"))
 
-    checked = coerce_rows(raw, target, keep=(*PLACE, "row_number", "ordinal", "seq"), cells="cells", into="row")
+    typed = _written(coerce_rows(raw, target, keep=(*PLACE, "row_number", "ordinal", "seq"), cells="cells", into="row"),
+                     f"{store}/typed")
+    checked = with_key_errors(spark, target, typed, run_id)
     runs = _written(_outcomes(headers, damaged, import_summary(checked, PLACE), run_id), f"{store}/runs")
 
     good = runs.where("outcome = 'success'")
@@ -73,8 +85,21 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     if total:
         accepted = checked.join(good.select(*PLACE), list(PLACE), "left_semi")
         publish_rows(spark, table, table_rows(spark, target, accepted, scanned_rows), run_id)
+    else:
+        drop_run(spark, table, run_id)
     rejected = runs.where("outcome = 'rejected'").select(*PLACE)
-    return ImportReport(run_id, runs, raw, total, checked.join(rejected, list(PLACE), "left_semi"))
+    # Only rows of rejected sheets are read again.
+    failing = _written(checked.join(rejected, list(PLACE), "left_semi"), f"{store}/rejected")
+    remove_path(spark, f"{store}/typed")
+    return ImportReport(run_id, runs, raw, total, failing)
+
+
+def import_run(spark: SparkSession, table: str, run_id: str) -> ImportReport:
+    """What is kept of an earlier import: its outcomes, its rows as read, and its errors."""
+    store = store_path(spark, table, run_id)
+    runs, raw, rejected = (spark.read.parquet(f"{store}/{part}") for part in ("runs", "raw", "rejected"))
+    total = runs.where("outcome = 'success'").agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
+    return ImportReport(run_id, runs, raw.where("error IS NULL").drop("error"), total, rejected)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from ..functions.assign import kind_for, spark_type
 from ..functions.cells import outcome
 from ..functions.keys import number_text
-from ..session import checkpointed
+from ..session import checkpointed, drop_scratch, remove_others, remove_path
 from ..sources.tables import qualified, quote_name
-from .catalog import RUN_COLUMN, TargetTable, reserve_ids, target_table
+from .catalog import RUN_COLUMN, TargetTable, describe, reserve_ids, target_table
 from .mapping import computed_once, convert, error_map, text_of, texts, value_of
 
 BATCH_ROWS = 1000  # fixed value: rows per import batch
@@ -94,7 +94,10 @@ def table_rows(spark: SparkSession, target: TargetTable, checked: DataFrame, raw
     """
     given = checked.schema[into].dataType.fieldNames()
     if any(c.data_type == "SERIAL" for c in target.columns):
-        base = reserve_ids(spark, target.name, raw.count())
+        serial = [c.name for c in target.columns if c.data_type == "SERIAL" and c.name in given]
+        # The sequence goes on past the highest id that a sheet gives, so the two never meet.
+        highest = checked.agg(F.max(F.col(into)[serial[0]])).first()[0] if serial else None
+        base = reserve_ids(spark, target.name, raw.count(), highest or 0)
         checked = dense_ids(checked, base, column="next_id", source=raw)
 
     def column(c):
@@ -173,43 +176,104 @@ class LoadResult(NamedTuple):
     error_rows: int
 
 
+DUPLICATE = 'duplicate key value violates unique constraint "{}_pkey"'  # fixed value: the message of a primary key
+
+
+def check_run_id(run_id: str) -> None:
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"Invalid run id: {run_id}")
+
+
+def with_key_errors(spark: SparkSession, target: TargetTable, checked: DataFrame, run_id: str, into: str = "row") -> DataFrame:
+    """``checked`` with an error for ids that its sheet repeats, or that other runs of the table hold.
+
+    ``checked`` must be written. The first row of an id, by ``seq``, keeps it. Ids are
+    counted by an aggregate and looked up in the table by a semi join.
+    """
+    serial = [c.name for c in target.columns if c.data_type == "SERIAL" and c.name in checked.schema[into].dataType.fieldNames()]
+    if not serial:
+        return checked
+    name = serial[0]
+    given = checked.select("seq", F.col(into)[name].alias("given")).where("given IS NOT NULL")
+    first = checkpointed(given.groupBy("given").agg(F.min("seq").alias("first")))
+    held = spark.table(qualified(target.name))
+    if target.by_run:
+        held = held.where(F.col(RUN_COLUMN) != run_id)
+    used = first.join(held.select(F.col(name).alias("given")), "given", "left_semi").withColumn("used", F.lit(True))
+    known = checkpointed(first.join(used.select("given", "used"), "given", "left"))
+    bad = (given.withColumnRenamed("given", "__given").join(known, F.col("__given") == F.col("given"))
+           .where(F.col("used") | (F.col("seq") > F.col("first"))).select(F.col("seq").alias("__seq")))
+    message = F.map_from_arrays(F.array(F.lit(name)), F.array(F.lit(DUPLICATE.format(target.name))))
+    flagged = checked.join(checkpointed(bad), F.col("seq") == F.col("__seq"), "left")
+    errors = F.when(F.col("__seq").isNotNull() & ~F.map_contains_key("errors", name), F.map_concat("errors", message))
+    return flagged.withColumn("errors", F.coalesce(errors, F.col("errors"))).drop("__seq")
+
+
 def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str) -> None:
-    """Write ``rows`` as partition ``run_id`` of ``table``.
+    """Make ``rows`` the partition ``run_id`` of ``table``.
 
-    The catalog learns of the partition after the last file is committed, so
-    readers see all of the run or none of it; a repeated run replaces itself.
+    They are written to a folder of their own; when the last file is committed, the
+    catalog is pointed at it, and only then does what an earlier attempt wrote go. So
+    readers see all of an attempt or none of it, and one that fails changes nothing.
     A table made elsewhere, without load runs, takes the rows by plain append.
     """
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
-        raise ValueError(f"Invalid run id: {run_id}")
+    check_run_id(run_id)
     target = target_table(spark, table)
-    names = [c.name for c in target.columns]
-    rows = rows.select(*[quote_name(n) for n in names])
+    schema = spark.table(qualified(table)).schema
+    rows = rows.select(*[F.col(quote_name(c.name)).cast(schema[c.name].dataType).alias(c.name) for c in target.columns])
     if target.indexed:
         # Sorted within each file, without a shuffle: page statistics and the bloom
         # filters then skip most of a file, and a hot value stays spread over files.
         rows = rows.sortWithinPartitions(*[quote_name(n) for n in target.indexed])
-    view = f"publish_{uuid.uuid4().hex}"
-    rows.createOrReplaceTempView(view)
-    try:
-        listed = ", ".join(quote_name(n) for n in names)
-        into = (f"OVERWRITE TABLE {qualified(table)} PARTITION ({RUN_COLUMN} = '{run_id}')" if target.by_run
-                else f"INTO {qualified(table)} ({listed})")
-        spark.sql(f"INSERT {into} SELECT {listed} FROM {view}")
-    finally:
-        spark.catalog.dropTempView(view)
+    if not target.by_run:
+        view = f"publish_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(view)
+        try:
+            listed = ", ".join(quote_name(c.name) for c in target.columns)
+            spark.sql(f"INSERT INTO {qualified(table)} ({listed}) SELECT {listed} FROM {view}")
+        finally:
+            spark.catalog.dropTempView(view)
+        return
+    run = _run_folder(spark, table, run_id)
+    attempt = f"{run}/{uuid.uuid4().hex}"
+    rows.write.options(**{f"parquet.bloom.filter.enabled#{n}": "true" for n in target.indexed}).parquet(attempt)
+    partition = f"PARTITION ({RUN_COLUMN} = '{run_id}')"
+    spark.sql(f"ALTER TABLE {qualified(table)} ADD IF NOT EXISTS {partition} LOCATION '{attempt}'")
+    spark.sql(f"ALTER TABLE {qualified(table)} {partition} SET LOCATION '{attempt}'")
+    spark.catalog.refreshTable(qualified(table))
+    remove_others(spark, run, attempt)
+
+
+def drop_run(spark: SparkSession, table: str, run_id: str) -> None:
+    """Take a load run out of its table, if it is there."""
+    check_run_id(run_id)
+    if target_table(spark, table).by_run:
+        spark.sql(f"ALTER TABLE {qualified(table)} DROP IF EXISTS PARTITION ({RUN_COLUMN} = '{run_id}')")
+        spark.catalog.refreshTable(qualified(table))
+        remove_path(spark, _run_folder(spark, table, run_id))
+
+
+def _run_folder(spark: SparkSession, table: str, run_id: str) -> str:
+    return f"{describe(spark, table)['location']}/{RUN_COLUMN}={run_id}"
 
 
 def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
               keep=("row_number",), cells: str | None = None) -> LoadResult:
     """All-or-nothing load of one source: publish only if no row has an error.
 
-    ``raw`` must be repeatable (a table, or written rows) and carry ``seq``.
+    ``raw`` must be repeatable (a table, or written rows) and carry ``seq``. Its rows
+    are typed once. A run that publishes nothing takes what an earlier attempt of the
+    same run published out of the table.
     """
+    check_run_id(run_id)
     target = target_table(spark, table)
-    checked = coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells, into="row")
+    typed = checkpointed(coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells, into="row"))
+    checked = with_key_errors(spark, target, typed, run_id)
     summary = import_summary(checked).first()
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
         publish_rows(spark, table, table_rows(spark, target, checked, raw), run_id)
+    else:
+        drop_run(spark, table, run_id)
+    drop_scratch(typed)
     return LoadResult(bad == 0, total, bad)

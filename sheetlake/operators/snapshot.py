@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import qualified, split_table_name
-from .catalog import copy_properties, describe
+from .catalog import describe
 
 # Snapshot names, the word that confirms a restore, and the refusals.
 SNAPSHOT_NAME = r"backup_[0-9]{8}_[0-9]{6}"
@@ -21,7 +21,8 @@ NO_SNAPSHOT = "Backup file not found or invalid."
 NO_TOKEN = "Confirmation token required to restore backups."
 BAD_TOKEN = "Invalid confirmation token."
 MANIFEST = "manifest"
-_MANIFEST_SCHEMA = "table_name STRING, definition STRING, row_count BIGINT, content_hash DECIMAL(38,0)"
+_MANIFEST_SCHEMA = ("table_name STRING, definition STRING, statement STRING, location STRING, row_count BIGINT, "
+                    "content_hash DECIMAL(38,0)")
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -64,7 +65,10 @@ def take_snapshot(spark: SparkSession, tables, folder: str, now: datetime | None
         df = spark.table(qualified(table))
         path = f"{folder}/{name}/{table}"
         _storable(df).write.mode("errorifexists").parquet(path)
-        entries.append((table, df.schema.json(), *content_hash(spark.read.parquet(path)).first()))
+        about = describe(spark, table)
+        statement = spark.sql(f"SHOW CREATE TABLE {qualified(table)}").first()[0]
+        entries.append((table, df.schema.json(), statement, about["location"] if about["type"] == "EXTERNAL" else None,
+                        *content_hash(spark.read.parquet(path)).first()))
     (spark.createDataFrame(entries, _MANIFEST_SCHEMA).coalesce(1)
      .write.mode("errorifexists").parquet(f"{folder}/{name}/{MANIFEST}"))
     return name
@@ -74,8 +78,10 @@ def restore_snapshot(spark: SparkSession, name: str, token: str, folder: str, ta
     """Replace tables by their state in a snapshot.
 
     ``token`` must be ``RESTORE`` or the snapshot's name. All tables are first
-    written in full and compared with the manifest; only then are names swapped,
-    which is metadata alone.
+    written in full, as the snapshot's own statement creates them, and both the stored
+    copy and what was written are compared with the manifest; only then are names
+    swapped, which is metadata alone. So a table that was dropped comes back with its
+    specification, and one that was changed has that of the snapshot again.
     """
     name, token = name.strip(), token.strip()
     if not re.fullmatch(SNAPSHOT_NAME, name):
@@ -104,15 +110,17 @@ def _write_version(spark: SparkSession, entry, snapshot: str) -> str:
     wanted = T.StructType.fromJson(json.loads(entry["definition"]))
     rows = stored.select(*[F.parse_json(f.name).alias(f.name) if isinstance(f.dataType, T.VariantType)
                            else F.col(f.name) for f in wanted.fields])
-    if spark.catalog.tableExists(qualified(table)):
-        about = describe(spark, table)
+    # The statement names the table, then its columns, defaults, options, partitions and properties.
+    statement = re.sub(r"^CREATE TABLE [^(]*\(", lambda _: f"CREATE TABLE {qualified(version)} (", entry["statement"])
+    if entry["location"]:
         # A table with a folder of its own gets its next version beside it.
-        beside = (f" LOCATION '{about['location']}-{uuid.uuid4().hex[:8]}'" if about["type"] == "EXTERNAL" else "")
-        spark.sql(f"CREATE TABLE {qualified(version)} LIKE {qualified(table)}{beside}")
-        copy_properties(spark, table, version)
-        rows.select(*spark.table(qualified(version)).columns).write.insertInto(qualified(version))
-    else:
-        rows.write.saveAsTable(qualified(version))
+        beside = f"{entry['location'].rstrip('/')}-{uuid.uuid4().hex[:8]}"
+        statement = re.sub(r"\nLOCATION '[^\n]*'", lambda _: f"\nLOCATION '{beside}'", statement)
+    spark.sql(statement)
+    rows.select(*spark.table(qualified(version)).columns).write.insertInto(qualified(version))
+    written = spark.read.table(qualified(version)).select(*wanted.fieldNames())
+    if tuple(content_hash(_storable(written)).first()) != (count, total):
+        raise RuntimeError(f"The restored rows of {table} do not match the snapshot.")
     return version
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..operators import load, mapping
-from ..operators.catalog import TargetColumn, TargetTable, create_table
-from ..session import scratch_path
+from ..operators import load, mapping, snapshot
+from ..operators.catalog import TargetColumn, TargetTable, create_table, target_table
+from ..session import checkpointed, scratch_path
 from ..sources.tables import open_parquet, scan_table
 from . import fixtures as fx
 from .registry import registry
@@ -244,6 +244,77 @@ def load_all_or_nothing(spark, folder):
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
 
 
+def load_orders(spark, folder, label: str) -> str:
+    """A new table with all orders as one run."""
+    table = new_load_table(spark, label)
+    load.load_rows(spark, table, _stage(spark, f"{label}-run", _sheet_of_orders(spark, folder, None, False)), "run-1")
+    return table
+
+
+@register("load_repeat", f"{_LOADED} WHERE o_orderstatus = 'P'")
+def load_repeat(spark, folder):
+    """Runs that are repeated: a good sheet that is bad now leaves no row, one that is good again replaces its first rows."""
+    table = new_load_table(spark, "repeat")
+    for run, status, bad in (("run-1", "F", False), ("run-2", "O", False), ("run-1", "F", True), ("run-2", "P", False)):
+        load.load_rows(spark, table, _stage(spark, run, _sheet_of_orders(spark, folder, status, bad)), run)
+    return spark.table(table).select("o_orderkey", "total", "placed", "channel")
+
+
+@register("id_conflicts", """
+WITH sheet AS (SELECT o_orderkey + 2 AS row_number, CASE WHEN o_orderkey % 50 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS id FROM orders
+               WHERE o_orderstatus <> 'F'),
+held AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_number) AS n FROM sheet)
+SELECT row_number, 'id' AS field, 'duplicate key value violates unique constraint "ids_pkey"' AS error
+FROM ranked WHERE n > 1 OR id IN (SELECT id FROM held)""")
+def id_conflicts(spark, folder):
+    """Ids that a sheet gives twice, or that the table holds, are errors of their rows."""
+    table = new_load_table(spark, "ids")
+
+    def sheet(orders, given):
+        total = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+        return _stage(spark, "ids-run", orders.select(
+            (F.col("o_orderkey") + 2).alias("row_number"), given.cast("string").alias("id"),
+            F.col("o_orderkey").cast("string").alias("o_orderkey"), total.alias("total"),
+            F.col("o_orderdate").cast("date").cast("string").alias("placed")))
+
+    orders, key = open_parquet(spark, folder, "orders"), F.col("o_orderkey")
+    load.load_rows(spark, table, sheet(orders.where("o_orderstatus = 'F'"), key), "run-1")
+    raw = sheet(orders.where("o_orderstatus <> 'F'").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"),
+                F.when(key % 50 == 3, key - 1).otherwise(key))
+    target = target_table(spark, table)
+    typed = checkpointed(load.coerce_rows(raw, target, keep=("row_number", "seq"), into="row"))
+    checked = load.with_key_errors(spark, target._replace(name=table), typed, "run-2")
+    return mapping.row_errors(checked).withColumn("error", F.replace("error", F.lit(table), F.lit("ids")))
+
+
+@register("indexed_lookup", f"{_LOADED} WHERE date_trunc('month', o_orderdate) = TIMESTAMP '1997-03-01'")
+def indexed_lookup(spark, folder):
+    """One month of a loaded table by its indexed column, read through the parquet filters."""
+    table = load_orders(spark, folder, "lookup")
+    return spark.table(table).where("placed >= TIMESTAMP_NTZ'1997-03-01' AND placed < TIMESTAMP_NTZ'1997-04-01'").select(
+        "o_orderkey", "total", "placed", "channel")
+
+
+@register("restore_round_trip", """
+WITH numbered AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders),
+sizes AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders)
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CASE o_orderstatus WHEN 'F' THEN n ELSE f + n END AS id, 'sheet' AS channel
+FROM numbered, sizes WHERE o_orderstatus IN ('F', 'O')""")
+def restore_round_trip(spark, folder):
+    """Load, snapshot, load more, drop, restore, load again: ids and defaults go on as the snapshot had them."""
+    table, place = new_load_table(spark, "restored"), scratch_path(spark, "snapshots")
+    in_order = [_sheet_of_orders(spark, folder, s, False).repartitionByRange(4, "row_number").sortWithinPartitions("row_number")
+                for s in ("F", "P", "O")]
+    load.load_rows(spark, table, _stage(spark, "restore-1", in_order[0]), "run-1")
+    made = snapshot.take_snapshot(spark, [table], place)
+    load.load_rows(spark, table, _stage(spark, "restore-2", in_order[1]), "run-2")
+    spark.sql(f"DROP TABLE {table}")
+    snapshot.restore_snapshot(spark, made, made, place)
+    load.load_rows(spark, table, _stage(spark, "restore-3", in_order[2]), "run-3")
+    return spark.table(table).select("o_orderkey", "id", "channel")
+
+
 @register("target_columns", """
 WITH spec AS (SELECT * FROM (VALUES (1, 'id', 'SERIAL', true, 'serial'), (2, 'o_orderkey', 'INTEGER', true, NULL),
     (3, 'total', 'NUMERIC', true, NULL), (4, 'placed', 'TIMESTAMP', false, NULL),
@@ -256,7 +327,6 @@ def target_columns(spark, folder):
     """The column specification next to how many loaded rows fill each column."""
     table = new_load_table(spark, "spec")
     load.load_rows(spark, table, _stage(spark, "spec-run", _sheet_of_orders(spark, folder, None, False)), "run-1")
-    from ..operators.catalog import target_table
     spec = target_table(spark, table).columns
     filled = spark.table(table).agg(*[F.count(F.col(c.name)).alias(c.name) for c in spec])
     entries = F.array(*[F.struct(

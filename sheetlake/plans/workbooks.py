@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.catalog import TargetColumn, TargetTable
-from ..operators.imports import import_workbooks
+from ..operators.catalog import TargetColumn, TargetTable, target_table
+from ..operators.imports import import_run, import_workbooks
 from ..operators.load import coerce_rows
 from ..session import scratch_path
 from ..sources.tables import open_parquet
 from ..sources.workbook_reader import header_cells, scan_cells, scan_headers, scan_rows, workbook_files
-from ..sources.workbook_writer import export_workbook, numeric_as_double
+from ..sources.workbook_writer import export_workbook, exported_files, numeric_as_double, template_workbook
 from ..streaming.landing import import_landing
-from .ingest import new_load_table
+from .ingest import load_orders, new_load_table
 from .registry import registry
 
 QUERIES, ORACLES, register = registry()
 
 
-def _spread(df):
-    """As many parts as the cluster has slots; the test tables are single files."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+PART_ROWS = 20_000  # so that also a table of one file becomes several workbooks
+
+
+def _export(df, path):
+    """Parts straight from the scan's own splits."""
+    return export_workbook(df, path, PART_ROWS)
 
 
 def _orders(spark, folder):
@@ -34,10 +37,17 @@ def export_numeric(spark, folder):
     return numeric_as_double(_orders(spark, folder).select("o_orderkey", "o_totalprice"))
 
 
-@register("export_manifest", "SELECT count(*) AS row_count, true AS all_written FROM orders")
+@register("export_manifest", """
+SELECT count(*) AS row_count, true AS all_written, count(*) AS rows_read, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders""")
 def export_manifest(spark, folder):
-    manifest = export_workbook(_spread(_orders(spark, folder)), scratch_path(spark, "export"))
-    return manifest.agg(F.sum("rows").alias("row_count"), (F.min("bytes") > 0).alias("all_written"))
+    """What the manifest says next to what is read back from the parts it lists."""
+    path = scratch_path(spark, "export")
+    manifest = _export(_orders(spark, folder), path)
+    listed = manifest.agg(F.sum("rows").alias("row_count"), (F.min("bytes") > 0).alias("all_written"))
+    cells = scan_cells(exported_files(spark, path)).where("ordinal > 0")
+    read = cells.agg(F.count(F.lit(1)).alias("rows_read"),
+                     F.sum(F.col("cells")[1]["text"].cast("double")).cast("bigint").alias("key_sum"))
+    return listed.withColumn("one", F.lit(1)).join(read.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @register("scan_row_numbers", """
@@ -47,7 +57,7 @@ FROM orders""")
 def scan_row_numbers(spark, folder):
     """All orders through workbooks and back; data rows follow the header without gaps."""
     path = scratch_path(spark, "scan")
-    export_workbook(_spread(_orders(spark, folder)), path)
+    _export(_orders(spark, folder), path)
     target = TargetTable("scanned", (
         TargetColumn("o_orderkey", "INTEGER"), TargetColumn("o_custkey", "INTEGER"), TargetColumn("o_orderstatus"),
         TargetColumn("o_totalprice", "NUMERIC"), TargetColumn("o_orderdate", "TIMESTAMP")))
@@ -67,7 +77,7 @@ def scan_cell_kinds(spark, folder):
     events = open_parquet(spark, folder, "events").select(
         "event_id", "value", (F.col("value") > 10).alias("high"), "props",
         F.nullif("event_type", F.lit("view")).alias("event_type"))
-    export_workbook(_spread(events), path)
+    _export(events, path)
     cells = scan_cells(workbook_files(spark, path)).where("ordinal > 0")
     return cells.select(F.explode("cells")).groupBy(F.col("value.kind").alias("kind")).agg(
         F.count(F.lit(1)).alias("cell_count"))
@@ -75,17 +85,17 @@ def scan_cell_kinds(spark, folder):
 
 def _sheets(spark, folder, status: str, with_errors: bool):
     total = F.lit("n/a") if with_errors else F.col("o_totalprice").cast("string")
-    return _spread(_orders(spark, folder).where(F.col("o_orderstatus") == status).select(
+    return _orders(spark, folder).where(F.col("o_orderstatus") == status).select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"), total.alias("total"),
-        F.col("o_orderdate").alias("placed")))
+        F.col("o_orderdate").alias("placed"))
 
 
 def _landing(spark, folder) -> str:
     """A folder with good sheets, sheets of bad rows and sheets with a wrong header."""
     path = scratch_path(spark, "landing")
-    export_workbook(_sheets(spark, folder, "F", False), f"{path}/good")
-    export_workbook(_sheets(spark, folder, "O", True), f"{path}/bad")
-    export_workbook(_sheets(spark, folder, "P", False).withColumnRenamed("total", "Total"), f"{path}/mismatch")
+    _export(_sheets(spark, folder, "F", False), f"{path}/good")
+    _export(_sheets(spark, folder, "O", True), f"{path}/bad")
+    _export(_sheets(spark, folder, "P", False).withColumnRenamed("total", "Total"), f"{path}/mismatch")
     return path
 
 
@@ -108,10 +118,10 @@ FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'rejected'
              1 AS total_rows, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS error_rows FROM orders)
 GROUP BY outcome""")
 def import_outcomes(spark, folder):
-    """Rows seen and rows refused per outcome of the same folder."""
+    """Rows seen and rows refused per outcome of the same folder, looked up by the run's id."""
     table = new_load_table(spark, "outcomes")
-    report = import_workbooks(workbook_files(spark, _landing(spark, folder)), table, "run_1")
-    return report.runs.groupBy("outcome").agg(
+    import_workbooks(workbook_files(spark, _landing(spark, folder)), table, "run_1")
+    return import_run(spark, table, "run_1").runs.groupBy("outcome").agg(
         F.sum("total_rows").alias("total_rows"), F.sum("error_rows").alias("error_rows"))
 
 
@@ -130,10 +140,39 @@ SELECT pos, header, true AS same_in_all FROM (VALUES (1, 'o_orderkey'), (2, 'o_c
 def header_scan(spark, folder):
     """Header rows of all exported parts, read both ways: first rows only, and with all cells."""
     path = scratch_path(spark, "headers")
-    export_workbook(_spread(_orders(spark, folder)), path)
+    _export(_orders(spark, folder), path)
     files = workbook_files(spark, path)
     quick = scan_headers(files).select("path", F.inline("headers"))
     full = header_cells(scan_cells(files)).select("path", F.inline("headers"))
     both = quick.unionByName(full).groupBy("pos", "header").agg(
         F.count(F.lit(1)).alias("seen"), F.count_distinct("path").alias("files"))
     return both.select("pos", "header", (F.col("seen") == 2 * F.col("files")).alias("same_in_all"))
+
+
+@register("landing_two_folders", """
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(38,9)) AS total,
+       o_orderdate AS placed, 'sheet' AS channel FROM orders""")
+def landing_two_folders(spark, folder):
+    """Two folders, each with a stream and a checkpoint of its own, into one table."""
+    table, path = new_load_table(spark, "two_folders"), scratch_path(spark, "landing-two")
+    for name, states in (("x", "FO"), ("y", "P")):
+        for state in states:
+            _export(_sheets(spark, folder, state, False), f"{path}/{name}/{state}")
+        import_landing(spark, f"{path}/{name}", table, f"{path}-checkpoint-{name}").awaitTermination()
+    return spark.table(table).select("o_orderkey", "total", "placed", "channel")
+
+
+@register("template_headers", """
+SELECT pos, header, (SELECT count(*) FROM orders) AS table_rows, CAST(0 AS BIGINT) AS template_rows
+FROM (VALUES (1, 'id'), (2, 'o_orderkey'), (3, 'total'), (4, 'placed'), (5, 'channel')) AS t(pos, header)""")
+def template_headers(spark, folder):
+    """The template of a loaded table: its column names in order, and none of its rows."""
+    table, path = load_orders(spark, folder, "template"), scratch_path(spark, "template")
+    columns = [c.name for c in target_table(spark, table).columns]
+    template_workbook(spark.table(table).select(*columns), path)
+    files = exported_files(spark, path)
+    headers = scan_headers(files).select(F.inline("headers")).select("pos", "header")
+    rows = scan_cells(files).where("ordinal > 0").agg(F.count(F.lit(1)).alias("template_rows"))
+    held = spark.table(table).agg(F.count(F.lit(1)).alias("table_rows"))
+    return (headers.withColumn("one", F.lit(1)).join(held.withColumn("one", F.lit(1)), "one")
+            .join(rows.withColumn("one", F.lit(1)), "one").drop("one"))

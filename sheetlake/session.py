@@ -90,3 +90,14 @@ def drop_scratch(df: DataFrame) -> None:
     path = getattr(df, "scratch", None)
     if path:
         remove_path(df.sparkSession, path)
+
+
+def remove_others(spark: SparkSession, folder: str, kept: str) -> None:
+    """Delete everything directly below a folder of the library's own but ``kept``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    stays = jvm.org.apache.hadoop.fs.Path(kept).getName()
+    for entry in system.listStatus(path):
+        if entry.getPath().getName() != stays:
+            system.delete(entry.getPath(), True)

@@ -1,8 +1,8 @@
 """Workbook export: each partition of a query becomes part workbooks with one sheet.
 
 The sink is a Python data source, so Spark's own write protocol applies: tasks
-write below a staging folder under names of their own attempt, and only the
-attempts Spark accepted are moved into place when the whole job has succeeded.
+write parts under names of their job and attempt, and when the whole job has
+succeeded the manifest lists those of the attempts Spark accepted.
 """
 
 from __future__ import annotations
@@ -167,80 +167,88 @@ class _Part:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    parts: list  # (staged path, part name, rows, bytes)
+    parts: list  # (part name, rows, bytes)
 
 
 class WorkbookWriter(DataSourceArrowWriter):
+    """Parts get names of their own job and attempt; the manifest, written last, says which of them count.
+
+    Until the manifest is replaced, readers that go by it see the earlier result
+    whole, and after it the new one. What neither names is removed after that.
+    """
+
     def __init__(self, options, names, overwrite: bool):
         self.folder = options["path"].rstrip("/")
         self.limit = int(options.get("maxRows", SHEET_ROWS - 1))
         self.names = names
         self.overwrite = overwrite
-        self.staging = f"{self.folder}/_staging-{uuid.uuid4().hex}"
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, staging = file_system(self.staging)
-        system.create_dir(staging, recursive=True)
-        written, part, path, name = [], None, None, None
+        system, folder = file_system(self.folder)
+        system.create_dir(folder, recursive=True)
+        written, part, name = [], None, None
 
         def finish():
             if part is not None:
-                written.append((path, name, part.rows, part.close()))
+                written.append((name, part.rows, part.close()))
 
         for batch in iterator:
             start = 0
             while start < batch.num_rows:
                 if part is None or part.rows >= self.limit:
                     finish()
-                    name = _part_name(context.partitionId(), len(written))
-                    path = f"{staging}/{context.taskAttemptId()}-{name}"
-                    part = _Part(system, path, self.names)
+                    name = self._name(context.partitionId(), len(written), context.taskAttemptId())
+                    part = _Part(system, f"{folder}/{name}", self.names)
                 taken = batch.slice(start, self.limit - part.rows)
                 part.add(taken)
                 start += taken.num_rows
         finish()
         return _Written(written)
 
-    def commit(self, messages):
-        from pyarrow import fs
+    def _name(self, partition: int, file: int, attempt: int) -> str:
+        return _part_name(partition, file).replace(".xlsx", f"-{self.job}-{attempt}.xlsx")
 
+    def commit(self, messages):
         system, folder = file_system(self.folder)
         system.create_dir(folder, recursive=True)
-        accepted = sorted((p for m in messages if m is not None for p in m.parts), key=lambda p: p[1])
-        if not accepted:
-            path = f"{folder}/empty-{uuid.uuid4().hex}"
-            accepted = [(path, _part_name(0, 0), 0, _Part(system, path, self.names).close())]
-        present = [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".xlsx")]
-        earlier = b""
-        if self.overwrite:
-            for old in present:
-                if old.base_name.startswith("part-"):
-                    system.delete_file(old.path)
-        elif system.get_file_info(f"{folder}/{MANIFEST}").is_file:
-            with system.open_input_stream(f"{folder}/{MANIFEST}") as kept:
-                earlier = kept.read()
-            added = f"part-{uuid.uuid4().hex[:8]}-"
-            accepted = [(p, n.replace("part-", added, 1), r, b) for p, n, r, b in accepted]
-        with ThreadPoolExecutor(32) as pool:
-            list(pool.map(lambda p: system.move(p[0], f"{folder}/{p[1]}"), accepted))
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(earlier)
-            for _, name, rows, size in accepted:
-                out.write((json.dumps({"part": name, "rows": rows, "bytes": size}) + "\n").encode())
-        self._drop_staging()
+        accepted = sorted(p for m in messages if m is not None for p in m.parts)
+        earlier = [] if self.overwrite else manifest_entries(system, folder)
+        if not accepted and not earlier:
+            name = self._name(0, 0, 0)
+            accepted = [(name, 0, _Part(system, f"{folder}/{name}", self.names).close())]
+        entries = earlier + [{"part": n, "rows": r, "bytes": b} for n, r, b in accepted]
+        # An object store shows a file when it is closed; elsewhere a rename does as much.
+        fresh = f"{folder}/_{MANIFEST}-{self.job}"
+        with system.open_output_stream(fresh) as out:
+            out.write("".join(json.dumps(e) + "\n" for e in entries).encode())
+        system.move(fresh, f"{folder}/{MANIFEST}")
+        kept = {e["part"] for e in entries}
+        self._drop(system, folder, lambda name: name not in kept and (self.overwrite or self.job in name))
 
     def abort(self, messages):
-        self._drop_staging()
+        system, folder = file_system(self.folder)
+        self._drop(system, folder, lambda name: self.job in name)
 
-    def _drop_staging(self):
+    @staticmethod
+    def _drop(system, folder: str, unwanted) -> None:
         from pyarrow import fs
 
-        system, staging = file_system(self.staging)
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+        present = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        gone = [f.path for f in present if f.base_name.startswith("part-") and unwanted(f.base_name)]
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(system.delete_file, gone))
+
+
+def manifest_entries(system, folder: str) -> list[dict]:
+    """The parts that the last committed export of a folder lists; none without one."""
+    if not system.get_file_info(f"{folder}/{MANIFEST}").is_file:
+        return []
+    with system.open_input_stream(f"{folder}/{MANIFEST}") as kept:
+        return [json.loads(line) for line in kept.read().decode().splitlines()]
 
 
 class WorkbookSink(DataSource):
@@ -292,7 +300,8 @@ def exportable(df: DataFrame) -> DataFrame:
 def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1) -> DataFrame:
     """Write the whole result as part workbooks; returns the manifest ``(part, rows, bytes)``.
 
-    Parts follow partition order, so a sorted query reads in order part by part.
+    The manifest commits the export: its parts are the result, and
+    ``exported_files`` lists those. Parts follow partition order, so a sorted query reads in order part by part.
     """
     spark = df.sparkSession
     folder = qualified_path(spark, folder)
@@ -302,6 +311,13 @@ def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1)
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{MANIFEST}")
 
 
+def exported_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, length)`` of the parts of the last committed export, for the readers of workbooks."""
+    folder = qualified_path(spark, folder)
+    listed = spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{MANIFEST}")
+    return listed.select(F.concat(F.lit(folder.rstrip("/") + "/"), "part").alias("path"), F.col("bytes").alias("length"))
+
+
 def template_workbook(df: DataFrame, folder: str) -> DataFrame:
     """A workbook with only the header row of a table."""
     return export_workbook(df.limit(0), folder)

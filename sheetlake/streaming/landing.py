@@ -25,12 +25,15 @@ def import_landing(spark: SparkSession, folder: str, table: str, checkpoint: str
                    on_report=None, max_files: int | None = None) -> StreamingQuery:
     """Import all files that have arrived and stop; run again for later ones.
 
-    The checkpoint remembers which files are done. A batch that is repeated after
-    a failure has the same number and so the same load run, which it replaces:
-    each file ends up in the table exactly once.
+    The checkpoint remembers which files are done, and holds the stream's own id. A
+    load run is named by that id and the batch's number, so a batch that is repeated
+    after a failure replaces its first attempt, and streams of other folders or with
+    other checkpoints have runs of their own: each file ends up in the table exactly
+    once.
     """
     def each(batch: DataFrame, number: int) -> None:
-        report = import_workbooks(batch, table, f"landing_{number:09d}", sheet)
+        stream = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        report = import_workbooks(batch, table, f"landing_{stream}_{number:09d}", sheet)
         # The batch ran in the stream's own session; this one may hold an older file list.
         spark.catalog.refreshTable(qualified(table))
         if on_report:

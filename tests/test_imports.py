@@ -141,7 +141,7 @@ def test_indexed_column_gets_bloom_filter_and_order(spark, name):
         (F.col("id") + 2).alias("row_number"), (F.col("id") * 7919 % 20000).cast("string").alias("name"),
         F.lit("1").alias("value"))
     load_rows(spark, name, checkpointed(with_sequence(rows)), "run_1")
-    files = glob.glob(location.replace("file:", "") + "/load_run=run_1/*.parquet")
+    files = glob.glob(location.replace("file:", "") + "/load_run=run_1/*/*.parquet")
     assert files
     for f in files:
         names = pq.read_table(f, columns=["name"]).column("name").to_pylist()
