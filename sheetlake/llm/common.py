@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +24,18 @@ def text_of(column: str = "text") -> Column:
 
 
 def numbered(df: DataFrame, column: str = "__row") -> DataFrame:
-    """``df`` with a number for each row, stored once in the shared folder.
+    """``df`` with a key for each row that later steps may join on, also where ``doc_id`` is null or repeated.
 
-    Numbers made on the fly may change when a task is repeated on a cluster of
-    another size; stored ones cannot, so later steps may join on them even where
-    ``doc_id`` is null or repeated.
+    Rows read straight from Parquet are known by their file and place in it, which no
+    repeated task changes, so nothing is copied. Other rows are stored once in the
+    shared folder with a number; numbers made on the fly may change when a task is
+    repeated on a cluster of another size.
     """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.withColumn(column, F.struct("_metadata.file_path", "_metadata.row_index"))
+        except AnalysisException:  # a file format whose rows have no place
+            pass
     return checkpointed(df.withColumn(column, F.monotonically_increasing_id()))
 
 

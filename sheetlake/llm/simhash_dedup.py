@@ -92,7 +92,8 @@ def fingerprints(docs: DataFrame, row: str | None = None, id_column: str = "doc_
     rows = docs.select(F.col(row).alias("__row") if row else F.monotonically_increasing_id().alias("__row"),
                        F.col(id_column).cast("long").alias("__id"),
                        F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("__text"))
-    return checkpointed(rows.mapInArrow(run, "__row long, __id long, fp long"))
+    kind = rows.schema["__row"].dataType.simpleString()
+    return checkpointed(rows.mapInArrow(run, f"__row {kind}, __id long, fp long"))
 
 
 def _remainders() -> np.ndarray:

@@ -381,7 +381,18 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = DOCUMENTS_PER
     return model
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, row: str | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with ``__score``; see :func:`toxicity_scores`."""
+    if model is None:
+        return docs.withColumn("__score", F.lit(0.0))
+    steep = F.greatest(F.least((F.col("decision") - model.middle) * model.slope, F.lit(60.0)), F.lit(-60.0))
+    score = F.when(F.col("decision") == float("-inf"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-steep) * ((1 - CUT) / CUT)))
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+    return decisions(inner, model, inner.columns, text).withColumn("decision", score).toDF(*docs.columns, "__score")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     A null text counts as empty, and texts without units score 0. A null id gives a
@@ -390,13 +401,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, row: str | None = None)
     kinds every score is 0. An empty table gives no rows. Scores depend on the
     text alone; other columns are not read.
     """
-    model = fit_model(docs, labels)
-    ids = docs.select(F.col("doc_id"), held_out().alias("held_out"), "text", *([row] if row else []))
-    columns = ["doc_id", "held_out", *([row] if row else [])]
-    if model is None:
-        return ids.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    cut, middle, slope = (1 - CUT) / CUT, model.middle, model.slope
-    steep = F.greatest(F.least((F.col("decision") - middle) * slope, F.lit(60.0)), F.lit(-60.0))
-    score = F.when(F.col("decision") == float("-inf"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-steep) * cut))
-    return (decisions(ids, model, columns).select(*columns, score.alias("score"))
-            .withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0)))
+    rows = scored(docs.select("doc_id", "text"), fit_model(docs, labels))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
+                       F.when(F.col("__score") >= CUT, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that :func:`toxicity_scores` predicts as toxic; all columns stay."""
+    return scored(docs, fit_model(docs, labels)).where(F.col("__score") < CUT).drop("__score")
