@@ -50,7 +50,9 @@ def repeated_units(docs: DataFrame, row: str | None = None, unit: str = "line",
     else:
         pieces = F.zip_with(pieces, F.regexp_extract_all("__text", F.lit(CUTS[unit]), 0),
                             lambda part, cut: F.struct(part.alias("part"), F.length(cut).alias("gap")))
-    parts = (rows.select("__row", "__id", F.length("__text").alias("chars"), F.posexplode(pieces).alias("unit", "p"))
+    # The length is taken first, so that no unit carries its whole text along.
+    parts = (rows.withColumn("chars", F.length("__text"))
+             .select("__row", "__id", "chars", F.posexplode(pieces).alias("unit", "p"))
              .select("__row", "__id", "chars", "unit", "p.part", "p.gap")
              .withColumn("normal", normal)
              .select("__row", "__id", "chars", "unit", "gap", F.length("part").alias("length"),
