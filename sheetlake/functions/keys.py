@@ -80,5 +80,7 @@ def row_hash(df: DataFrame, columns=None) -> Column:
 
 def business_key(df: DataFrame, columns) -> Column:
     """Trimmed key parts joined by ``|``; null as soon as one part is blank."""
-    parts = [blank_to_null(text_of(df[n], df.schema[n].dataType)) for n in columns]
+    kinds = [df.schema[n].dataType for n in columns]
+    # Only text can be blank or have space around it; the Unicode trim is dear.
+    parts = [blank_to_null(df[n]) if isinstance(k, T.StringType) else text_of(df[n], k) for n, k in zip(columns, kinds)]
     return F.concat(*[p if i == 0 else F.concat(F.lit("|"), p) for i, p in enumerate(parts)])

@@ -53,14 +53,20 @@ def _column_index(letters: str) -> int:
 
 
 def _finished(book: zipfile.ZipFile, part: str, name: str) -> Iterator:
-    """Elements called ``name`` as they end, whatever their namespace; each is emptied afterwards."""
+    """Elements called ``name`` as they end, whatever their namespace; each leaves the tree afterwards."""
     local: dict[str, str] = {}
+    above: list = []
     with book.open(part) as stream:
-        for _, element in ElementTree.iterparse(stream, events=("end",)):
+        for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
             tag = element.tag
             if (local.get(tag) or local.setdefault(tag, tag.rsplit("}", 1)[-1])) == name:
                 yield element
-                element.clear()
+                if above:
+                    above[-1].remove(element)
 
 
 def _text_runs(element) -> str:

@@ -171,10 +171,10 @@ class _Written(WriterCommitMessage):
 
 
 class WorkbookWriter(DataSourceArrowWriter):
-    """Parts get names of their own job and attempt; the manifest, written last, says which of them count.
+    """Parts go to a folder of their job; the manifest, written last, says which of them count.
 
     Until the manifest is replaced, readers that go by it see the earlier result
-    whole, and after it the new one. What neither names is removed after that.
+    whole, and after it the new one. What it does not name is removed after that.
     """
 
     def __init__(self, options, names, overwrite: bool):
@@ -182,14 +182,14 @@ class WorkbookWriter(DataSourceArrowWriter):
         self.limit = int(options.get("maxRows", SHEET_ROWS - 1))
         self.names = names
         self.overwrite = overwrite
-        self.job = uuid.uuid4().hex[:12]
+        self.job = f"export-{uuid.uuid4().hex[:12]}"
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         context = TaskContext.get()
         system, folder = file_system(self.folder)
-        system.create_dir(folder, recursive=True)
+        system.create_dir(f"{folder}/{self.job}", recursive=True)
         written, part, name = [], None, None
 
         def finish():
@@ -210,11 +210,13 @@ class WorkbookWriter(DataSourceArrowWriter):
         return _Written(written)
 
     def _name(self, partition: int, file: int, attempt: int) -> str:
-        return _part_name(partition, file).replace(".xlsx", f"-{self.job}-{attempt}.xlsx")
+        return f"{self.job}/" + _part_name(partition, file).replace(".xlsx", f"-{attempt}.xlsx")
 
     def commit(self, messages):
+        from pyarrow import fs
+
         system, folder = file_system(self.folder)
-        system.create_dir(folder, recursive=True)
+        system.create_dir(f"{folder}/{self.job}", recursive=True)
         accepted = sorted(p for m in messages if m is not None for p in m.parts)
         earlier = [] if self.overwrite else manifest_entries(system, folder)
         if not accepted and not earlier:
@@ -227,20 +229,21 @@ class WorkbookWriter(DataSourceArrowWriter):
             out.write("".join(json.dumps(e) + "\n" for e in entries).encode())
         system.move(fresh, f"{folder}/{MANIFEST}")
         kept = {e["part"] for e in entries}
-        self._drop(system, folder, lambda name: name not in kept and (self.overwrite or self.job in name))
+        jobs = {name.split("/")[0] for name in kept}
+        for entry in system.get_file_info(fs.FileSelector(folder)):
+            if entry.base_name.startswith("export-") and entry.base_name not in jobs:
+                system.delete_dir(entry.path)
+        attempts = system.get_file_info(fs.FileSelector(f"{folder}/{self.job}", allow_not_found=True))
+        lost = [f.path for f in attempts if f"{self.job}/{f.base_name}" not in kept]
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(system.delete_file, lost))
 
     def abort(self, messages):
-        system, folder = file_system(self.folder)
-        self._drop(system, folder, lambda name: self.job in name)
-
-    @staticmethod
-    def _drop(system, folder: str, unwanted) -> None:
         from pyarrow import fs
 
-        present = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        gone = [f.path for f in present if f.base_name.startswith("part-") and unwanted(f.base_name)]
-        with ThreadPoolExecutor(32) as pool:
-            list(pool.map(system.delete_file, gone))
+        system, folder = file_system(self.folder)
+        if system.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{folder}/{self.job}")
 
 
 def manifest_entries(system, folder: str) -> list[dict]:
