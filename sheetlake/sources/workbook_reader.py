@@ -131,8 +131,6 @@ def _sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 def _chosen(book: zipfile.ZipFile, sheet: str | None) -> list[tuple[str, str]]:
     parts = _sheet_parts(book)
-    if sheet == ALL_SHEETS:
-        return parts
     return parts[:1] if sheet is None else [p for p in parts if p[0] == sheet][:1]
 
 
@@ -169,17 +167,17 @@ def _header_cells(first, strings) -> list[tuple[int, str]]:
 
 
 def _each_file(batches, read, schema):
-    """Run ``read(path, workbook)`` over every path; an unreadable file gives an error row.
+    """Run ``read(path, workbook, sheet)`` over every path; an unreadable file gives an error row.
 
     A file can turn out damaged after some of its rows are out, so whoever takes
     the rows has to look at the error rows too. Storage errors are raised, for
     Spark to repeat the task.
     """
     for batch in batches:
-        for path in batch.column("path").to_pylist():
+        for path, sheet in zip(batch.column("path").to_pylist(), batch.column("sheet").to_pylist()):
             try:
                 with open_input(path) as raw, zipfile.ZipFile(raw) as book:
-                    yield from read(path, book)
+                    yield from read(path, book, sheet)
             except DAMAGED as error:
                 yield _error_batch(schema, path, None, f"Cannot read workbook: {error}")
 
@@ -200,21 +198,44 @@ def workbook_files(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> D
             .option("recursiveFileLookup", "true").load(path).select("path", "length"))
 
 
-def _run(files: DataFrame, read, schema: str) -> DataFrame:
+def _run(files: DataFrame, read, schema: str, sheet: str | None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = files.sparkSession.createDataFrame([], schema).schema
     arrow_schema = to_arrow_schema(spark_schema)
 
     def task(batches):
-        return _each_file(batches, lambda path, book: read(path, book, arrow_schema), arrow_schema)
+        return _each_file(batches, lambda path, book, name: read(path, book, arrow_schema, name), arrow_schema)
 
-    return files.select("path").mapInArrow(task, spark_schema)
+    listed = workbook_sheets(files) if sheet == ALL_SHEETS else files.select("path", F.lit(sheet).cast("string").alias("sheet"))
+    return listed.mapInArrow(task, spark_schema)
+
+
+def workbook_sheets(files: DataFrame) -> DataFrame:
+    """``(path, sheet)`` of every sheet of the files, dealt out so that each may be a task of its own.
+
+    Only the workbook's list of sheets is read. A file that cannot be read is listed
+    with a null sheet; scanning it says why.
+    """
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open_input(path) as raw, zipfile.ZipFile(raw) as book:
+                        names = [name for name, _ in _sheet_parts(book)]
+                except DAMAGED:
+                    names = [None]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())],
+                                                 ["path", "sheet"])
+
+    return files.select("path").mapInArrow(task, "path STRING, sheet STRING").repartition("path", "sheet")
 
 
 def scan_headers(files: DataFrame, sheet: str | None = None) -> DataFrame:
     """``(path, sheet, headers, error)``, reading no more than each sheet's first row."""
-    def read(path, book, schema):
+    def read(path, book, schema, sheet):
         import pyarrow as pa
 
         chosen = _chosen(book, sheet)
@@ -228,7 +249,7 @@ def scan_headers(files: DataFrame, sheet: str | None = None) -> DataFrame:
                 [pa.array([path]), pa.array([name]), pa.array([entries], type=schema.field("headers").type),
                  pa.array([None if found else NO_HEADER], type=pa.string())], schema=schema)
 
-    return _run(files, read, "path STRING, sheet STRING, headers ARRAY<STRUCT<pos: INT, header: STRING>>, error STRING")
+    return _run(files, read, "path STRING, sheet STRING, headers ARRAY<STRUCT<pos: INT, header: STRING>>, error STRING", sheet)
 
 
 def _data_rows(book, part):
@@ -254,7 +275,7 @@ def _grouped(rows) -> Iterator[list]:
 
 def scan_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
     """Every row, header included (ordinal 0), with its cells by column number."""
-    def read(path, book, schema):
+    def read(path, book, schema, sheet):
         import pyarrow as pa
 
         chosen = _chosen(book, sheet)
@@ -272,7 +293,7 @@ def scan_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
                      pa.array(values, type=schema.field("cells").type), pa.nulls(len(group), pa.string())],
                     schema=schema)
 
-    return _run(files, read, f"{_PLACE}, cells MAP<INT, {CELL}>, error STRING")
+    return _run(files, read, f"{_PLACE}, cells MAP<INT, {CELL}>, error STRING", sheet)
 
 
 def scan_rows(files: DataFrame, columns, sheet: str | None = None) -> DataFrame:
@@ -283,7 +304,7 @@ def scan_rows(files: DataFrame, columns, sheet: str | None = None) -> DataFrame:
     """
     columns = list(columns)
 
-    def read(path, book, schema):
+    def read(path, book, schema, sheet):
         import pyarrow as pa
 
         chosen = _chosen(book, sheet)
@@ -320,7 +341,7 @@ def scan_rows(files: DataFrame, columns, sheet: str | None = None) -> DataFrame:
                      pa.nulls(size, pa.string())], schema=schema)
 
     listed = ", ".join(f"{quote_name(c)}: {CELL}" for c in columns)
-    return _run(files, read, f"{_PLACE}, cells STRUCT<{listed}>, error STRING")
+    return _run(files, read, f"{_PLACE}, cells STRUCT<{listed}>, error STRING", sheet)
 
 
 def header_cells(cells: DataFrame) -> DataFrame:
