@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetlake.session import checkpointed
+from sheetlake.sources.tables import quote_name
 
 # White space of the text rules: space and the controls 9 to 13. Words are the runs between.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,20 +24,33 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def numbered(df: DataFrame, column: str = "__row") -> DataFrame:
-    """``df`` with a key for each row that later steps may join on, also where ``doc_id`` is null or repeated.
+def place_of(df: DataFrame, column: str) -> str:
+    """The name that a column has in :func:`keyed`."""
+    return f"c{df.columns.index(column)}"
 
-    Rows read straight from Parquet are known by their file and place in it, which no
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place (``c0`` on), so that none can clash, and ``__row``, a key for each row.
+
+    Later steps may join on the key also where ``doc_id`` is null or repeated. Rows
+    read straight from Parquet are known by their file and place in it, which no
     repeated task changes, so nothing is copied. Other rows are stored once in the
     shared folder with a number; numbers made on the fly may change when a task is
     repeated on a cluster of another size.
     """
+    places = [f"c{i}" for i in range(len(df.columns))]
     if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
         try:
-            return df.withColumn(column, F.struct("_metadata.file_path", "_metadata.row_index"))
+            return df.select(*[F.col(quote_name(c)).alias(p) for c, p in zip(df.columns, places)],
+                             F.struct("_metadata.file_path", "_metadata.row_index").alias("__row"))
         except AnalysisException:  # a file format whose rows have no place
             pass
-    return checkpointed(df.withColumn(column, F.monotonically_increasing_id()))
+    return checkpointed(df.toDF(*places).withColumn("__row", F.monotonically_increasing_id()))
+
+
+def unkeyed(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Rows of :func:`keyed` with the columns of ``df`` again."""
+    return rows.select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
 
 
 def words_count(text: Column) -> Column:

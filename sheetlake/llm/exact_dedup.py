@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import SPACE, numbered, text_of
+from sheetlake.llm.common import SPACE, keyed, place_of, text_of, unkeyed
 from sheetlake.session import checkpointed
 
 FAN_IN_BITS = 3  # eight runs meet in a round
@@ -79,6 +79,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` marks as dropped; all columns stay."""
-    rows = numbered(docs)
-    kept = duplicate_groups(digest_rows(rows, "__row", id_column, text_column)).where("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed(docs)
+    records = digest_rows(rows, "__row", place_of(docs, id_column), place_of(docs, text_column))
+    kept = duplicate_groups(records).where("kept").select("__row")
+    return unkeyed(rows.join(kept, "__row", "left_semi"), docs)

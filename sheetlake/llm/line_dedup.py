@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import SPACE, numbered, text_of
+from sheetlake.llm.common import SPACE, keyed, place_of, text_of
 from sheetlake.session import checkpointed
 
 CUTS = {"line": "\n", "paragraph": "\n[\\x20\\x09\\x0B-\\x0D]*\n"}
@@ -95,14 +95,15 @@ def repeated_spans(docs: DataFrame, unit: str = "line", least_words: int = LEAST
 def without_repeats(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``; the cuts between units stay. Adds ``removed_spans``,
     an array of ``start, end`` in the original text."""
-    rows = numbered(docs)
-    gone = repeated_units(rows, "__row", unit, least_words).removed.groupBy("__row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    rows, text = keyed(docs), F.col(place_of(docs, "text"))
+    gone = repeated_units(rows, "__row", unit, least_words, place_of(docs, "doc_id"), place_of(docs, "text")).removed
+    gone = gone.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
     # Kept stretches lie between the spans: each begins where a span ends (or at 0) and ends where the next begins.
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"].cast("long")))
-    ends = F.concat(F.transform("__spans", lambda s: s["start"].cast("long")), F.array(F.length("text").cast("long")))
-    kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return (rows.join(gone, "__row", "left").withColumn("text", F.when(F.size("__spans") > 0, kept).otherwise(F.col("text")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns],
-                    F.coalesce(F.col("__spans").cast("array<struct<start:bigint,end:bigint>>"), none).alias("removed_spans")))
+    ends = F.concat(F.transform("__spans", lambda s: s["start"].cast("long")), F.array(F.length(text).cast("long")))
+    kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    spans = "array<struct<start:bigint,end:bigint>>"
+    cut = rows.join(gone, "__row", "left").withColumn(
+        place_of(docs, "text"), F.when(F.size("__spans") > 0, kept).otherwise(text))
+    return (cut.withColumn(f"c{len(docs.columns)}", F.coalesce(F.col("__spans").cast(spans), F.array().cast(spans)))
+            .select(*[f"c{i}" for i in range(len(docs.columns) + 1)]).toDF(*docs.columns, "removed_spans"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import numbered, running_before, text_of, words_count
+from sheetlake.llm.common import keyed, place_of, running_before, text_of, unkeyed, words_count
 from sheetlake.session import checkpointed
 
 WEIGHTS = (3, 1, 2)
@@ -162,12 +162,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     inside a document (at most one of each source), the text ends after the last
     word taken. All columns stay.
     """
-    rows = numbered(docs)
-    mix = mix_sources(rows, "__row", block_words)
+    rows, text = keyed(docs), place_of(docs, "text")
+    mix = mix_sources(rows, "__row", block_words, id_column=place_of(docs, "doc_id"), text_column=text,
+                      source_column=place_of(docs, "source"))
     taken = mix.pieces.groupBy("__row", "epoch").agg(F.max("last_word").alias("__words"))
     sized = mix.documents.select("__row", F.col("size").alias("__size"))
     lead = F.array_join(F.slice(F.regexp_extract_all(
-        "text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("__words").cast("int")), "")
-    cut = F.when(F.col("__words") < F.col("__size"), lead).otherwise(F.col("text"))
-    return (rows.join(taken.join(sized, "__row"), "__row")
-            .withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns]))
+        text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("__words").cast("int")), "")
+    cut = F.when(F.col("__words") < F.col("__size"), lead).otherwise(F.col(text))
+    return unkeyed(rows.join(taken.join(sized, "__row"), "__row").withColumn(text, cut), docs)

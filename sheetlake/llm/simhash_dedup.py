@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import numbered
+from sheetlake.llm.common import keyed, place_of, unkeyed
 from sheetlake.llm.graph import component_roots
 from sheetlake.session import checkpointed
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the first row of each component of :func:`near_duplicates`; all columns stay."""
-    rows = numbered(docs)
-    prints = fingerprints(rows, "__row", id_column, text_column)
+    rows = keyed(docs)
+    prints = fingerprints(rows, "__row", place_of(docs, id_column), place_of(docs, text_column))
     kept = near_components(prints).select(F.col("__first.row").alias("__row")).distinct()
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unkeyed(rows.join(kept, "__row", "left_semi"), docs)

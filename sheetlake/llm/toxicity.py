@@ -381,15 +381,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = DOCUMENTS_PER
     return model
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``__score``; see :func:`toxicity_scores`."""
-    if model is None:
-        return docs.withColumn("__score", F.lit(0.0))
-    steep = F.greatest(F.least((F.col("decision") - model.middle) * model.slope, F.lit(60.0)), F.lit(-60.0))
-    score = F.when(F.col("decision") == float("-inf"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-steep) * ((1 - CUT) / CUT)))
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text = f"c{docs.columns.index('text')}"
-    return decisions(inner, model, inner.columns, text).withColumn("decision", score).toDF(*docs.columns, "__score")
+def score_of(decision: Column, model: Model) -> Column:
+    steep = F.greatest(F.least((decision - model.middle) * model.slope, F.lit(60.0)), F.lit(-60.0))
+    return F.when(decision == float("-inf"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-steep) * ((1 - CUT) / CUT)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,11 +395,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kinds every score is 0. An empty table gives no rows. Scores depend on the
     text alone; other columns are not read.
     """
-    rows = scored(docs.select("doc_id", "text"), fit_model(docs, labels))
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
-                       F.when(F.col("__score") >= CUT, 1).otherwise(0).alias("predicted"))
+    model = fit_model(docs, labels)
+    ids = docs.select("doc_id", held_out().alias("held_out"), "text")
+    if model is None:
+        return ids.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    rows = decisions(ids, model, ["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", score_of(F.col("decision"), model).alias("score")).withColumn(
+        "predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`toxicity_scores` predicts as toxic; all columns stay."""
-    return scored(docs, fit_model(docs, labels)).where(F.col("__score") < CUT).drop("__score")
+    model = fit_model(docs, labels)
+    if model is None:
+        return docs
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = decisions(named, model, named.columns, f"c{docs.columns.index('text')}")
+    return rows.where(score_of(F.col("decision"), model) < CUT).drop("decision").toDF(*docs.columns)
