@@ -1,8 +1,7 @@
 """Linking tool calls with their results for chat training data.
 
 Calls and results are joined by conversation and identifier. Calls may depend on other
-calls of their conversation; rounds of joins give each call a level above all it
-depends on, so ``(level, turn, call_id)`` is a topological order, and calls on a cycle
+calls of their conversation; each call gets a level above all it depends on, so ``(level, turn, call_id)`` is a topological order, and calls on a cycle
 never get one. Arguments are checked against the tool's JSON schema, and each call is
 written as one line of canonical JSON: sorted keys, no white space, one form for every
 number, all text unescaped but for what JSON must escape.
@@ -104,30 +103,65 @@ def faults(value: object, schema: dict, path: str = "$") -> Iterator[str]:
                 yield f"{path}: {key} is not known"
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """``conv_id, call_id, to, far``: for calls that depend on one other, the first call back along the chain that
+    depends on none or on several, and how far it is. Chains that end in a cycle are left out.
+
+    Every round doubles how far a call looks back, so there are as many rounds as the
+    logarithm of the longest chain.
+    """
+    alone = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.first("on").alias("to")).where("n = 1")
+    jumps = checkpointed(alone.select("conv_id", "call_id", "to", F.lit(1).alias("far")))
+    for _ in range(jumps.count().bit_length() + 1):
+        ahead = jumps.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.col("to").alias("next"),
+                             F.col("far").alias("more"))
+        longer = checkpointed(jumps.join(ahead, (F.col("conv_id") == F.col("c")) & (F.col("to") == F.col("k")), "left").select(
+            "conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
+            F.col("next").isNotNull().alias("moved")))
+        drop_scratch(jumps)
+        jumps = longer
+        if jumps.where("moved").isEmpty():
+            break
+    within = jumps.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
+    return checkpointed(jumps.drop("moved").join(within, (F.col("conv_id") == F.col("c")) & (F.col("to") == F.col("k")), "left_anti"))
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: 0 for calls that depend on none, else one above the highest; no row on cycles.
 
-    Dependencies on calls that are not there do not count. There are as many rounds as
-    levels; every round joins only what is still open, stored in the shared folder.
+    Dependencies on calls that are not there do not count. Chains of single
+    dependencies are shortened first (:func:`_chains`); then rounds of joins give
+    levels to the calls with several, as many rounds as such calls follow each other.
     """
     nodes = checkpointed(calls.select("conv_id", "call_id"))
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on"))
     there = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
     edges = checkpointed(edges.join(there, (F.col("conv_id") == F.col("c")) & (F.col("on") == F.col("k")), "left_semi"))
-    free = checkpointed(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    done, level = free, 0
-    while not edges.isEmpty():
-        met = free.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
-        still = checkpointed(edges.join(met, (F.col("conv_id") == F.col("c")) & (F.col("on") == F.col("k")), "left_anti"))
-        level += 1
-        opened = edges.select("conv_id", "call_id").distinct()
-        free = checkpointed(opened.join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        drop_scratch(edges)
-        edges = still
-        if free.isEmpty():
+    chains = _chains(edges)
+    levels = nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    sizes = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).where("n > 1")
+    back = chains.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "to", "far")
+    hops = checkpointed(
+        edges.join(sizes, ["conv_id", "call_id"])
+        .join(back, (F.col("conv_id") == F.col("c")) & (F.col("on") == F.col("k")), "left")
+        .select("conv_id", "call_id", "n", F.coalesce("to", "on").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    levels = checkpointed(levels)
+    while not hops.isEmpty():
+        known = levels.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "level")
+        met = hops.join(known, (F.col("conv_id") == F.col("c")) & (F.col("to") == F.col("k")))
+        fresh = checkpointed(met.groupBy("conv_id", "call_id", "n").agg(
+            F.count("*").alias("met"), F.max(F.col("level") + F.col("far")).alias("level"))
+            .where("met = n").select("conv_id", "call_id", "level"))
+        if fresh.isEmpty():
             break
-        done = done.union(free)
-    return done
+        following = checkpointed(hops.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+        grown = checkpointed(levels.union(fresh))
+        for done in (hops, levels, fresh):
+            drop_scratch(done)
+        hops, levels = following, grown
+    known = levels.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "level")
+    return levels.union(chains.join(known, (F.col("conv_id") == F.col("c")) & (F.col("to") == F.col("k"))).select(
+        "conv_id", "call_id", F.col("level") + F.col("far")))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -99,9 +99,14 @@ def test_canonical_json():
 
 
 def test_deep_chain_and_hot_conversation(spark):
-    calls = [(1, i, f"c{i}", "f", '{"a":1}', [f"c{i - 1}"] if i < 6 else ["c0"]) for i in range(3000)]
+    calls = [(1, i, f"c{i}", "f", '{"a":1}', [f"c{i - 1}"] if i < 500 else ["c0"]) for i in range(3000)]
+    calls += [(1, 1, "both", "f", '{"a":1}', ["c499", "c7"]), (1, 1, "after", "f", '{"a":1}', ["both"])]
+    calls += [(2, i, f"r{i}", "f", '{"a":1}', [f"r{(i + 1) % 50}"]) for i in range(50)]
+    calls += [(2, 1, "into", "f", '{"a":1}', ["r3"]), (2, 1, "two", "f", '{"a":1}', ["into", "free"]), (2, 1, "free", "f", '{"a":1}', [])]
     out = run(spark, calls, [(1, 9, f"c{i}", "ok") for i in range(3000)])
-    assert {r.call_id: r.level for r in out} == {f"c{i}": i if i < 6 else 1 for i in range(3000)}
+    levels = plain_levels(calls)
+    assert levels[1, "after"] == 501 and (2, "two") not in levels
+    assert all(r.level == levels.get((r.conv_id, r.call_id)) for r in out) and len(out) == len(calls)
 
 
 def test_given_table(spark):
