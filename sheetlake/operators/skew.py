@@ -2,8 +2,9 @@
 
 Adaptive execution splits a heavy join partition by the tasks that wrote it, also one
 of null keys or of many heavy keys, and repeats the other side's rows for each split.
-It goes by the bytes written, so rows that are all equal count for little. It can do so where both inputs come straight from a shuffle, so a right
-side that was aggregated is stored first; then the join has a shuffle of its own.
+It goes by the bytes written, so rows that are all equal count for little. It can do so
+where both inputs come straight from a shuffle, so a right side that was aggregated is
+stored first; then the join has a shuffle of its own.
 """
 
 from __future__ import annotations
