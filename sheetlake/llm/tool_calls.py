@@ -1,10 +1,11 @@
 """Linking tool calls with their results for chat training data.
 
 Calls and results are joined by conversation and identifier. Calls may depend on other
-calls of their conversation; each call gets a level above all it depends on, so ``(level, turn, call_id)`` is a topological order, and calls on a cycle
-never get one. Arguments are checked against the tool's JSON schema, and each call is
-written as one line of canonical JSON: sorted keys, no white space, one form for every
-number, all text unescaped but for what JSON must escape.
+calls of their conversation; each call gets a level above all it depends on, so
+``(level, turn, call_id)`` is a topological order, and calls on a cycle never get one.
+Arguments are checked against the tool's JSON schema, and each call is written as one
+line of canonical JSON: sorted keys, no white space, one form for every number, all
+text unescaped but for what JSON must escape.
 """
 
 from __future__ import annotations

@@ -37,7 +37,8 @@ def rows_of(seed):
     rows = []
     for i in range(60):
         some = [rng.choice(lines) if rng.random() < 0.5 else " ".join(rng.choices("abcdefghij", k=12)) for _ in range(rng.randint(0, 6))]
-        rows.append((rng.randint(0, 40), rng.choice(["\n", "\n\n", "\n \n"]).join(s.upper() if rng.random() < 0.2 else s.replace(" ", "  ") for s in some)))
+        shown = [s.upper() if rng.random() < 0.2 else s.replace(" ", "  ") for s in some]
+        rows.append((rng.randint(0, 40), rng.choice(["\n", "\n\n", "\n \n"]).join(shown)))
     return rows + [(None, None), (3, ""), (None, lines[0] + "\n" + lines[0]), (99, "w " * 30000), (98, "w  " * 30000 + "\n\n\n")]
 
 

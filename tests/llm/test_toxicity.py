@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from sheetlake.llm import toxicity as T
 from sheetlake.llm.common import table
 
