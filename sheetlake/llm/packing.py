@@ -17,13 +17,13 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -55,10 +55,16 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str, pattern: str | None = None, vocabulary: dict[bytes, int] | None = None):
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.file = tokenizer
         self.fast = vocabulary and tiktoken.Encoding(
             "given", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(tokenizer, encoding="utf-8") as described:
+            self.special = [token["content"] for token in json.load(described).get("added_tokens", ())]
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The tokenizer file; a worker that never needs it does not hold it."""
+        return Tokenizer.from_file(self.file)
 
     def encode(self, text: str) -> bytes:
         if self.fast and not any(s in text for s in self.special):

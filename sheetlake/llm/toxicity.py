@@ -47,8 +47,8 @@ RATIO, PURITY, SUPPORT = 15.0, 0.95, 0.5
 LONG_UNIT = 8
 RIDGE = 1e-3
 CUT, NEARER_CLEAN = 0.7, 0.4
-CACHED = 300_000
-TEXTS_AT_ONCE, ROWS_AT_ONCE = 500, 8192
+CACHED = 200_000
+TEXTS_AT_ONCE, ROWS_AT_ONCE, COLUMNS_AT_ONCE = 500, 2048, 64
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S[^\w\s]?(?!\S)){2,}")
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -282,18 +282,20 @@ def _table(units: list[str]) -> np.ndarray:
     return table
 
 
-def _kernels(units: list[str], table: np.ndarray) -> np.ndarray:
-    """The kernel of each unit with each column of ``table``."""
-    out = np.zeros((len(units), table.shape[1]), np.float64)
-    for row, unit in enumerate(units):
-        numbers, weights = _vector(unit)
-        out[row] = weights @ table[numbers]
+def _kernels(units: list[str], others: list[str]) -> np.ndarray:
+    """The kernel of each unit with each of the others, some of these at a time."""
+    out = np.zeros((len(units), len(others)), np.float32)
+    vectors = [_vector(u) for u in units]
+    for first in range(0, len(others), COLUMNS_AT_ONCE):
+        table = _table(others[first:first + COLUMNS_AT_ONCE])
+        for row, (numbers, weights) in enumerate(vectors):
+            out[row, first:first + COLUMNS_AT_ONCE] = weights @ table[numbers]
     return out
 
 
 def _landmarks(units: list[str], count: int) -> list[str]:
     """Units far from each other: each next one is the least like those chosen so far."""
-    likeness = _kernels(units, _table(units))
+    likeness = _kernels(units, units)
     chosen, nearest = [0], likeness[0]
     while len(chosen) < min(count, len(units)):
         chosen.append(int(nearest.argmin()))
@@ -318,15 +320,18 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray
 def fit_units(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, float, list[str]]:
     """Weights per subsequence, bias and landmarks of the machine that parts the two lists."""
     marks = [m for units, count in zip((toxic, clean), LANDMARKS) for m in _landmarks(units[:count * 3], count)]
-    table = _table(marks)
-    values, axes = np.linalg.eigh(_kernels(marks, table))
+    values, axes = np.linalg.eigh(_kernels(marks, marks).astype(np.float64))
     keep = values > 1e-4 * values.max()
     root = axes[:, keep] / np.sqrt(values[keep])  # K^(-1/2) on the space the landmarks span
-    x = np.hstack([_kernels(toxic + clean, table) @ root, np.ones((len(toxic) + len(clean), 1))])
+    x = np.hstack([_kernels(toxic + clean, marks) @ root, np.ones((len(toxic) + len(clean), 1))])
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
     cost = np.where(y > 0, 1 / len(toxic), 1 / len(clean)) * len(y) / 2
     w = _squared_hinge(x, y, cost)
-    return (table @ (root @ w[:-1])).astype(np.float32), float(w[-1]), marks
+    combined = np.zeros(LETTERS ** 3, np.float32)
+    for mark, share in zip(marks, root @ w[:-1]):
+        numbers, weights = _vector(mark)
+        combined[numbers] += np.float32(share) * weights
+    return combined, float(w[-1]), marks
 
 
 def _calibrated(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
