@@ -1,0 +1,77 @@
+"""The near-copy stage against brute-force Jaccard similarity of five-word shingles."""
+
+import random
+import re
+
+import corpus_pipeline as C
+import pytest
+from sheetlake.llm.common import table
+from sheetlake.llm.exact_dedup import drop_duplicates
+from sheetlake.llm.word_copies import drop_near_copies
+
+SCHEMA = "doc_id long, text string, node string, key string"
+
+
+def shingles(text):
+    words = re.findall(r"[^ \t-\r]+", (text or "").lower())
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def kept_by_brute_force(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(a & b)
+            if 9 * n >= 4 * (len(a) + len(b)):
+                root[find(i)] = find(j)
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (True, 0)), (doc is None, doc or 0))
+    return sorted(best.values())
+
+
+def samples():
+    rng = random.Random(4)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    rows = []
+    for size in (300, 80, 40):  # groups in which each copy is made from an earlier one, so chains and stars
+        group = [rng.choices(vocabulary, k=size)]
+        for _ in range(60):
+            near = list(rng.choice(group))
+            for _ in range(rng.randint(1, size // 40 + 1)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            group.append(near)
+        rows += [(len(rows) + i, " ".join(g)) for i, g in enumerate(group)]
+    shared = rng.choices(vocabulary, k=60)  # one passage in texts that are else unlike
+    rows += [(1000 + i, " ".join(rng.choices(vocabulary, k=30) + shared)) for i in range(40)]
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (None, "a b c"), (2003, "A  b c"), (2003, "a b c"), (2004, "a b"), (None, "z")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_stage_keeps_what_brute_force_keeps(spark, pairs):
+    rows = samples()
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    out = drop_near_copies(docs, pairs=pairs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == kept_by_brute_force(rows)
+
+
+def test_stage_on_the_given_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = drop_duplicates(table(spark, folder, "documents"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = kept_by_brute_force(rows)
+    assert len(want) < len(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in dict(C.STAGES)["near_dedup"](spark, docs, folder).collect()) == want
+
+
+def test_empty_table(spark):
+    assert drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
