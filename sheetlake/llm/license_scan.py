@@ -3,9 +3,10 @@
 The words of each licence template are indexed with their positions, but only its
 rarest: the document frequency of every template word is counted over all files, and
 each template keeps its ``INDEXED`` words of highest inverse document frequency. A
-file looks up its own highest ones. Where template and file positions of different
-words agree on one offset, the template stands at that offset; it counts as found
-when its mandatory key phrases stand there word for word.
+file looks up all indexed words, so that one notice does not hide another. Where
+template and file positions of different words agree on one offset, the template
+stands at that offset; it counts as found when its mandatory key phrases stand there
+word for word.
 
 Only column expressions are used. Broadcasts are bounded by the templates, which are
 a fixed list of a few hundred words.
@@ -69,7 +70,6 @@ TEMPLATES = (
      ("free and unencumbered software released into the public domain",)),
 )
 INDEXED = 16  # rare words kept of a template
-LOOKED_UP = 12  # rare words that a file looks up
 SLACK = 8  # words that may be put in or left out within a template
 LEAST_SHARE = 0.5  # of a template's rare words, by weight
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,24 +120,15 @@ def template_index(files: DataFrame) -> DataFrame:
 def template_matches(files: DataFrame) -> DataFrame:
     """``__row, template, share`` of the templates found in a file."""
     index = template_index(files)
-    rarity = index.select("word", "idf").distinct()
     spoken = files.where("__words IS NOT NULL").select("__row", F.posexplode("__words").alias("at", "word"))
-    known = spoken.join(F.broadcast(rarity), "word")
-    by_rarity = Window.partitionBy("__row").orderBy(F.desc("idf"), "word")
-    looked_up = (known.select("__row", "word", "idf").distinct().withColumn("__nth", F.row_number().over(by_rarity))
-                 .where(F.col("__nth") <= LOOKED_UP).select("__row", "word"))
-    postings = (known.select("__row", "word", "at").join(looked_up, ["__row", "word"])
-                .join(F.broadcast(index), "word"))
+    postings = spoken.join(F.broadcast(index), "word")
     # An offset falls into two overlapping bands, so that nearby ones share one.
     offset = F.col("at") - F.col("place")
     bands = postings.withColumn("band", F.explode(F.array(
         F.floor(offset / (2 * SLACK)) * 2, F.floor((offset + SLACK) / (2 * SLACK)) * 2 - 1)))
     met = (bands.select("__row", "template", "band", "word", "idf").distinct()
            .groupBy("__row", "template", "band").agg(F.sum("idf").alias("met")))
-    # A file looks up LOOKED_UP words, so a template can meet at most as many of its rarest.
-    ranked = index.select("template", "word", "idf").distinct().withColumn(
-        "__nth", F.row_number().over(Window.partitionBy("template").orderBy(F.desc("idf"), "word")))
-    whole = ranked.where(F.col("__nth") <= LOOKED_UP).groupBy("template").agg(F.sum("idf").alias("whole"))
+    whole = index.select("template", "word", "idf").distinct().groupBy("template").agg(F.sum("idf").alias("whole"))
     shares = (met.join(F.broadcast(whole), "template")
               .withColumn("share", F.least(F.col("met") / F.col("whole"), F.lit(1.0)))
               .where(F.col("share") >= LEAST_SHARE))

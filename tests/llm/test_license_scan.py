@@ -72,6 +72,22 @@ def test_templates_are_found_and_verified(spark):
     assert all(out[n].labels == "" and out[n].score == 0 for n in (201, 202, 203, *range(300, 500)))
 
 
+def test_several_notices_in_one_file(spark):
+    """Each notice keeps its label beside others, and in a long file whose other template words are rarer than its own."""
+    rng = random.Random(3)
+    notices = {label: text for label, text, _ in reversed(L.TEMPLATES)}  # of each label the first, which is the longest
+    some = [("mit", "bsd", "apache"), ("mit", "isc", "mpl"), ("mit", "bsd", "apache", "gpl", "mpl", "unlicense")]
+    rows = [(n, "\n\n".join(f"{notices[x]} {filler(rng, 30)}" for x in labels)) for n, labels in enumerate(some)]
+    rare = [w for label, text, _ in L.TEMPLATES if label != "bsd" for w in L.template_words(text)
+            if w not in L.template_words(notices["bsd"])]
+    rows.append((10, notices["bsd"] + " " + " ".join(f"{w} {filler(rng, 20)}" for w in sorted(set(rare)))))
+    rows += [(100 + i, f"{filler(rng, 20)} {notices['bsd']}") for i in range(40)]
+    out = {r.doc_id: r for r in run(spark, rows + [(200 + i, filler(rng, 30)) for i in range(40)])}
+    for n, labels in enumerate(some):
+        assert set(labels) <= set(out[n].labels.split(",")), (n, out[n])
+    assert "bsd" in out[10].labels.split(",")
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
