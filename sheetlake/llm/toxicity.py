@@ -194,11 +194,16 @@ def decisions(docs: DataFrame, model: Model, columns: list[str], text_column: st
     return rows.mapInArrow(run, f"{kinds}, decision double")
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``id, toxic`` of the labels to learn from: one row per id that is not held out, toxic if any label is."""
+    return (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+            .where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id"))
+            .groupBy("id").agg(F.max("toxic").alias("toxic")))
+
+
 def training_documents(docs: DataFrame, labels: DataFrame, per_class: int = DOCUMENTS_PER_CLASS) -> DataFrame:
     """``doc, toxic, fit, text`` of at most ``per_class`` toxic and clean labelled documents, taken by hash of the id."""
-    known = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-             .where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id"))
-             .groupBy("id").agg(F.max("toxic").alias("toxic")))
+    known = training_labels(labels)
     order = F.md5(F.concat(F.lit("fit-"), F.col("id").cast("string")))
     some = [known.where(F.col("toxic") == c).orderBy(order).limit(per_class) for c in (0, 1)]
     chosen = some[0].union(some[1]).withColumn("fit", F.crc32(F.concat(F.lit("fit-"), F.col("id").cast("string"))) % 4 != 0)
@@ -379,7 +384,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = DOCUMENTS_PER
     if kept.toxic.nunique() < 2:
         kept = decisions(sample, model, ["toxic"]).toPandas()
     decision = np.maximum(kept.decision.to_numpy(), -1e6)
-    shares = {r.toxic: r.n for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = {r.toxic: r.n for r in training_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sizes = kept.toxic.value_counts().to_dict()
     weight = np.array([shares.get(t, 1) / sizes[t] for t in kept.toxic.tolist()])
     model.middle, model.slope = _calibrated(decision, kept.toxic.to_numpy(), weight)

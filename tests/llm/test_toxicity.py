@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from sheetlake.llm import toxicity as T
 from sheetlake.llm.common import table
 
@@ -109,3 +110,10 @@ def test_given_table(spark):
     out = T.toxicity_scores(table(spark, folder, "documents"), labels).join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in out)
     assert hit >= 0.9 * sum(r.predicted for r in out) and hit >= 0.6 * sum(r.toxic for r in out)
+
+
+def test_held_out_labels_do_not_move_the_scores(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    flipped = labels.withColumn("toxic", F.when(T.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, other = T.fit_model(docs, labels), T.fit_model(docs, flipped)
+    assert (one.middle, one.slope, one.bias) == (other.middle, other.slope, other.bias)
