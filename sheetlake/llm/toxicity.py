@@ -62,7 +62,7 @@ def text_units(text: str) -> set[str]:
     text = text.lower()
     words = set(text.split())
     units = {w.strip(_OUTER) for w in words}
-    if sum(len(u) == 1 for u in units) >= 3:
+    if any(len(w) == 1 for w in words):  # a run begins with one
         units.update("".join(run.group().split()).strip(_OUTER) for run in _SPELLED.finditer(text))
     return units
 

@@ -112,6 +112,10 @@ def test_given_table(spark):
     assert hit >= 0.9 * sum(r.predicted for r in out) and hit >= 0.6 * sum(r.toxic for r in out)
 
 
+def test_spelled_words_of_two_letters():
+    assert "ass" in T.text_units("you a s s there") and "poop" in T.text_units("P o o p!")
+
+
 def test_held_out_labels_do_not_move_the_scores(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
     flipped = labels.withColumn("toxic", F.when(T.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
