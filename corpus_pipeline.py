@@ -14,10 +14,10 @@ from sheetlake.llm.exact_dedup import drop_duplicates
 from sheetlake.llm.mixing import mixed_documents
 from sheetlake.llm.packing import pack_documents
 from sheetlake.llm.queries import tokenizer_files
-from sheetlake.llm.word_copies import drop_near_copies
+from sheetlake.llm.simhash_dedup import drop_near_duplicates
 from sheetlake.session import checkpointed
 
-ORACLE_SQL = None  # the kernel machine, min-hashes and the packing are beyond SQL; tests hold them against brute force
+ORACLE_SQL = None  # the kernel machine, fingerprints and the packing are beyond SQL; tests hold them against brute force
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a shingle similarity of 0.8 or more: the one of the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each component of fingerprints within two bits, of three-word shingles: the one of the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
