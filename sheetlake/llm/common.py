@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,22 @@ def unkeyed(rows: DataFrame, df: DataFrame) -> DataFrame:
     return rows.select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
 
 
+def hash_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each place that a hash of ``column`` takes modulo ``bits``, as bytes, the lowest bit first.
+
+    The driver gets ``bits`` bits at most, however many hashes there are; a bitmap that
+    is full lets everything through, so what it chooses is to be joined once more.
+    """
+    place = F.pmod(F.col(column), F.lit(bits)) + 1  # Spark's buckets begin at one
+    parts = (df.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("held")).collect())
+    bitmap = np.zeros(max(bits // 8, 4096), np.uint8)
+    for row in parts:
+        held = np.frombuffer(bytes(row.held), np.uint8)
+        bitmap[(row.part - 1) * len(held):row.part * len(held)] = held
+    return bitmap
+
+
 def words_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
