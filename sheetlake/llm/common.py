@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +57,80 @@ def unkeyed(rows: DataFrame, df: DataFrame) -> DataFrame:
     return rows.select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
 
 
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_SHIFT = np.uint64(32)
+_WHITE = bytes(c == 32 or 9 <= c <= 13 for c in range(256))
+# Of eight bytes read at a word's start, those that belong to a word of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose every bit depends on all bits of the given ones; different ones stay different."""
+    hashes = (hashes ^ (hashes >> _SHIFT)) * FACTORS[1]
+    hashes = (hashes ^ (hashes >> _SHIFT)) * FACTORS[1]
+    return hashes ^ (hashes >> _SHIFT)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, past, hash`` of each word of a text in UTF-8, all words at once; places are in bytes.
+
+    White space is that of the text rules. A-Z are not lowered here. Each word is read
+    eight bytes at a time; equal words give equal hashes.
+    """
+    white = np.frombuffer(b"\x01" + text.translate(_WHITE) + b"\x01", np.uint8)
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    first, past = edges[::2], edges[1::2]
+    eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    sizes = past - first
+    hashes = (eight[first] & _MASKS[np.minimum(sizes, 8)]) * FACTORS[0] + sizes.astype(np.uint64)
+    longer, done = np.flatnonzero(sizes > 8), 8
+    while len(longer):
+        part = eight[first[longer] + done] & _MASKS[np.minimum(sizes[longer] - done, 8)]
+        held = hashes[longer]
+        hashes[longer] = ((held ^ (held >> _SHIFT)) * FACTORS[1] + part) * FACTORS[0]
+        done += 8
+        longer = longer[sizes[longer] > done]
+    return first, past, (hashes ^ (hashes >> _SHIFT)) * FACTORS[1]
+
+
+BYTES_AT_ONCE = 1 << 20
+
+
+def text_groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``BYTES_AT_ONCE``, as short texts cost mostly the calls made for each."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= BYTES_AT_ONCE:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+@dataclass
+class Words:
+    """The words of several texts, laid out one behind the other with a space between.
+
+    ``first`` and ``past`` are places in all of it, ``begins`` where each text begins,
+    ``until`` how many words there are up to the end of each text.
+    """
+
+    first: np.ndarray
+    past: np.ndarray
+    hashes: np.ndarray
+    begins: np.ndarray
+    until: np.ndarray
+
+
+def words_of(texts: list[bytes]) -> Words:
+    """The words of the texts with A-Z in lower case."""
+    first, past, hashes = word_hashes(b" ".join(texts).lower())  # of bytes: only A-Z is lowered
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return Words(first, past, hashes, np.concatenate(([0], ends[:-1])), np.searchsorted(first, ends))
+
+
 def hash_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """One bit for each place that a hash of ``column`` takes modulo ``bits``, as bytes, the lowest bit first.
 

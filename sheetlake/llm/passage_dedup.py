@@ -18,86 +18,82 @@ places. Digests are 128 bits, made for all units of a text at once from running
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import hash_bitmap, keyed, place_of, text_of
+from sheetlake.llm.common import FACTORS, hash_bitmap, keyed, mixed, place_of, text_groups, text_of, words_of
 from sheetlake.session import checkpointed, drop_scratch
 
 LEAST_WORDS = 40
 CLAUSE_ENDS = ".!?,;:"
 FILTER_BITS = 1 << 24
-WORDS_KEPT = 1 << 19
-# Two odd factors and their inverses modulo 2^64, for the two halves of a digest.
-_FACTORS = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-_INVERSES = tuple(np.uint64(pow(int(f), -1, 1 << 64)) for f in _FACTORS)
-_32 = np.uint64(32)
+_SHIFT = np.uint64(32)
+_CLOSES = np.array([chr(c) in CLAUSE_ENDS for c in range(256)])
+POWERS_KEPT = 1 << 19
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-class _WordHashes(dict):
-    """Hashes of the words met last; emptied when it holds too many."""
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(POWERS_KEPT)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a factor, and of its inverse, modulo 2^64."""
+    both = int(FACTORS[0]), pow(int(FACTORS[0]), -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(count - 1, f, np.uint64)))) for f in both)
 
-_WORDS = _WordHashes()
 
-
-def _runs(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, half: int) -> np.ndarray:
+def _runs(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of ``words[begin:end]`` for each pair; the same words give the same, wherever they stand."""
-    powers = np.cumprod(np.full(len(words), _FACTORS[half]))
-    back = np.cumprod(np.full(len(words), _INVERSES[half]))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((words ^ (words >> _32)) * powers if half else words * powers)))
-    found = (sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64)
-    found = (found ^ (found >> _32)) * _FACTORS[1 - half]
-    return found ^ (found >> _32)
-
-
-def passage_units(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``starts, ends, high, low`` of the units of a text: code points, and both halves of the digests."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    white = np.concatenate(([True], (points == 32) | ((points >= 9) & (points <= 13)), [True]))
-    first = np.flatnonzero(white[:-1] & ~white[1:])
-    past = np.flatnonzero(~white[:-1] & white[1:])
-    count = len(first)
-    none = np.zeros(0, np.int64)
-    if count < least_words:
-        return none, none, none, none
-    words = np.fromiter(map(_WORDS.__getitem__, text.encode().lower().split()), np.uint64, count)
-    closes = np.isin(points[past - 1], [ord(c) for c in CLAUSE_ENDS])
-    closes[-1] = True
+    powers, back = _kept_powers() if len(words) < POWERS_KEPT else _powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[:len(words)], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64))
+
+
+def passage_units(texts: list[bytes], least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """``count, starts, ends, high, low``: how many units each text has, and of all units in turn the place in
+    their text, in code points, and both halves of the digest."""
+    words = words_of(texts)
+    until = words.until
+    joined = np.frombuffer(b" ".join(texts), np.uint8)
+    closes = _CLOSES[joined[words.past - 1]]
+    closes[until[np.diff(np.concatenate(([0], until))) > 0] - 1] = True  # the last word of each text
     stops = np.flatnonzero(closes) + 1  # how many words there are up to the end of each clause
-    begins = np.concatenate(([0], stops[:-1]))
+    begins = np.concatenate(([0], stops[:-1])) if len(stops) else stops
     at = np.searchsorted(stops, begins + least_words)
     begins, at = begins[at < len(stops)], at[at < len(stops)]
     ends = stops[at]
-    high, low = (_runs(words, begins, ends, half).view(np.int64) for half in (0, 1))
-    return first[begins], past[ends - 1], high, low
-
-
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+    owner = np.searchsorted(until, begins, "right")
+    whole = ends <= until[owner]  # of one text
+    begins, ends, owner = begins[whole], ends[whole], owner[whole]
+    low = _runs(words.hashes, begins, ends)
+    high = _runs((words.hashes ^ (words.hashes >> _SHIFT)) * FACTORS[0], begins, ends)
+    starts, stops = words.first[begins], words.past[ends - 1]
+    base = words.begins[owner]
+    inner = np.flatnonzero((joined & 0xC0) == 0x80)  # bytes that go on with a code point do not count
+    starts, stops, base = (x - np.searchsorted(inner, x) for x in (starts, stops, base))
+    return np.bincount(owner, minlength=len(texts)), starts - base, stops - base, high.view(np.int64), low.view(np.int64)
 
 
 def unit_table(rows: DataFrame, least_words: int) -> DataFrame:
     """``__row, __id, chars, starts, ends, high, low`` of each row of ``__row, __id, __text``, stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            found = [passage_units(text, least_words) for text in texts]
+            texts = batch.column("__text")
+            found = [passage_units(group, least_words) for group in text_groups(t.as_py() for t in texts.cast(pa.binary()))]
+            count, *parts = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else [()] * 5))
+            ends = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__row"), batch.column("__id"), pa.array(list(map(len, texts)), pa.int64()),
-                 *(_lists([f[i] for f in found]) for i in range(4))], ["__row", "__id", "chars", "starts", "ends", "high", "low"])
+                [batch.column("__row"), batch.column("__id"), pc.utf8_length(texts).cast(pa.int64()),
+                 *(pa.ListArray.from_arrays(ends, pa.array(part)) for part in parts)],
+                ["__row", "__id", "chars", "starts", "ends", "high", "low"])
 
     kinds = dict(rows.dtypes)
     return checkpointed(rows.select("__row", "__id", "__text").mapInArrow(run, (

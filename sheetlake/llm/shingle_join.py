@@ -20,12 +20,13 @@ That is repeated while it joins a tenth of what is still apart. Downwards, the p
 that are still apart go through the boxes of their entries, against all points of other
 components. What survives either bound is verified on the sets themselves.
 
-Hashes stand for shingles and for sets: unequal ones agree with a chance of 2^-64.
+Hashes stand for words, shingles and sets: unequal ones agree with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,47 +34,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import hash_bitmap, text_of
+from sheetlake.llm.common import hash_bitmap, keyed, mixed, place_of, text_groups, text_of, words_of
 from sheetlake.llm.graph import component_roots
 from sheetlake.session import checkpointed, drop_scratch
 
 SHINGLE_WORDS = 5
-GROUPS = 128
+GROUPS = 256
 SLOT_BITS = 16
-FILTER_BITS = 1 << 23
+FILTER_BITS, KEY_BITS = 1 << 23, 1 << 26
 PAGE, LEAF = 512, 32
 BAND = 1.3  # more than 5 / 4, so similar sets lie in one band or in two neighbouring ones
-WORDS_KEPT = 1 << 19
-_FACTOR, _MIXED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_32 = np.uint64(32)
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _WordHashes(dict):
-    """Hashes of the words met last; emptied when it holds too many."""
+def shingle_sets(texts: Iterable[bytes], size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """The different hashes of each text's shingles, sorted; of all its words if there are fewer than ``size``."""
+    for group in text_groups(texts):
+        words = words_of(group)
+        runs = _runs(words.hashes, size)
+        begin = 0
+        for until in words.until.tolist():
+            count = until - begin
+            found = runs[begin:until - size + 1] if count >= size else _runs(words.hashes[begin:until], count) if count else runs[:0]
+            found = np.sort(found)
+            yield found[np.concatenate(([True], found[1:] != found[:-1]))] if count else found
+            begin = until
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-_WORDS = _WordHashes()
-
-
-def shingle_set(text: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """The different hashes of a text's shingles, sorted; of all its words if there are fewer than ``size``."""
-    words = text.lower().split()  # of bytes: only A-Z is lowered, only space and 9 to 13 split
-    if not words:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    length = min(size, len(words))
-    total = np.full(len(words) - length + 1, length, np.uint64)
-    for i in range(length):
-        total = total * _FACTOR + each[i:i + len(total)]
-    total = (total ^ (total >> _32)) * _MIXED
-    total = (total ^ (total >> _32)) * _MIXED
-    return np.unique(total ^ (total >> _32))
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    total = np.full(max(len(words) - size + 1, 0), size, np.uint64)
+    for i in range(size):
+        total = total * _FACTOR + words[i:i + len(total)]
+    return mixed(total)
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -103,26 +96,28 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_py() for t in batch.column("__text").cast(pa.binary()))
 
 
-def set_nodes(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """``__id, n_shingles, node`` of each row, and rows with ``slots`` alone: each task's counts per slot. Stored."""
+def set_nodes(rows: DataFrame, size: int) -> DataFrame:
+    """``__id, __at, n_shingles, node`` of each row of ``__id, __at, __text``, and rows with ``slots`` alone: each
+    task's counts per slot. Stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kind = np.zeros(1 << SLOT_BITS, np.int64), None
         for batch in batches:
             sizes, nodes, kind = [], [], batch.column("__id").type
-            for text in _texts(batch):
-                hashes = shingle_set(text, size)
+            for hashes in shingle_sets(_texts(batch), size):
                 sizes.append(len(hashes))
                 nodes.append(set_node(hashes) if len(hashes) else None)
                 np.add.at(total, (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.binary())],
-                ["__id", "n_shingles", "node", "slots"])
+                [batch.column("__id"), batch.column("__at"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.nulls(len(sizes), pa.binary())], names)
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                                              pa.array([total.tobytes()], pa.binary())], ["__id", "n_shingles", "node", "slots"])
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), none, none, none, pa.array([total.tobytes()], pa.binary())], names)
 
-    rows = docs.select(F.col(id_column).alias("__id"), text_of(text_column).alias("__text"))
-    return checkpointed(rows.mapInArrow(run, f"__id {dict(rows.dtypes)['__id']}, n_shingles long, node long, slots binary"))
+    names = ["__id", "__at", "n_shingles", "node", "slots"]
+    kind = dict(rows.dtypes)["__id"]
+    return checkpointed(rows.select("__id", "__at", "__text").mapInArrow(
+        run, f"__id {kind}, __at long, n_shingles long, node long, slots binary"))
 
 
 def slot_ranks(nodes: DataFrame) -> np.ndarray:
@@ -146,8 +141,7 @@ def slot_ranks(nodes: DataFrame) -> np.ndarray:
 
 def _once(batch: pa.RecordBatch, seen: set[int], size: int) -> Iterator[tuple[int, np.ndarray]]:
     """``(node, set)`` of each text that is not empty and whose set this task has not met."""
-    for text in _texts(batch):
-        hashes = shingle_set(text, size)
+    for hashes in shingle_sets(_texts(batch), size):
         if len(hashes):
             node = set_node(hashes)
             if node not in seen:
@@ -155,20 +149,45 @@ def _once(batch: pa.RecordBatch, seen: set[int], size: int) -> Iterator[tuple[in
                 yield node, hashes
 
 
-def entries(texts: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
-    """``key, node, n``: the points of each entry that has several, stored; of entries with the same points one is kept."""
+def indexed(texts: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
+    """``node, size, point, keys``: the point of each set, and the first shingles under which it is entered. Stored.
+
+    A task gives a set once, however many of its texts have it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found = [(node, first_shingles(hashes, ranks)) for node, hashes in _once(batch, seen, size)]
-            keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found)])
-            nodes = np.repeat(np.array([n for n, _ in found], np.int64), [len(k) for _, k in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["key", "node"])
-
-    keys = checkpointed(texts.mapInArrow(run, "key long, node long"))
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = checkpointed(keys.join(several, "key", "left_semi").distinct())  # copies in two tasks may have come twice
-    drop_scratch(keys)
+            found = list(_once(batch, seen, size))
+            keys = [first_shingles(hashes, ranks) for _, hashes in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()),
+                 pa.array([group_counts(h) for _, h in found], pa.binary()), _lists(keys)], ["node", "size", "point", "keys"])
+
+    return checkpointed(texts.mapInArrow(run, "node long, size long, point binary, keys array<long>"))
+
+
+def entries(index: DataFrame) -> DataFrame:
+    """``key, node, n``: the points of each entry that has several, stored; of entries with the same points one is kept.
+
+    Keys are counted first; those counted more than once go to the tasks as one bitmap
+    of ``KEY_BITS`` hash places, and only entries that it lets through are joined.
+    """
+    several = checkpointed(index.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+                           .where("n > 1").select("key"))
+    bitmap = hash_bitmap(several, "key", KEY_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            place = keys & (KEY_BITS - 1)
+            held = np.flatnonzero(bitmap[place >> 3] >> (place & 7) & 1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), batch.column("node").take(pa.array(owner[held]))], ["key", "node"])
+
+    some = index.select("node", "keys").mapInArrow(run, "key long, node long")
+    shared = checkpointed(some.join(several, "key", "left_semi").distinct())  # copies in two tasks come twice
+    drop_scratch(several)
     alike = (shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
              .where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")))
@@ -177,39 +196,58 @@ def entries(texts: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
     return kept
 
 
-def wanted_sets(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """``node, size, point, hashes`` of all nodes of the entries, stored.
+@dataclass
+class Points:
+    """The sets of the entries: ``points`` are ``node, size, point``, ``places`` the row of ``rows`` that has a node."""
 
-    The nodes go to the tasks as one bitmap of ``FILTER_BITS`` hash places, whatever
-    their number: texts that it lets through by chance are left out by the join.
-    """
-    bitmap = hash_bitmap(members, "node", FILTER_BITS)
+    rows: DataFrame
+    points: DataFrame
+    places: DataFrame
+    size: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            some: list[tuple[int, np.ndarray]] = []
-            held = 0
-            for node, hashes in _once(batch, seen, size):
-                if bitmap[node % FILTER_BITS >> 3] >> (node & 7) & 1:
-                    some.append((node, hashes))
-                    held += len(hashes)
-                if held > 1 << 20:
-                    yield _set_rows(some)
-                    some, held = [], 0
-            yield _set_rows(some)
-
-    found = texts.mapInArrow(run, "node long, size long, point binary, hashes array<long>")
-    return checkpointed(found.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-
-
-def _set_rows(some: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    sizes = [len(h) for _, h in some]
-    flat = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in some)])
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat.view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array(sizes, pa.int64()),
-                                       pa.array([group_counts(h) for _, h in some], pa.binary()), lists],
-                                      ["node", "size", "point", "hashes"])
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, hashes`` of the wanted nodes at least, stored.
+
+        Their rows go to the tasks as one bitmap of ``FILTER_BITS`` hash places, whatever
+        their number; only the texts that it lets through are read, some of them by chance.
+        """
+        bitmap = hash_bitmap(self.places.join(wanted, "node", "left_semi"), "__at", FILTER_BITS)
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column("__at").to_numpy() & (FILTER_BITS - 1)
+                chosen = batch.filter(pa.array((bitmap[place >> 3] >> (place & 7) & 1).astype(bool)))
+                some: list[np.ndarray] = []
+                held = 0
+                for hashes in shingle_sets(_texts(chosen), size):
+                    if len(hashes):
+                        some.append(hashes)
+                        held += len(hashes)
+                    if held > 1 << 20:
+                        yield _set_rows(some)
+                        some, held = [], 0
+                yield _set_rows(some)
+
+        return checkpointed(self.rows.select("__at", "__text").mapInArrow(run, "node long, hashes array<long>"))
+
+
+def entered_points(rows: DataFrame, nodes: DataFrame, index: DataFrame, members: DataFrame, size: int) -> Points:
+    """The points of all nodes of the entries, and where their texts are; stored."""
+    wanted = checkpointed(members.select("node").distinct())
+    points = index.select("node", "size", "point").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    places = (nodes.where("node IS NOT NULL").select("node", "__at").join(wanted, "node", "left_semi")
+              .groupBy("node").agg(F.min("__at").alias("__at")))
+    return Points(rows, checkpointed(points), checkpointed(places), size)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *values])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _set_rows(some: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([set_node(h) for h in some], pa.int64()), _lists(some)], ["node", "hashes"])
 
 
 def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,26 +260,27 @@ def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, points: Points, bounded: bool = False) -> DataFrame:
     """Those of the pairs ``a, b`` with 100 * intersection >= 80 * union, stored.
 
-    Only pairs whose points allow it have their sets compared (``bounded``: known to).
-    Partners differ in size by a quarter at most, so what a long text sends along with
-    its pairs is at most that much more than what its partners send.
+    Only pairs whose points allow it have their sets read and compared (``bounded``:
+    known to). Partners differ in size by a quarter at most, so what a long text sends
+    along with its pairs is at most that much more than what its partners send.
     """
     pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     near = pairs
     if not bounded:
-        points = sets.select("node", "size", "point")
-        both = (pairs.join(points.toDF("a", "s", "p"), "a").join(points.toDF("b", "t", "q"), "b")
+        both = (pairs.join(points.points.toDF("a", "s", "p"), "a").join(points.points.toDF("b", "t", "q"), "b")
                 .where("5 * s >= 4 * t AND 5 * t >= 4 * s"))
         near = checkpointed(both.select("a", "b", "s", "t", "p", "q").mapInArrow(_near_points, "a long, b long"))
+        drop_scratch(pairs)
+    sets = points.sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
     both = (near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"))
     # With n in common of x and y: n / (x + y - n) >= 4 / 5.
     found = checkpointed(both.where("9L * size(array_intersect(x, y)) >= 4L * (size(x) + size(y))").select("a", "b"))
-    drop_scratch(pairs)
     drop_scratch(near)
+    drop_scratch(sets)
     return found
 
 
@@ -291,20 +330,19 @@ def _pages(members: DataFrame, page: int, out: str) -> DataFrame:
             .groupBy("key", "band", "salt").agg(F.collect_list(F.struct("node", "root", "size", "point")).alias(out)).drop("salt"))
 
 
-def searched_links(members: DataFrame, sets: DataFrame, page: int = PAGE) -> DataFrame:
+def searched_links(members: DataFrame, points: Points, page: int = PAGE) -> DataFrame:
     """Links of the members that are apart from their entry's largest component; ``members``: ``key, node, root, major``."""
-    points = sets.select("node", "size", "point")
-    placed = checkpointed(members.join(points, "node").withColumn("band", F.floor(F.log("size") / F.log(F.lit(BAND)))))
+    placed = checkpointed(members.join(points.points, "node").withColumn("band", F.floor(F.log("size") / F.log(F.lit(BAND)))))
     apart = _pages(placed.where("root <> major"), page, "mine").withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)")))
     pairs = checkpointed(apart.join(_pages(placed, page, "others"), ["key", "band"]).select("mine", "others")
                          .mapInArrow(_searched, "a long, b long"))
-    found = verified(pairs, sets, bounded=True)
+    found = verified(pairs, points, bounded=True)
     drop_scratch(placed)
     drop_scratch(pairs)
     return found
 
 
-def similar_links(shared: DataFrame, sets: DataFrame, page: int = PAGE) -> DataFrame:
+def similar_links(shared: DataFrame, points: Points, page: int = PAGE) -> DataFrame:
     """``a, b``: links of similar nodes that join up all similar ones; ``shared`` is ``key, node, n``."""
     links = shared.sparkSession.createDataFrame([], "a long, b long")
     weights = checkpointed(shared.groupBy("node").agg(F.sum("n").alias("weight")))
@@ -319,14 +357,14 @@ def similar_links(shared: DataFrame, sets: DataFrame, page: int = PAGE) -> DataF
         if not apart:
             return links
         if turn and joined * 10 < apart_before:
-            return links.union(searched_links(members, sets, page))
+            return links.union(searched_links(members, points, page))
         order = F.struct("weight", F.xxhash64("node")) if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
         # In the first turn every node is its own component, so any member may be the pivot.
         pool = members.where("root = major") if turn else members
         pivots = checkpointed(pool.groupBy("key").agg(F.max_by(F.struct("node", "root"), order).alias("pivot")))
         met = (members.join(pivots, "key").where("root <> pivot.root")
                .select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
-        found = verified(met, sets)
+        found = verified(met, points)
         joined, apart_before = found.count(), apart
         links = links.union(found)
         roots = component_roots(links)
@@ -348,12 +386,15 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     not null, or null if none is. An empty table gives no rows; other columns are not
     read, whatever their names.
     """
-    texts = docs.select(text_of(text_column).alias("__text"))
-    nodes = set_nodes(docs, id_column, text_column, size)
-    shared = entries(texts, slot_ranks(nodes), size)
-    sets = wanted_sets(texts, shared, size)
-    roots = component_roots(similar_links(shared, sets, page))
-    drop_scratch(sets)
+    placed = keyed(docs)
+    rows = placed.select(F.col(place_of(docs, id_column)).alias("__id"), F.xxhash64("__row").alias("__at"),
+                         text_of(place_of(docs, text_column)).alias("__text"))
+    nodes = set_nodes(rows, size)
+    index = indexed(rows.select("__text"), slot_ranks(nodes), size)
+    shared = entries(index)
+    points = entered_points(rows, nodes, index, shared, size)
+    drop_scratch(index)
+    roots = component_roots(similar_links(shared, points, page))
     prints = nodes.where("slots IS NULL").select("__id", "n_shingles", "node")
     classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min("__id").alias("first"))
     rooted = checkpointed(classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))

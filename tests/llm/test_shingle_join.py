@@ -82,13 +82,14 @@ def test_search_alone_finds_all_links(spark):
     rng, vocabulary = random.Random(3), [f"w{i}" for i in range(900)]
     base = rng.choices(vocabulary, k=200)
     rows = [(i, " ".join(near(rng, base, rng.choice([1, 2, 3, 5]), vocabulary)[:rng.choice([200, 190, 170])])) for i in range(90)]
-    docs = spark.createDataFrame(rows, "doc_id long, __text string")
-    nodes = J.set_nodes(docs, "doc_id", "__text", 5)
-    shared = J.entries(docs.select("__text"), J.slot_ranks(nodes), 5)
-    sets = J.wanted_sets(docs.select("__text"), shared, 5)
+    docs = spark.createDataFrame(rows, "__id long, __text string").selectExpr("__id", "xxhash64(__id) AS __at", "__text")
+    nodes = J.set_nodes(docs, 5)
+    index = J.indexed(docs.select("__text"), J.slot_ranks(nodes), 5)
+    shared = J.entries(index)
+    points = J.entered_points(docs, nodes, index, shared, 5)
     members = shared.selectExpr("key", "node", "node AS root", "0L AS major")
     by_node = {r.node: r.doc_id for r in nodes.where("node IS NOT NULL").selectExpr("node", "__id AS doc_id").collect()}
-    got = {tuple(sorted((by_node[r.a], by_node[r.b]))) for r in J.searched_links(members, sets, page=16).collect()}
+    got = {tuple(sorted((by_node[r.a], by_node[r.b]))) for r in J.searched_links(members, points, page=16).collect()}
     plain = {d: plain_set(t) for d, t in rows if d in by_node.values()}
     want = {(a, b) for a in plain for b in plain if a < b
             and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
