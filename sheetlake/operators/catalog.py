@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 import threading
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
 from ..functions.assign import SPARK_TYPES
+from ..session import create_only, names_in, read_text, shared_dir
 from ..sources.tables import qualified, quote_name, split_table_name
 from .headers import COLUMN_NAME, MAX_NAME, TABLE_NAME
 
@@ -74,6 +76,7 @@ def create_table(spark: SparkSession, name: str, columns, location: str | None =
         "required": [c.name for c in kept if c.required],
         "indexed": indexed,
         "next_id": 1,
+        "sequence": uuid.uuid4().hex,
     }
     described = ", ".join(f"'{_PREFIX}{k}' = '{json.dumps(v)}'" for k, v in properties.items())
     blooms = ", ".join(f"'parquet.bloom.filter.enabled#{n}' 'true'" for n in indexed)
@@ -119,18 +122,40 @@ def describe(spark: SparkSession, name: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {qualified(name)} AS JSON").first()[0])
 
 
+def table_place(spark: SparkSession, table: str) -> str:
+    """A folder name for each table: catalog, database, table."""
+    about = describe(spark, table)
+    return "/".join([about["catalog_name"], *about["namespace"], about["table_name"]])
+
+
+def sketch_path(spark: SparkSession, table: str) -> str:
+    """Where the sketches of a table's runs are kept, one folder for each run."""
+    return f"{shared_dir(spark)}/sheetlake/sketches/{table_place(spark, table)}"
+
+
 _SEQUENCES = threading.Lock()
 
 
 def reserve_ids(spark: SparkSession, name: str, count: int, past: int = 0) -> int:
     """Advance the table's id sequence by ``count``, to begin after ``past`` at least; returns the last id before.
 
-    The sequence is a table property, so no load scans the table for its highest
-    id. As with any sequence, a load that fails afterwards leaves a gap. Loads of one
-    driver take turns here; drivers that share a catalog must not load one table at
-    the same time.
+    No load scans the table for its highest id. A range is taken by creating the next
+    numbered file of the table's sequence in the shared folder, which can be done once
+    only, so drivers that load one table at the same time never share an id; the one
+    that comes second takes the range behind. As with any sequence, a load that fails
+    afterwards leaves a gap. There is one small file for each load, and the table's own
+    property follows it.
     """
     with _SEQUENCES:
-        start = max(_properties(spark, name).get("next_id", 1), past + 1)
+        kept = _properties(spark, name)
+        # A table that was made elsewhere has no sequence of its own, and goes by its name.
+        folder = f"{shared_dir(spark)}/sheetlake/sequences/{kept.get('sequence') or table_place(spark, name)}"
+        while True:
+            claims = [n for n in names_in(spark, folder) if n.isdigit()]
+            last = int(read_text(spark, f"{folder}/{claims[-1]}")) if claims else 0
+            start = max(kept.get("next_id", 1), last + 1, past + 1)
+            number = int(claims[-1]) + 1 if claims else 0
+            if create_only(spark, f"{folder}/{number:012d}", str(start + count - 1)):
+                break
         spark.sql(f"ALTER TABLE {qualified(name)} SET TBLPROPERTIES ('{_PREFIX}next_id' = '{start + count}')")
     return start - 1

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import row_json
-from ..session import checkpointed, drop_scratch
+from ..session import checkpointed, drop_scratch, other_folders, remove_path
 from ..sources.tables import qualified
-from .skew import split_join
+from .catalog import describe
+from .skew import split_join, stored_unless_small
 
 BUCKET = "key_bucket"
+VERSIONS = "_versions"
 _INCOMING = "__incoming"
 
 
@@ -77,10 +81,11 @@ def create_curated(spark: SparkSession, table: str, schema: str, key: str, bucke
 def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: str) -> int:
     """Bring an import into a curated table; returns how many partitions were rewritten.
 
-    Only the partitions that hold an incoming key are read and replaced; a row of
-    the table that is newer than the import's stays. The result depends on the
-    newest rows alone, so a run that is cut short is put right by running it again.
-    Large partitions are written by several tasks.
+    Only the partitions that hold an incoming key are read, and each is written once, to
+    a folder of its own beside the old one; when all are complete the catalog is pointed
+    at them, and then the old ones go. A row of the table that is newer than the import's
+    stays. The result depends on the newest rows alone, so a run that is cut short is put
+    right by running it again. Large partitions are written by several tasks.
     """
     about = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {qualified(table)}").collect()}
     key, buckets = about["sheetlake.key"], int(about["sheetlake.buckets"])
@@ -90,24 +95,40 @@ def upsert_table(spark: SparkSession, table: str, incoming: DataFrame, order: st
                          .withColumn(BUCKET, bucket))
     touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
     if touched:
+        versions = f"{describe(spark, table)['location']}/{VERSIONS}"
+        version = f"{versions}/{uuid.uuid4().hex}"
         current = spark.table(qualified(table)).where(F.col(BUCKET).isin(touched))
-        merged = checkpointed(upsert(current.select(*columns, BUCKET), fresh.select(*columns, BUCKET), key, order))
-        # Complete in the shared folder before the first old partition is replaced.
-        (merged.hint("rebalance", BUCKET).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").insertInto(qualified(table)))
-        drop_scratch(merged)
+        merged = upsert(current.select(*columns, BUCKET), fresh.select(*columns, BUCKET), key, order)
+        merged.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(version)
+        _point_at(spark, table, touched, version)
+        for old in other_folders(spark, versions, version):
+            for number in touched:
+                remove_path(spark, f"{old}/{BUCKET}={number}")
     drop_scratch(fresh)
     return len(touched)
 
 
+def _point_at(spark: SparkSession, table: str, numbers: list[int], version: str) -> None:
+    """Make the partitions those of ``version``: metadata alone."""
+    parts = {n: f"PARTITION ({BUCKET} = {n})" for n in numbers}
+    held = {r[0] for r in spark.sql(f"SHOW PARTITIONS {qualified(table)}").collect()}
+    added = [f"{parts[n]} LOCATION '{version}/{BUCKET}={n}'" for n in numbers if f"{BUCKET}={n}" not in held]
+    if added:
+        spark.sql(f"ALTER TABLE {qualified(table)} ADD IF NOT EXISTS {' '.join(added)}")
+    for n in numbers:
+        if f"{BUCKET}={n}" in held:
+            spark.sql(f"ALTER TABLE {qualified(table)} {parts[n]} SET LOCATION '{version}/{BUCKET}={n}'")
+    spark.catalog.refreshTable(qualified(table))
+
+
 def missing_related(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Left rows with no match on the join key; a null key never matches.
 
     The right side is reduced to its distinct keys first, combined in each task
-    before the shuffle, and stored, so that a heavy left key can be split.
+    before the shuffle, and stored unless it is small enough to be broadcast.
     """
     right_key = right_key or left_key
-    return split_join(left, checkpointed(right.select(right_key).distinct()), [(left_key, right_key)], "left_anti")
+    return split_join(left, stored_unless_small(right.select(right_key).distinct()), [(left_key, right_key)], "left_anti")
 
 
 def duplicate_keys(rows: DataFrame, key: str = "business_key") -> DataFrame:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remove_path, shared_dir
 from ..sources.workbook_reader import scan_headers, scan_rows
-from .catalog import describe, target_table
+from .catalog import table_place, target_table
 from .headers import header_report
-from .load import (BATCH_ROWS, check_run_id, coerce_rows, drop_run, first_bad_batch, import_summary, publish_rows, table_rows,
+from .load import (BATCH_ROWS, coerce_rows, drop_run, first_bad_batch, import_summary, publish_rows, table_rows,
                    with_key_errors, with_sequence)
 from .mapping import row_errors
+from .runs import check_run_id, record_run, run_log
 
 PLACE = ("path", "sheet")
 
@@ -43,11 +45,9 @@ class ImportReport:
 
 
 def store_path(spark: SparkSession, table: str, run_id: str) -> str:
-    """Where the rows and the outcome of a run are kept: by catalog, database, table and run."""
+    """Where the rows and the outcome of a run are kept."""
     check_run_id(run_id)
-    about = describe(spark, table)
-    place = "/".join([about["catalog_name"], *about["namespace"], about["table_name"]])
-    return f"{shared_dir(spark)}/sheetlake/imports/{place}/{run_id}"
+    return f"{shared_dir(spark)}/sheetlake/imports/{table_place(spark, table)}/{run_id}"
 
 
 def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | None = None) -> ImportReport:
@@ -62,6 +62,8 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     spark = files.sparkSession
     target = target_table(spark, table)
     store = store_path(spark, table, run_id)
+    started, place = datetime.now(timezone.utc), table_place(spark, table)
+    record_run(spark, run_id, table, place, started)
 
     scanned = scan_headers(files, sheet)
     report = (header_report(scanned.where("error IS NULL"), target.columns)
@@ -81,7 +83,8 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
     runs = _written(_outcomes(headers, damaged, import_summary(checked, PLACE), run_id), f"{store}/runs")
 
     good = runs.where("outcome = 'success'")
-    total = good.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
+    counts = _counts(runs)
+    total = counts["published_rows"]
     if total:
         accepted = checked.join(good.select(*PLACE), list(PLACE), "left_semi")
         publish_rows(spark, table, table_rows(spark, target, accepted, scanned_rows), run_id)
@@ -89,17 +92,36 @@ def import_workbooks(files: DataFrame, table: str, run_id: str, sheet: str | Non
         drop_run(spark, table, run_id)
     rejected = runs.where("outcome = 'rejected'").select(*PLACE)
     # Only rows of rejected sheets are read again.
-    failing = _written(checked.join(rejected, list(PLACE), "left_semi"), f"{store}/rejected")
+    failing = _written(checked.join(rejected, list(PLACE), "left_semi") if counts["error_rows"] else checked.limit(0),
+                       f"{store}/rejected")
     remove_path(spark, f"{store}/typed")
+    outcome = "success" if counts.pop("files") == counts.pop("good_files") else "partial" if total else "rejected"
+    record_run(spark, run_id, table, place, started, outcome, **counts)
     return ImportReport(run_id, runs, raw, total, failing)
 
 
+def _counts(runs: DataFrame) -> dict:
+    good = F.col("outcome") == "success"
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_rows", "ok_rows", "error_rows")}
+    return runs.agg(*sums.values(), F.coalesce(F.sum(F.when(good, F.col("total_rows"))), F.lit(0)).alias("published_rows"),
+                    F.count(F.lit(1)).alias("files"), F.count_if(good).alias("good_files")).first().asDict()
+
+
 def import_run(spark: SparkSession, table: str, run_id: str) -> ImportReport:
     """What is kept of an earlier import: its outcomes, its rows as read, and its errors."""
     store = store_path(spark, table, run_id)
     runs, raw, rejected = (spark.read.parquet(f"{store}/{part}") for part in ("runs", "raw", "rejected"))
-    total = runs.where("outcome = 'success'").agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
-    return ImportReport(run_id, runs, raw.where("error IS NULL").drop("error"), total, rejected)
+    return ImportReport(run_id, runs, raw.where("error IS NULL").drop("error"), _counts(runs)["published_rows"], rejected)
+
+
+def import_by_id(spark: SparkSession, run_id: str) -> ImportReport:
+    """:func:`import_run` by the run's id alone; an id that several tables share names none of them."""
+    tables = [r["table_name"] for r in run_log(spark, run_id).select("table_name").collect()]
+    if not tables:
+        raise ValueError(f"No such run: {run_id}")
+    if len(tables) > 1:
+        raise ValueError(f"Run {run_id} went into several tables: {', '.join(sorted(tables))}")
+    return import_run(spark, tables[0], run_id)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

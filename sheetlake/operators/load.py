@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import uuid
+from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,9 @@ from ..functions.cells import outcome
 from ..functions.keys import number_text
 from ..session import checkpointed, drop_scratch, remove_others, remove_path
 from ..sources.tables import qualified, quote_name
-from .catalog import RUN_COLUMN, TargetTable, describe, reserve_ids, target_table
+from .catalog import RUN_COLUMN, TargetTable, describe, reserve_ids, sketch_path, table_place, target_table
 from .mapping import computed_once, convert, error_map, text_of, texts, value_of
+from .runs import check_run_id, record_run
 
 BATCH_ROWS = 1000  # fixed value: rows per import batch
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
@@ -86,18 +87,20 @@ def _cell_texts(df: DataFrame, names: list[str]) -> DataFrame:
         for n, c in cells.items()])
 
 
-def table_rows(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame, into: str = "row") -> DataFrame:
+def table_rows(spark: SparkSession, target: TargetTable, checked: DataFrame, raw: DataFrame, into: str = "row",
+               total: int | None = None) -> DataFrame:
     """The columns of the table out of ``checked``, ids included.
 
     A row keeps the id its sheet gives, else it takes the next of the sequence.
-    ``raw`` is the written source that ``checked`` was computed from.
+    ``raw`` is the written source that ``checked`` was computed from, and ``total`` its
+    number of rows, where that is known.
     """
     given = checked.schema[into].dataType.fieldNames()
     if any(c.data_type == "SERIAL" for c in target.columns):
         serial = [c.name for c in target.columns if c.data_type == "SERIAL" and c.name in given]
         # The sequence goes on past the highest id that a sheet gives, so the two never meet.
         highest = checked.agg(F.max(F.col(into)[serial[0]])).first()[0] if serial else None
-        base = reserve_ids(spark, target.name, raw.count(), highest or 0)
+        base = reserve_ids(spark, target.name, raw.count() if total is None else total, highest or 0)
         checked = dense_ids(checked, base, column="next_id", source=raw)
 
     def column(c):
@@ -179,11 +182,6 @@ class LoadResult(NamedTuple):
 DUPLICATE = 'duplicate key value violates unique constraint "{}_pkey"'  # fixed value: the message of a primary key
 
 
-def check_run_id(run_id: str) -> None:
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
-        raise ValueError(f"Invalid run id: {run_id}")
-
-
 def with_key_errors(spark: SparkSession, target: TargetTable, checked: DataFrame, run_id: str, into: str = "row") -> DataFrame:
     """``checked`` with an error for ids that its sheet repeats, or that other runs of the table hold.
 
@@ -234,14 +232,24 @@ def publish_rows(spark: SparkSession, table: str, rows: DataFrame, run_id: str)
         finally:
             spark.catalog.dropTempView(view)
         return
-    run = _run_folder(spark, table, run_id)
+    run = run_folder(spark, table, run_id)
     attempt = f"{run}/{uuid.uuid4().hex}"
-    rows.write.options(**{f"parquet.bloom.filter.enabled#{n}": "true" for n in target.indexed}).parquet(attempt)
+    rows.write.options(**bloom_filters(target)).parquet(attempt)
+    point_run(spark, table, run_id, attempt)
+    _forget_sketches(spark, table, run_id)
+    remove_others(spark, run, attempt)
+
+
+def bloom_filters(target: TargetTable) -> dict[str, str]:
+    return {f"parquet.bloom.filter.enabled#{n}": "true" for n in target.indexed}
+
+
+def point_run(spark: SparkSession, table: str, run_id: str, attempt: str) -> None:
+    """Make a folder that is complete the rows of a run: metadata alone."""
     partition = f"PARTITION ({RUN_COLUMN} = '{run_id}')"
     spark.sql(f"ALTER TABLE {qualified(table)} ADD IF NOT EXISTS {partition} LOCATION '{attempt}'")
     spark.sql(f"ALTER TABLE {qualified(table)} {partition} SET LOCATION '{attempt}'")
     spark.catalog.refreshTable(qualified(table))
-    remove_others(spark, run, attempt)
 
 
 def drop_run(spark: SparkSession, table: str, run_id: str) -> None:
@@ -250,10 +258,15 @@ def drop_run(spark: SparkSession, table: str, run_id: str) -> None:
     if target_table(spark, table).by_run:
         spark.sql(f"ALTER TABLE {qualified(table)} DROP IF EXISTS PARTITION ({RUN_COLUMN} = '{run_id}')")
         spark.catalog.refreshTable(qualified(table))
-        remove_path(spark, _run_folder(spark, table, run_id))
+        _forget_sketches(spark, table, run_id)
+        remove_path(spark, run_folder(spark, table, run_id))
+
 
+def _forget_sketches(spark: SparkSession, table: str, run_id: str) -> None:
+    remove_path(spark, f"{sketch_path(spark, table)}/{RUN_COLUMN}={run_id}")
 
-def _run_folder(spark: SparkSession, table: str, run_id: str) -> str:
+
+def run_folder(spark: SparkSession, table: str, run_id: str) -> str:
     return f"{describe(spark, table)['location']}/{RUN_COLUMN}={run_id}"
 
 
@@ -262,18 +275,22 @@ def load_rows(spark: SparkSession, table: str, raw: DataFrame, run_id: str,
     """All-or-nothing load of one source: publish only if no row has an error.
 
     ``raw`` must be repeatable (a table, or written rows) and carry ``seq``. Its rows
-    are typed once. A run that publishes nothing takes what an earlier attempt of the
-    same run published out of the table.
+    are typed once, and counted as they are written. A run that publishes nothing takes
+    what an earlier attempt of the same run published out of the table.
     """
-    check_run_id(run_id)
+    started, place = datetime.now(timezone.utc), table_place(spark, table)
+    record_run(spark, run_id, table, place, started)
     target = target_table(spark, table)
-    typed = checkpointed(coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells, into="row"))
+    seen = Observation()
+    typed = checkpointed(coerce_rows(raw, target, keep=(*keep, "seq"), cells=cells, into="row").observe(
+        seen, F.count(F.lit(1)).alias("total_rows"), F.count_if(F.size("errors") > 0).alias("error_rows")))
     checked = with_key_errors(spark, target, typed, run_id)
-    summary = import_summary(checked).first()
+    summary = seen.get if checked is typed else import_summary(checked).first()
     total, bad = summary["total_rows"], summary["error_rows"]
     if bad == 0 and total:
-        publish_rows(spark, table, table_rows(spark, target, checked, raw), run_id)
+        publish_rows(spark, table, table_rows(spark, target, checked, raw, total=total), run_id)
     else:
         drop_run(spark, table, run_id)
     drop_scratch(typed)
+    record_run(spark, run_id, table, place, started, "rejected" if bad else "success", total, total - bad, bad, 0 if bad else total)
     return LoadResult(bad == 0, total, bad)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ingest", "headers", "curated", "service", "sql_suite", "workbooks")
+MODULES = ("ingest", "headers", "curated", "service", "sql_suite", "workbooks", "tables")
 
 
 def _merged(attribute: str) -> dict:

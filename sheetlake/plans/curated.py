@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions.keys import business_key, row_hash
-from ..operators import curated, load, snapshot
+from ..operators import curated, load, runs, snapshot
 from ..session import scratch_path
 from ..sources.tables import open_parquet
 from . import fixtures as fx
@@ -161,13 +163,15 @@ SELECT run_id, count(*) AS total_rows, count(*) - count(bad.row_number) AS ok_ro
        CASE WHEN count(bad.row_number) = 0 THEN 'success' ELSE 'rejected' END AS outcome
 FROM runs LEFT JOIN bad USING (row_number) GROUP BY run_id""")
 def import_runs(spark, folder):
-    """Two imports, each appending its summary to the run log, read back by run id."""
-    log = scratch_path(spark, "import-runs")
+    """Two imports, each with its summary in the log of runs, looked up by their ids."""
     checked = load.coerce_rows(fx.raw_orders(spark, folder), fx.ORDER_TARGET)
     first = (F.col("row_number") - 2) % 3 == 0
+    place, started = scratch_path(spark, "logged").rsplit("/", 1)[1], datetime.now(timezone.utc)
     for run_id, part in (("run-a", checked.where(first)), ("run-b", checked.where(~first))):
-        load.import_summary(part).select(F.lit(run_id).alias("run_id"), "*").write.mode("append").parquet(log)
-    return spark.read.parquet(log)
+        found = load.import_summary(part).first().asDict()
+        runs.record_run(spark, run_id, place, place, started, **found)
+    log = runs.run_log(spark, "run-a").unionByName(runs.run_log(spark, "run-b")).where(F.col("table_name") == place)
+    return log.select("run_id", "total_rows", "ok_rows", "error_rows", "outcome")
 
 
 @register("snapshot_diff", """

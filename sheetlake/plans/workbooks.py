@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..operators.catalog import TargetColumn, TargetTable, target_table
@@ -22,8 +24,8 @@ PART_ROWS = 20_000  # so that also a table of one file becomes several workbooks
 
 
 def _export(df, path):
-    """Parts straight from the scan's own splits."""
-    return export_workbook(df, path, PART_ROWS)
+    """Dealt out to several tasks, as a table of one file is one split."""
+    return export_workbook(df, path, PART_ROWS, tasks=8)
 
 
 def _orders(spark, folder):
@@ -45,9 +47,9 @@ def export_manifest(spark, folder):
     manifest = _export(_orders(spark, folder), path)
     listed = manifest.agg(F.sum("rows").alias("row_count"), (F.min("bytes") > 0).alias("all_written"))
     cells = scan_cells(exported_files(spark, path)).where("ordinal > 0")
-    read = cells.agg(F.count(F.lit(1)).alias("rows_read"),
-                     F.sum(F.col("cells")[1]["text"].cast("double")).cast("bigint").alias("key_sum"))
-    return listed.withColumn("one", F.lit(1)).join(read.withColumn("one", F.lit(1)), "one").drop("one")
+    read = cells.agg(F.struct(F.count(F.lit(1)).alias("rows_read"),
+                              F.sum(F.col("cells")[1]["text"].cast("double")).cast("bigint").alias("key_sum")).alias("read"))
+    return listed.withColumn("read", read.scalar()).select("row_count", "all_written", "read.*")
 
 
 @register("scan_row_numbers", """
@@ -90,7 +92,7 @@ def _sheets(spark, folder, status: str, with_errors: bool):
         F.col("o_orderdate").alias("placed"))
 
 
-def _landing(spark, folder) -> str:
+def mixed_folder(spark, folder) -> str:
     """A folder with good sheets, sheets of bad rows and sheets with a wrong header."""
     path = scratch_path(spark, "landing")
     _export(_sheets(spark, folder, "F", False), f"{path}/good")
@@ -108,7 +110,7 @@ SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECI
 def import_folder(spark, folder):
     """Only the good sheets of a mixed folder end up in the table."""
     table = new_load_table(spark, "imported")
-    import_workbooks(workbook_files(spark, _landing(spark, folder)), table, "run_1")
+    import_workbooks(workbook_files(spark, mixed_folder(spark, folder)), table, "run_1")
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
 
 
@@ -120,7 +122,7 @@ GROUP BY outcome""")
 def import_outcomes(spark, folder):
     """Rows seen and rows refused per outcome of the same folder, looked up by the run's id."""
     table = new_load_table(spark, "outcomes")
-    import_workbooks(workbook_files(spark, _landing(spark, folder)), table, "run_1")
+    import_workbooks(workbook_files(spark, mixed_folder(spark, folder)), table, "run_1")
     return import_run(spark, table, "run_1").runs.groupBy("outcome").agg(
         F.sum("total_rows").alias("total_rows"), F.sum("error_rows").alias("error_rows"))
 
@@ -129,7 +131,7 @@ def import_outcomes(spark, folder):
 def landing_import(spark, folder):
     """The mixed folder as a stream of files, in several batches."""
     table = new_load_table(spark, "landed")
-    stream = import_landing(spark, _landing(spark, folder), table, scratch_path(spark, "landing-checkpoint"), max_files=12)
+    stream = import_landing(spark, mixed_folder(spark, folder), table, scratch_path(spark, "landing-checkpoint"), max_files=12)
     stream.awaitTermination()
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
 
@@ -162,6 +164,40 @@ def landing_two_folders(spark, folder):
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
 
 
+@register("landing_replaced_file", """
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(38,9)) AS total,
+       o_orderdate AS placed, 'sheet' AS channel FROM orders""")
+def landing_replaced_file(spark, folder):
+    """A landing folder after its first import: a file replaced under its name, one much older than the others, and a
+    copy under another name. The first two come in, each once; the copy does not."""
+    table, path = new_load_table(spark, "replaced"), scratch_path(spark, "landing-replaced")
+    checkpoint = f"{path}-checkpoint"
+    sheets = {s: one_workbook(spark, _sheets(spark, folder, s, False), f"{path}-{s}") for s in "FOP"}
+    copy_file(spark, sheets["F"], f"{path}/orders.xlsx")
+    import_landing(spark, path, table, checkpoint).awaitTermination()
+    copy_file(spark, sheets["F"], f"{path}/again.xlsx")
+    copy_file(spark, sheets["O"], f"{path}/orders.xlsx")
+    copy_file(spark, sheets["P"], f"{path}/old.xlsx", age_days=400)
+    for _ in range(2):  # the second finds nothing new
+        import_landing(spark, path, table, checkpoint).awaitTermination()
+    return spark.table(table).select("o_orderkey", "total", "placed", "channel")
+
+
+def one_workbook(spark, df, path: str) -> str:
+    """An export of one part; its path."""
+    export_workbook(df.coalesce(1), path)
+    return exported_files(spark, path).first()["path"]
+
+
+def copy_file(spark, source: str, target: str, age_days: int = 0) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    systems = [p.getFileSystem(conf) for p in paths]
+    jvm.org.apache.hadoop.fs.FileUtil.copy(systems[0], paths[0], systems[1], paths[1], False, True, conf)
+    if age_days:
+        systems[1].setTimes(paths[1], int((time.time() - age_days * 86400) * 1000), -1)
+
+
 @register("template_headers", """
 SELECT pos, header, (SELECT count(*) FROM orders) AS table_rows, CAST(0 AS BIGINT) AS template_rows
 FROM (VALUES (1, 'id'), (2, 'o_orderkey'), (3, 'total'), (4, 'placed'), (5, 'channel')) AS t(pos, header)""")
@@ -174,5 +210,4 @@ def template_headers(spark, folder):
     headers = scan_headers(files).select(F.inline("headers")).select("pos", "header")
     rows = scan_cells(files).where("ordinal > 0").agg(F.count(F.lit(1)).alias("template_rows"))
     held = spark.table(table).agg(F.count(F.lit(1)).alias("table_rows"))
-    return (headers.withColumn("one", F.lit(1)).join(held.withColumn("one", F.lit(1)), "one")
-            .join(rows.withColumn("one", F.lit(1)), "one").drop("one"))
+    return headers.select("pos", "header", held.scalar().alias("table_rows"), rows.scalar().alias("template_rows"))

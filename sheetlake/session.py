@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -85,6 +86,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder of the library's own, wherever it is stored; nothing happens if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(target)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Remove what :func:`checkpointed` stored; only for a table that nothing will read again."""
     path = getattr(df, "scratch", None)
@@ -92,12 +99,66 @@ def drop_scratch(df: DataFrame) -> None:
         remove_path(df.sparkSession, path)
 
 
+def other_folders(spark: SparkSession, folder: str, kept: str) -> list[str]:
+    """Everything directly below a folder of the library's own but ``kept``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    stays = spark._jvm.org.apache.hadoop.fs.Path(kept).getName()
+    return [e.getPath().toString() for e in system.listStatus(path) if e.getPath().getName() != stays]
+
+
 def remove_others(spark: SparkSession, folder: str, kept: str) -> None:
     """Delete everything directly below a folder of the library's own but ``kept``."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    for other in other_folders(spark, folder, kept):
+        remove_path(spark, other)
+
+
+def create_only(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole if there is none of that name; whether it was written.
+
+    Of several drivers that try at once one succeeds: the text goes to a file of its own,
+    which then takes the name by a step that fails where the name is taken.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    target, draft = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    write_text(spark, draft.toString(), text)
+    try:
+        if system.getScheme() == "file":  # a rename there would replace what is already there
+            try:
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        return not system.exists(target) and system.rename(draft, target)
+    finally:
+        system.delete(draft, False)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in place of any other of that name."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the library's own."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = source.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    stream = system.open(source)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies directly below a folder, by name; nothing if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    stays = jvm.org.apache.hadoop.fs.Path(kept).getName()
-    for entry in system.listStatus(path):
-        if entry.getPath().getName() != stays:
-            system.delete(entry.getPath(), True)
+    return sorted(e.getPath().getName() for e in system.listStatus(path)) if system.exists(path) else []

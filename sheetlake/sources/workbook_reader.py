@@ -12,6 +12,7 @@ import json
 import re
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -87,6 +88,21 @@ def _shared_strings(book: zipfile.ZipFile) -> Iterator[str]:
             yield _decoded(_text_runs(item))
 
 
+class _Strings:
+    """All shared strings of a book, as one run of bytes and where each ends: a fraction of what text objects take."""
+
+    def __init__(self, values):
+        self._bytes, self._ends = bytearray(), array("Q", [0])
+        for value in values:
+            self._bytes += value.encode("utf-8", "surrogatepass")
+            self._ends.append(len(self._bytes))
+
+    def __getitem__(self, number: int) -> str:
+        if not 0 <= number < len(self._ends) - 1:
+            raise IndexError(f"no shared string {number}")
+        return self._bytes[self._ends[number]:self._ends[number + 1]].decode("utf-8", "surrogatepass")
+
+
 def _sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, list]]:
     """``(row number, [(column, type, raw text)])`` per row, absent cells left out.
 
@@ -255,7 +271,7 @@ def scan_headers(files: DataFrame, sheet: str | None = None) -> DataFrame:
 def _data_rows(book, part):
     """Header cells and an iterator of ``(row number, ordinal, cells)`` behind them."""
     rows = _sheet_rows(book, part)
-    strings = list(_shared_strings(book))
+    strings = _Strings(_shared_strings(book))
     number, first = next(rows, (0, []))
     header = _header_cells(first, strings) if number == 1 else []
     data = ((number, ordinal, cells) for ordinal, (number, cells) in enumerate(rows, 1))
@@ -282,7 +298,7 @@ def scan_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
         if not chosen:
             yield _error_batch(schema, path, sheet, NOT_FOUND)
         for name, part in chosen:
-            strings = list(_shared_strings(book))
+            strings = _Strings(_shared_strings(book))
             numbered = ((n, i, cells) for i, (n, cells) in enumerate(_sheet_rows(book, part)))
             for group in _grouped(numbered):
                 values = [[(c, dict(zip(("kind", "text"), _cell(k, t, strings)))) for c, k, t in cells]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
@@ -183,13 +184,15 @@ class WorkbookWriter(DataSourceArrowWriter):
         self.names = names
         self.overwrite = overwrite
         self.job = f"export-{uuid.uuid4().hex[:12]}"
+        # Made here, on the driver, and never by a task: after an abort has removed it, a late task cannot open a part.
+        system, folder = file_system(self.folder)
+        system.create_dir(f"{folder}/{self.job}", recursive=True)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         context = TaskContext.get()
         system, folder = file_system(self.folder)
-        system.create_dir(f"{folder}/{self.job}", recursive=True)
         written, part, name = [], None, None
 
         def finish():
@@ -216,7 +219,6 @@ class WorkbookWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         system, folder = file_system(self.folder)
-        system.create_dir(f"{folder}/{self.job}", recursive=True)
         accepted = sorted(p for m in messages if m is not None for p in m.parts)
         earlier = [] if self.overwrite else manifest_entries(system, folder)
         if not accepted and not earlier:
@@ -242,8 +244,15 @@ class WorkbookWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         system, folder = file_system(self.folder)
-        if system.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
-            system.delete_dir(f"{folder}/{self.job}")
+        # A task that is still running may open a part while the folder is being emptied.
+        for wait in (0, 0.2, 1, 5):
+            time.sleep(wait)
+            try:
+                if system.get_file_info(f"{folder}/{self.job}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{folder}/{self.job}")
+                return
+            except OSError:
+                continue
 
 
 def manifest_entries(system, folder: str) -> list[dict]:
@@ -300,17 +309,20 @@ def exportable(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1) -> DataFrame:
+def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1, tasks: int | None = None) -> DataFrame:
     """Write the whole result as part workbooks; returns the manifest ``(part, rows, bytes)``.
 
     The manifest commits the export: its parts are the result, and
     ``exported_files`` lists those. Parts follow partition order, so a sorted query reads in order part by part.
+    ``tasks`` deals the rows out to so many, for a result of few splits whose order does not matter.
     """
     spark = df.sparkSession
     folder = qualified_path(spark, folder)
     spark.dataSource.register(WorkbookSink)
-    (exportable(df).write.format("workbook").mode("overwrite")
-     .option("maxRows", str(max_rows)).save(folder))
+    rows = exportable(df)
+    if tasks:
+        rows = rows.repartition(tasks)
+    rows.write.format("workbook").mode("overwrite").option("maxRows", str(max_rows)).save(folder)
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{MANIFEST}")
 
 
