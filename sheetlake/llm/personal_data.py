@@ -24,11 +24,11 @@ from sheetlake.session import checkpointed, drop_scratch
 
 KINDS = ("email", "ip", "card", "phone")
 CANDIDATE = len(KINDS)
-ROUNDS = 3
 LEAST_SUPPORT = 3  # known identifiers that a pattern needs
 LEAST_TRUST = 0.7  # for patterns and identifiers
 LEAST_LENGTH = 5
-CONTEXT = 96  # characters looked at for the two words before an identifier
+# The last two words of a reversed text, whatever their length, with the space behind them.
+_LAST_WORDS = r"^\s*+\S*+(?:\s++\S++)?"
 
 # The same matches as the plain patterns of the README, in linear time: runs are taken whole (++)
 # and tried only where they begin or where the last match ended.
@@ -77,7 +77,7 @@ def raw_matches(docs: DataFrame, row: str | None = None, id_column: str = "doc_i
         pieces = F.split("__text", pattern, -1)
         zipped = F.zip_with(pieces, f"__m{kind}", lambda piece, match: F.struct(
             F.lit(kind).alias("kind"), match.alias("value"), F.length(piece).alias("gap"),
-            F.substring(piece, -CONTEXT, CONTEXT).alias("before")))
+            F.reverse(F.regexp_extract(F.reverse(piece), _LAST_WORDS, 0)).alias("before")))
         numbered = F.transform(F.filter(zipped, lambda x: x["value"].isNotNull()),
                                lambda x, n: x.withField("nth", n))
         hits.append(F.when(F.size(f"__m{kind}") > 0, numbered))
@@ -137,10 +137,10 @@ def trusted_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
             .where(F.col("trust") >= LEAST_TRUST).select("context", "kind", "trust"))
 
 
-def extract(docs: DataFrame, row: str | None = None, id_column: str = "doc_id", text_column: str = "text",
-            rounds: int = ROUNDS) -> Extraction:
+def extract(docs: DataFrame, row: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> Extraction:
     """Seeds, trusted patterns and discovered spans of all texts.
 
+    Rounds go on until one finds nothing new, which comes, as what is known only grows.
     Null texts count as empty. Every row is on its own, also with a null or repeated
     id. An empty table gives empty results. Other columns are not read.
     """
@@ -151,7 +151,8 @@ def extract(docs: DataFrame, row: str | None = None, id_column: str = "doc_id",
     edges = checkpointed(seeds.select("context", "value").union(free.select("context", "value"))
                          .where("context <> ''").distinct())
     known = checkpointed(seeds.select("value", "kind").distinct())
-    for _ in range(rounds):
+    grown = True
+    while grown:
         patterns = trusted_patterns(edges, known)
         doubt = F.exp(F.sum(F.log(1 - F.col("trust") * F.lit(0.999))))
         scored = (edges.join(patterns, "context").groupBy("value", "kind").agg((1 - doubt).alias("score"))
@@ -160,8 +161,6 @@ def extract(docs: DataFrame, row: str | None = None, id_column: str = "doc_id",
         grown = following.count() > known.count()
         drop_scratch(known)
         known = following
-        if not grown:
-            break
     patterns = checkpointed(trusted_patterns(edges, known))
     best = Window.partitionBy("__row", "start").orderBy(F.desc("trust"), "kind")
     discovered = (free.drop("kind").join(patterns, "context").withColumn("__n", F.row_number().over(best))

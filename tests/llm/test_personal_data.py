@@ -105,3 +105,25 @@ def test_given_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     checked(rows, P.personal_data(docs).collect())
+
+
+def test_discovery_goes_on_for_as_many_rounds_as_find_something(spark):
+    """Each level's contexts are known by the identifiers of the level before, and bring three new ones."""
+    known, sentences = ["ann@mail.example", "bob@mail.example", "cid@mail.example"], []
+    for level in "abcdef":
+        fresh = []
+        for place in "xyz":
+            value = f"id-{ord(level)}{ord(place)}-{level}{place}"
+            fresh.append(value)
+            sentences += [f"contact lead{level}{place} {v} . " for v in [*known, value]]
+        known = fresh
+    out = run(spark, [(n, s) for n, s in enumerate(sentences)])
+    found = {sentences[r.doc_id].split()[2] for r in out if r.spans}
+    assert set(known) <= found
+
+
+def test_long_words_are_contexts_in_full(spark):
+    rows = [(n, f"my a{'w' * 120} user{n}@mail.example") for n in range(3)] + [(3, f"my b{'w' * 120} key-77-x"),
+                                                                             (4, f"my a{'w' * 120} key-88-x")]
+    found = {r.doc_id: r.spans for r in run(spark, rows)}
+    assert found[3] == "" and found[4] != ""
