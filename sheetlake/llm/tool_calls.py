@@ -242,19 +242,23 @@ CHAT_SCHEMAS = {
 
 def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool calls and results read from ``conv_id, turn, role, text``: an assistant's turn is a call, the user's turn
-    that follows at once is its result. A call depends on the one two turns before, if there is one."""
+    that follows at once is its result. A call depends on the one two turns before, if there is one, and those of the
+    turns 5 and 9 on the one before that as well. So that all of the linking is at work: in some conversations the
+    first call waits for the second (a cycle), the arguments break off, or a limit is out of its range."""
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    asked = turns.where("role = 'assistant'").select(
-        "conv_id", "turn", "text", F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("call_id"))
-    asked = asked.withColumn("before", F.when(F.col("turn") >= 2, F.concat(
-        F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn") - 2)))
-    search = F.to_json(F.struct((words / 10 + 1).cast("int").alias("limit"), F.col("text").alias("query"), F.col("before").alias("after")))
+    named = lambda turn: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), turn)
+    asked = turns.where("role = 'assistant'").select("conv_id", "turn", "text", named(F.col("turn")).alias("call_id"))
+    asked = asked.withColumn("before", F.when(F.col("turn") >= 2, named(F.col("turn") - 2)))
+    earlier = F.when(F.col("turn").isin(5, 9), named(F.col("turn") - 4))
+    later = F.when((F.col("turn") == 1) & (F.col("conv_id") % 41 == 7), named(F.col("turn") + 2))
+    limit = F.when(F.col("conv_id") % 43 == 5, F.lit(1000)).otherwise((words / 10 + 1).cast("int"))
+    search = F.to_json(F.struct(limit.alias("limit"), F.col("text").alias("query"), F.col("before").alias("after")))
     short = F.to_json(F.struct(words.cast("double").alias("words"), F.when(words < 60, "short").otherwise("long").alias("style"), "text"))
     even = F.col("turn") % 4 == 1
+    whole = F.when(even, search).otherwise(short)
+    broken = F.when(F.col("conv_id") % 47 == 11, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
     calls = asked.select("conv_id", "turn", "call_id", F.when(even, "search").otherwise("summarize").alias("name"),
-                         F.when(even, search).otherwise(short).alias("arguments"),
-                         F.array_compact(F.array("before")).alias("depends_on"))
+                         broken.alias("arguments"), F.array_compact(F.array("before", earlier, later)).alias("depends_on"))
     results = turns.where("role = 'user' AND turn > 0").select(
-        "conv_id", "turn", F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn") - 1).alias("call_id"),
-        F.col("text").alias("content"))
+        "conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -111,14 +111,35 @@ def test_deep_chain_and_hot_conversation(spark):
 
 def test_given_table(spark):
     turns = table(spark, "/root/testdata/sf0.01", "conversations")
-    out = C.linked_calls(*C.chat_calls(turns), C.CHAT_SCHEMAS).collect()
+    calls, results = C.chat_calls(turns)
+    out = C.linked_calls(calls, results, C.CHAT_SCHEMAS).collect()
     rows = {(r.conv_id, r.turn): r for r in turns.collect()}
     asked = {k for k, r in rows.items() if r.role == "assistant"}
     assert {(r.conv_id, r.turn) for r in out if r.turn is not None} == asked
+    levels = plain_levels([tuple(r) for r in calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on").collect()])
+    faults = Counter()
     for r in out:
         if r.turn is not None:
             answer = rows.get((r.conv_id, r.turn + 1))
             assert (r.status == "linked") == (answer is not None and answer.role == "user")
-            message = json.loads(r.line)
-            assert rows[r.conv_id, r.turn].text in message["function"]["arguments"].values()
-            assert message.get("result") == (answer.text if r.status == "linked" else None)
+            assert r.level == levels.get((r.conv_id, r.call_id))
+            faults["cycle"] += r.level is None
+            faults["several"] += r.turn in (5, 9)
+            faults["broken"] += r.line is None
+            faults["limit"] += "$.limit: above 50" in r.errors
+            assert (r.line is None) == (r.conv_id % 47 == 11) == r.errors.startswith("not JSON")
+            if r.line:
+                message = json.loads(r.line)
+                assert rows[r.conv_id, r.turn].text in message["function"]["arguments"].values()
+                assert message.get("result") == (answer.text if r.status == "linked" else None)
+    assert all(faults[k] for k in ("several", "broken", "limit"))
+
+
+def test_several_parents_from_a_chat(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"text {t}") for c in (1, 7) for t in range(14)]
+    calls, results = C.chat_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = [tuple(r) for r in calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on").collect()]
+    assert max(len(r[5]) for r in rows) == 2
+    out = C.linked_calls(calls, results, C.CHAT_SCHEMAS).where("turn IS NOT NULL").collect()
+    assert {(r.conv_id, r.call_id): r.level for r in out if r.level is not None} == plain_levels(rows)
+    assert {r.conv_id for r in out if r.level is None} == {7} and sum(r.conv_id == 1 for r in out) == 7
