@@ -170,6 +170,19 @@ def test_range_join(spark, per_bin):
     assert "CartesianProduct" not in shown and "NestedLoop" not in shown
 
 
+@pytest.mark.parametrize("per_bin", [5, 40, 100_000])
+def test_range_join_tasks_by_pairs(spark, per_bin):
+    """Few rows that make many pairs: no task compares more than a part of them, and none is lost where one bin has most."""
+    points = [(i, 7.0 if i % 2 else float(i % 100)) for i in range(200)]
+    ends = [(j, j - 30.0, j + 30.0) for j in range(80)]
+    want = sorted((i, j) for i, v in points for j, a, b in ends if a <= v <= b)
+    got = range_join(spark.createDataFrame(points, "i int, v double"), spark.createDataFrame(ends, "j int, a double, b double"),
+                     "v", "a", "b", per_bin, pairs_per_task=100)
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+    each = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(each) == len(want) and len(each) > len(want) // 400 and max(each) < len(want) // 4
+
+
 @pytest.mark.parametrize("few", [1, 20, 100_000])
 def test_exact_quantiles(spark, few):
     rng = random.Random(3)
