@@ -186,7 +186,8 @@ def with_key_errors(spark: SparkSession, target: TargetTable, checked: DataFrame
     """``checked`` with an error for ids that its sheet repeats, or that other runs of the table hold.
 
     ``checked`` must be written. The first row of an id, by ``seq``, keeps it. Ids are
-    counted by an aggregate and looked up in the table by a semi join.
+    counted by an aggregate and looked up in the table by a semi join; only the part of
+    the table between the least and the greatest of them is read.
     """
     serial = [c.name for c in target.columns if c.data_type == "SERIAL" and c.name in checked.schema[into].dataType.fieldNames()]
     if not serial:
@@ -194,10 +195,16 @@ def with_key_errors(spark: SparkSession, target: TargetTable, checked: DataFrame
     name = serial[0]
     given = checked.select("seq", F.col(into)[name].alias("given")).where("given IS NOT NULL")
     first = checkpointed(given.groupBy("given").agg(F.min("seq").alias("first")))
-    held = spark.table(qualified(target.name))
+    low, high = first.agg(F.min("given"), F.max("given")).first()
+    if low is None:  # no sheet gives an id
+        drop_scratch(first)
+        return checked
+    held = spark.table(qualified(target.name)).where(F.col(name).between(low, high))
     if target.by_run:
         held = held.where(F.col(RUN_COLUMN) != run_id)
-    used = first.join(held.select(F.col(name).alias("given")), "given", "left_semi").withColumn("used", F.lit(True))
+    # A merge: broadcast, all ids of the table would pass through the driver again for every run.
+    used = (first.join(held.select(F.col(name).alias("given")).hint("merge"), "given", "left_semi")
+            .withColumn("used", F.lit(True)))
     known = checkpointed(first.join(used.select("given", "used"), "given", "left"))
     bad = (given.withColumnRenamed("given", "__given").join(known, F.col("__given") == F.col("given"))
            .where(F.col("used") | (F.col("seq") > F.col("first"))).select(F.col("seq").alias("__seq")))

@@ -79,6 +79,28 @@ def test_runs_are_found_by_id_alone(spark, tmp_path, name):
     assert runs.run_log(spark).where(F.col("run_id") == run).count() == 2
 
 
+def test_ids_are_looked_up_without_broadcasting_the_table(spark, tmp_path, name, monkeypatch):
+    create_table(spark, name, COLUMNS)
+
+    def loaded(run, rows):
+        df = spark.createDataFrame([(i + 2, n, "1", k) for i, (n, k) in enumerate(rows)],
+                                   "row_number int, name string, value string, id string")
+        return load.load_rows(spark, name, checkpointed(load.with_sequence(df)), run)
+
+    assert loaded("run_1", [("a", "5"), ("b", "7"), ("c", "900")])[:2] == (True, 3)
+    plans, stored = [], load.checkpointed
+    monkeypatch.setattr(load, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    assert loaded("run_2", [("d", "6"), ("e", "7"), ("f", "6"), ("g", "8")])[1:] == (4, 2)
+    lookup = [line for p in plans for line in p.splitlines() if "LeftSemi" in line]
+    assert lookup and all("SortMergeJoin" in line for line in lookup)
+    plans.clear()
+    # A workbook that gives no id has nothing to be looked up.
+    simple_book(tmp_path / "a.xlsx", [["name", "value"], ["h", 1], ["i", 2]])
+    assert imports.import_workbooks(workbook_files(spark, str(tmp_path)), name, "run_3").published_rows == 2
+    assert plans and not any("LeftSemi" in p for p in plans)
+    assert held(spark, name) == ["a", "b", "c", "h", "i"]
+
+
 def test_a_run_that_is_cut_short_stays_running(spark, name, monkeypatch):
     create_table(spark, name, COLUMNS)
 
