@@ -21,11 +21,12 @@ QUERIES, ORACLES, register = registry()
 
 
 PART_ROWS = 20_000  # so that also a table of one file becomes several workbooks
+TASK_ROWS = 5 * PART_ROWS
 
 
 def _export(df, path):
-    """Dealt out to several tasks, as a table of one file is one split."""
-    return export_workbook(df, path, PART_ROWS, tasks=8)
+    """Dealt out to several tasks, as a table of one file is one split, and to more for more rows."""
+    return export_workbook(df, path, PART_ROWS, tasks=max(8, -(-df.count() // TASK_ROWS)))
 
 
 def _orders(spark, folder):

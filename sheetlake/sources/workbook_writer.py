@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..session import qualified_path
 from .files import file_system
+from .workbook_reader import dealt
 
 # Limits of the format and the exported sheet's name.
 SHEET_ROWS = 1048576
@@ -327,10 +328,13 @@ def export_workbook(df: DataFrame, folder: str, max_rows: int = SHEET_ROWS - 1,
 
 
 def exported_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, length)`` of the parts of the last committed export, for the readers of workbooks."""
+    """``(path, length)`` of the parts of the last committed export, dealt out for the readers of workbooks.
+
+    The manifest is one small file, so left as it is read, one task would parse all parts.
+    """
     folder = qualified_path(spark, folder)
     listed = spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{MANIFEST}")
-    return listed.select(F.concat(F.lit(folder.rstrip("/") + "/"), "part").alias("path"), F.col("bytes").alias("length"))
+    return dealt(listed.select(F.concat(F.lit(folder.rstrip("/") + "/"), "part").alias("path"), F.col("bytes").alias("length")))
 
 
 def template_workbook(df: DataFrame, folder: str) -> DataFrame:

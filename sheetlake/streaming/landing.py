@@ -21,6 +21,7 @@ from ..operators.imports import ImportReport, import_workbooks
 from ..session import checkpointed, drop_scratch, make_folder, shared_dir
 from ..sources.files import open_input
 from ..sources.tables import qualified
+from ..sources.workbook_reader import dealt
 
 LISTED = "path STRING, modificationTime TIMESTAMP, length BIGINT"
 LEDGER = f"digest STRING, path STRING, {RUN_COLUMN} STRING"
@@ -73,15 +74,6 @@ def file_digests(files: DataFrame) -> DataFrame:
     return dealt(files).mapInArrow(run, "path STRING, length BIGINT, digest STRING")
 
 
-def dealt(files: DataFrame) -> DataFrame:
-    """Files dealt out so that a task has about as many bytes as one of a scan, and all cores have some."""
-    spark = files.sparkSession
-    count, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    bytes_each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    tasks = max(min(count, spark.sparkContext.defaultParallelism), -(-size // bytes_each), 1)
-    return files.repartition(int(tasks), "path")
-
-
 def ledger_path(spark: SparkSession, table: str) -> str:
     return f"{shared_dir(spark)}/sheetlake/landed/{table_place(spark, table)}"
 

@@ -137,6 +137,17 @@ def test_failed_export_keeps_the_earlier_one(spark, tmp_path):
     assert scan_rows(exported_files(spark, out), ["id"]).count() == 10
 
 
+def test_parts_are_read_back_by_several_tasks(spark, tmp_path):
+    from sheetlake.sources.workbook_writer import exported_files
+
+    out = str(tmp_path / "out")
+    export_workbook(spark.range(0, 120, 1, 2), out, max_rows=10)
+    files = exported_files(spark, out)
+    each = [r[0] for r in files.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(each) == 12 and max(each) <= 3
+    assert scan_rows(files, ["id"]).count() == 120
+
+
 def test_template_and_empty_result_have_a_header(spark, tmp_path):
     df = spark.createDataFrame([("x", 1)], "name string, value int")
     assert [m["rows"] for m in template_workbook(df, str(tmp_path / "t")).collect()] == [0]
