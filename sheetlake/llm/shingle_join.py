@@ -43,6 +43,7 @@ GROUPS = 256
 SLOT_BITS = 16
 FILTER_BITS, KEY_BITS = 1 << 23, 1 << 26
 PAGE, LEAF = 512, 32
+ROWS_AT_ONCE, HASHES_AT_ONCE = 512, 1 << 17  # of a batch in a task's Python, and of sets in a batch that it gives
 BAND = 1.3  # more than 5 / 4, so similar sets lie in one band or in two neighbouring ones
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -156,7 +157,7 @@ def indexed(texts: DataFrame, ranks: np.ndarray, size: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _parts(batches):
             found = list(_once(batch, seen, size))
             keys = [first_shingles(hashes, ranks) for _, hashes in found]
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +216,7 @@ class Points:
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _parts(batches):
                 place = batch.column("__at").to_numpy() & (FILTER_BITS - 1)
                 chosen = batch.filter(pa.array((bitmap[place >> 3] >> (place & 7) & 1).astype(bool)))
                 some: list[np.ndarray] = []
@@ -224,7 +225,7 @@ class Points:
                     if len(hashes):
                         some.append(hashes)
                         held += len(hashes)
-                    if held > 1 << 20:
+                    if held > HASHES_AT_ONCE:
                         yield _set_rows(some)
                         some, held = [], 0
                 yield _set_rows(some)
@@ -250,9 +251,16 @@ def _set_rows(some: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([set_node(h) for h in some], pa.int64()), _lists(some)], ["node", "hashes"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS_AT_ONCE`` rows at most: what is made of a row may take far more than the row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
+
+
 def _near_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those pairs whose points allow the similarity."""
-    for batch in batches:
+    for batch in _parts(batches):
         if batch.num_rows:
             one, other = (_points(batch.column(c).to_pylist()) for c in ("p", "q"))
             sizes = batch.column("s").to_numpy() + batch.column("t").to_numpy()

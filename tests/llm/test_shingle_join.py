@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sheetlake.llm import shingle_join as J
 from sheetlake.llm.common import table
@@ -107,6 +109,21 @@ def test_bounds_hold():
     assert J._points([J.group_counts(large)]).sum() == len(large)
 
 
+def test_points_of_a_batch_are_compared_a_part_at_a_time():
+    rng, n = np.random.default_rng(5), 10_000
+    points = [rng.integers(0, 3, J.GROUPS).astype(np.uint8).tobytes() for _ in range(n)]
+    numbers, sizes = pa.array(range(n)), pa.array([sum(p) for p in points])
+    others = [p if i % 2 else points[0] for i, p in enumerate(points)]
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, sizes, pa.array([sum(p) for p in others]), pa.array(points), pa.array(others)],
+                                       ["a", "b", "s", "t", "p", "q"])
+    tracemalloc.start()
+    found = [x for part in J._near_points(iter([batch])) for x in part.column("a").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [i for i in range(n) if i % 2 or not i]
+    assert peak < 4 * n * J.GROUPS
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(2)
     ranks = rng.permutation(1 << J.SLOT_BITS).astype(np.uint64)
