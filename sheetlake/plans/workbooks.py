@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import time
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.catalog import TargetColumn, TargetTable, target_table
 from ..operators.imports import import_run, import_workbooks
 from ..operators.load import coerce_rows
-from ..session import scratch_path
+from ..session import make_folder, qualified_path, scratch_path
+from ..sources.files import file_system, open_input
 from ..sources.tables import open_parquet
 from ..sources.workbook_reader import header_cells, scan_cells, scan_headers, scan_rows, workbook_files
 from ..sources.workbook_writer import export_workbook, exported_files, numeric_as_double, template_workbook
@@ -22,6 +24,7 @@ QUERIES, ORACLES, register = registry()
 
 PART_ROWS = 20_000  # so that also a table of one file becomes several workbooks
 TASK_ROWS = 5 * PART_ROWS
+COPY_BYTES = 1 << 20
 
 
 def _export(df, path):
@@ -86,9 +89,13 @@ def scan_cell_kinds(spark, folder):
         F.count(F.lit(1)).alias("cell_count"))
 
 
-def _sheets(spark, folder, status: str, with_errors: bool):
+def _sheets(spark, folder, status: str, with_errors: bool, others: bool = False):
+    """Orders of a status; with ``others`` also those of none of the three."""
     total = F.lit("n/a") if with_errors else F.col("o_totalprice").cast("string")
-    return _orders(spark, folder).where(F.col("o_orderstatus") == status).select(
+    found = F.col("o_orderstatus")
+    if others:
+        found = F.when(found.isin(*"FOP"), found).otherwise(status)
+    return _orders(spark, folder).where(found == status).select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"), total.alias("total"),
         F.col("o_orderdate").alias("placed"))
 
@@ -169,34 +176,56 @@ def landing_two_folders(spark, folder):
 SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(38,9)) AS total,
        o_orderdate AS placed, 'sheet' AS channel FROM orders""")
 def landing_replaced_file(spark, folder):
-    """A landing folder after its first import: a file replaced under its name, one much older than the others, and a
-    copy under another name. The first two come in, each once; the copy does not."""
+    """A landing folder after its first import: files replaced under their names, some much older than the others, and
+    copies under other names. The first two come in, each once; the copies do not."""
     table, path = new_load_table(spark, "replaced"), scratch_path(spark, "landing-replaced")
     checkpoint = f"{path}-checkpoint"
-    sheets = {s: one_workbook(spark, _sheets(spark, folder, s, False), f"{path}-{s}") for s in "FOP"}
-    copy_file(spark, sheets["F"], f"{path}/orders.xlsx")
+    sheets = {s: sheet_workbooks(_sheets(spark, folder, s, False, others=s == "P"), f"{path}-{s}") for s in "FOP"}
+    copy_files(spark, sheets["F"], f"{path}/orders")
     import_landing(spark, path, table, checkpoint).awaitTermination()
-    copy_file(spark, sheets["F"], f"{path}/again.xlsx")
-    copy_file(spark, sheets["O"], f"{path}/orders.xlsx")
-    copy_file(spark, sheets["P"], f"{path}/old.xlsx", age_days=400)
+    copy_files(spark, sheets["F"], f"{path}/again")
+    copy_files(spark, sheets["O"], f"{path}/orders")
+    copy_files(spark, sheets["P"], f"{path}/old", age_days=400)
     for _ in range(2):  # the second finds nothing new
         import_landing(spark, path, table, checkpoint).awaitTermination()
     return spark.table(table).select("o_orderkey", "total", "placed", "channel")
 
 
-def one_workbook(spark, df, path: str) -> str:
-    """An export of one part; its path."""
-    export_workbook(df.coalesce(1), path)
-    return exported_files(spark, path).first()["path"]
+def sheet_workbooks(df, path: str) -> list[str]:
+    """All rows in as many workbooks as they call for, one if they are few; the paths of all of them.
 
+    A landing folder takes in a content once, and rows that come twice may fill two workbooks alike. So each task puts
+    a mark of its own into its first row, in a column without a header, which no import reads.
+    """
+    rows = df.repartition(max(1, -(-df.count() // TASK_ROWS)))
+    place = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the row within it
+    first = place.bitwiseAND((1 << 33) - 1) == 0
+    manifest = export_workbook(
+        rows.withColumn(" ", F.when(first, F.concat(F.lit(f"{path} "), place.cast("string")))), path)
+    return sorted(f"{qualified_path(df.sparkSession, path)}/{r['part']}" for r in manifest.select("part").collect())
 
-def copy_file(spark, source: str, target: str, age_days: int = 0) -> None:
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
-    systems = [p.getFileSystem(conf) for p in paths]
-    jvm.org.apache.hadoop.fs.FileUtil.copy(systems[0], paths[0], systems[1], paths[1], False, True, conf)
+
+def copy_files(spark, sources: list[str], name: str, age_days: int = 0) -> None:
+    """Copies of workbooks under a name and their number, in place of any that have it; tasks copy, some files each."""
+    targets = [f"{qualified_path(spark, name)}-{i:07d}.xlsx" for i in range(len(sources))]
+    make_folder(spark, name.rsplit("/", 1)[0])
+
+    def run(batches):
+        for batch in batches:
+            for source, target in zip(batch.column("source").to_pylist(), batch.column("target").to_pylist()):
+                system, place = file_system(target)
+                with open_input(source) as file, system.open_output_stream(place) as out:
+                    shutil.copyfileobj(file, out, COPY_BYTES)
+            yield batch
+
+    pairs = spark.createDataFrame(list(zip(sources, targets)), "source STRING, target STRING")
+    pairs.repartition(min(len(sources), spark.sparkContext.defaultParallelism)).mapInArrow(run, pairs.schema).count()
     if age_days:
-        systems[1].setTimes(paths[1], int((time.time() - age_days * 86400) * 1000), -1)
+        changed = int((time.time() - age_days * 86400) * 1000)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for target in targets:
+            file = spark._jvm.org.apache.hadoop.fs.Path(target)
+            file.getFileSystem(conf).setTimes(file, changed, -1)
 
 
 @register("template_headers", """
